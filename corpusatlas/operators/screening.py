@@ -1,0 +1,160 @@
+"""Screening records by families of patterns: decisions, evidence, mention positions, funnels."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusatlas import contracts
+from corpusatlas.functions import text as T
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Patterns of the families, journals by kind, and thresholds; all are configuration."""
+
+    core: str
+    chemistry: str
+    venture: str
+    startup: str
+    ambiguous: str
+    chemistry_journals: tuple[str, ...] = ()
+    trade_journals: tuple[str, ...] = ()
+    venture_journals: tuple[str, ...] = ()
+    other_types: tuple[str, ...] = ()
+    min_mentions: int = 2
+    exclude_venture: bool = False
+    families: dict = field(default_factory=dict)
+
+
+def decide(rows: DataFrame, rules: Rules) -> DataFrame:
+    """rows (title, abstract, journal, document_type) with core_in_title, core_mentions, evidence columns, decision and
+    reason. The cascade stops at the first rule that applies."""
+    both = F.concat_ws(" ", F.col("title"), F.col("abstract"))
+    journal, kind = F.lower(T.empty_if_null(F.col("journal"))), T.empty_if_null(F.col("document_type"))
+    x = rows.withColumns({"core_in_title": F.col("title").rlike(rules.core), "core_mentions": F.regexp_count("abstract", F.lit(rules.core)).cast("long")})
+    x = x.withColumns({f"{n}_matches": T.match_evidence(both, getattr(rules, n)) for n in ("core", "chemistry", "venture", "startup", "ambiguous")})
+    core = F.col("core_in_title") | (F.col("core_mentions") >= rules.min_mentions)
+    has = lambda n: F.col(f"{n}_matches") != ""
+    vc_journal = journal.isin(*rules.venture_journals) if rules.venture_journals else F.lit(False)
+    steps = [
+        (has("chemistry") | (journal.isin(*rules.chemistry_journals) if rules.chemistry_journals else F.lit(False)), "exclude", "chemistry"),
+        (journal.isin(*rules.trade_journals) if rules.trade_journals else F.lit(False), "exclude", "trade journal"),
+        (has("venture") & (F.lit(rules.exclude_venture) | ~core | vc_journal), "exclude", "venture capital"),
+        (has("venture"), "review", "venture capital"),
+        (has("startup") & core, "review", "startup"),
+        (has("startup"), "exclude", "startup"),
+        (has("ambiguous"), "review", "ambiguous financing"),
+        (~has("core"), "exclude", "not mentioned"),
+        (kind.isin(*rules.other_types) if rules.other_types else F.lit(False), "review", "document type"),
+        (~core, "review", "not central"),
+    ]
+    decision, reason = F.lit("keep"), F.lit("core")
+    for condition, d, r in reversed(steps):
+        decision, reason = F.when(condition, d).otherwise(decision), F.when(condition, r).otherwise(reason)
+    return x.withColumns({"decision": decision, "reason": reason})
+
+
+def override(audit: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """Applies overrides (key, record_sha256, decision, reason); one whose hash is not the record's is stale: an error."""
+    o = overrides.select(key, F.col("record_sha256").alias("__sha"), F.col("decision").alias("__d"), F.col("reason").alias("__r"))
+    x = audit.join(o, key, "left")
+    contracts.holds(x.filter(F.col("__sha").isNotNull()), F.col("__sha") == F.col("record_sha256"), "a stale override", key)
+    manual = F.col("__d").isNotNull()
+    return x.withColumns({"automatic_decision": F.col("decision"), "manual_override": manual, "decision": F.coalesce("__d", "decision"), "reason": F.coalesce("__r", "reason")}).drop("__sha", "__d", "__r")
+
+
+def record_hash(*columns: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def mention_category(title: Column, abstract: Column, pattern: str) -> Column:
+    a, b = title.rlike(pattern), abstract.rlike(pattern)
+    return F.when(a & b, "both").when(a, "title_only").when(b, "abstract_only").otherwise("neither")
+
+
+def category_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(method, category, papers), zeros kept."""
+    spark = rows.sparkSession
+    grid = spark.createDataFrame([(c, k) for c in columns for k in ("neither", "title_only", "abstract_only", "both")], "method string, category string")
+    n = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("method"), F.col(c).alias("category")) for c in columns])).alias("x")).groupBy("x.method", "x.category").agg(F.count("*").alias("papers"))
+    return grid.join(n, ["method", "category"], "left").na.fill(0, ["papers"])
+
+
+def presence_comparison(rows: DataFrame, first: Column, second: Column) -> DataFrame:
+    """One row: papers that both rules match, only one of them, or none."""
+    return rows.agg(F.count_if(first & second).alias("both"), F.count_if(first & ~second).alias("first_only"), F.count_if(~first & second).alias("second_only"), F.count_if(~first & ~second).alias("neither"))
+
+
+def mentions(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, mention, word_index, words, word_fraction): words before each mention over all words. A word is a run of
+    letters, digits and underscores."""
+    word = r"[\p{L}\p{N}_]+"
+    pieces = F.split(F.col(text), pattern)
+    total = F.regexp_count(text, F.lit(word))
+    # the text before the n-th mention ends where the n-th piece does
+    matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    x = rows.select(key, total.alias("words"), F.transform(pieces, lambda p: F.regexp_count(p, F.lit(word))).alias("p"), F.transform(matched, lambda m: F.regexp_count(m, F.lit(word))).alias("m"))
+    before = F.transform(F.sequence(F.lit(1), F.size("m")), lambda i: F.aggregate(F.slice("p", 1, i), F.lit(0), lambda a, v: a + v) + F.aggregate(F.slice("m", 1, i - 1), F.lit(0), lambda a, v: a + v))
+    out = x.filter(F.size("m") > 0).select(key, "words", F.posexplode(before).alias("mention", "word_index"))
+    return out.select(key, (F.col("mention") + 1).cast("long").alias("mention"), F.col("word_index").cast("long").alias("word_index"), F.col("words").cast("long").alias("words"), (F.col("word_index") / F.col("words")).alias("word_fraction"))
+
+
+def late_only(found: DataFrame, key: str, least: float = 2 / 3) -> DataFrame:
+    """(key, mentions, late_only): papers whose mentions all stand in the last part."""
+    return found.groupBy(key).agg(F.count("*").alias("mentions"), F.min(F.col("word_fraction") >= least).alias("late_only"))
+
+
+def funnel(rows: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
+    """(stage, position, papers, dropped): rows that pass each stage and all before it, in one pass over the rows."""
+    conditions, passed = [], F.lit(True)
+    for name, c in stages:
+        passed = passed & F.coalesce(c, F.lit(False))
+        conditions.append(F.count_if(passed).alias(name))
+    one = rows.agg(F.count("*").alias("__all"), *conditions)
+    names = ["__all", *(n for n, _ in stages)]
+    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.lit("all" if n == "__all" else n).alias("stage"), F.col(n).alias("papers"), ((F.col(names[i - 1]) - F.col(n)) if i else F.lit(0)).cast("long").alias("dropped")) for i, n in enumerate(names)])
+    return one.select(F.inline(parts))
+
+
+def list_mention(text: str, start: int, end: int, cues: tuple[str, ...] = ("such as", "including", "e.g.", "for example"), longest: int = 5) -> list[str]:
+    """The items of the list that text[start:end] stands in, if it does: three short items or more, or two within
+    parentheses or after a cue. Items longer than `longest` words or with a finite clause marker are none."""
+    import re
+
+    depth, left = 0, 0
+    for i in range(start - 1, -1, -1):
+        c = text[i]
+        if c == ")":
+            depth += 1
+        elif c == "(":
+            if not depth:
+                left = i + 1
+                break
+            depth -= 1
+        elif c in ".;:!?\n" and not depth and not text[max(0, i - 3) : i + 1].endswith("e.g."):
+            left = i + 1
+            break
+    inside = left > 0 and text[left - 1] == "("
+    stop = re.compile(r"\)" if inside else r"[.;:!?\n]").search(text, end)
+    window = text[left : stop.start() if stop else len(text)]
+    cue = max((window[: start - left].lower().rfind(c) + len(c) for c in cues if c in window[: start - left].lower()), default=0)
+    window = re.sub(r"\([^()]*\)", " ", window[cue:]) if not inside else window[cue:]
+    items = [x.strip() for x in re.split(r",\s*(?:and|or)\s+|,|\s+(?:and|or)\s+|/", window) if x.strip()]
+    items = [x for x in items if len(x.split()) <= longest and not re.search(r"\b(?:is|are|was|were|that|which|who|has|have|we|this)\b", x.lower())]
+    return items if len(items) >= (2 if inside or cue else 3) and any(text[start:end].lower() in x.lower() for x in items) else []
+
+
+def list_mentions(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, start, end, items): each match of the pattern with the items of its list, empty if it stands in none."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,items:array<string>>>")
+    def find(texts):
+        import re
+
+        rule = re.compile(pattern, re.I)
+        return texts.fillna("").map(lambda t: [{"start": m.start(), "end": m.end(), "items": list_mention(t, m.start(), m.end())} for m in rule.finditer(t)])
+
+    return rows.select(key, F.explode(find(F.col(text))).alias("m")).select(key, "m.start", "m.end", "m.items")

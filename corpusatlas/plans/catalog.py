@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from corpusatlas.plans import ages, corpus, vectors
+
+MODULES = (ages, corpus, vectors)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
