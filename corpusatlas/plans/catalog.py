@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusatlas.plans import ages, corpus, vectors
+from corpusatlas.plans import ages, corpus, texts, vectors
 
-MODULES = (ages, corpus, vectors)
+MODULES = (ages, corpus, vectors, texts)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
