@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusatlas.plans import ages, corpus, texts, vectors
+from corpusatlas.plans import ages, corpus, structure, texts, vectors
 
-MODULES = (ages, corpus, vectors, texts)
+MODULES = (ages, corpus, vectors, texts, structure)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
