@@ -73,7 +73,7 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), n.alias("n")).select(F.col("conv_id").cast("string").alias("tree"), F.struct(F.col("conv_id").cast("string").alias("c"), F.col("n").alias("n")).alias("id"), F.when(F.col("n") > 1, F.struct(F.col("conv_id").cast("string").alias("c"), (F.col("n") - 1).alias("n"))).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def enumerate_paths(messages: DataFrame, branches: int = 1, max_rounds: int = 40) -> DataFrame:
+def enumerate_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(path, place, id): the messages on the paths of each root's `branches` best leaves, from the root on.
 
     messages: id, parent, score, of one row an id."""
@@ -81,7 +81,7 @@ def enumerate_paths(messages: DataFrame, branches: int = 1, max_rounds: int = 40
     known = base.select(F.col("id").alias("parent"))
     up = materialise(base.join(known.withColumn("there", F.lit(True)), "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.col("id").alias("top")), "pointers")
     jumps = [up]  # jumps[k]: where 2**k steps up lead
-    for _ in range(max_rounds):
+    for _ in range(up.count().bit_length()):  # what has not come to a root by then is a cycle
         ahead = up.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"), F.col("top").alias("root"))
         if up.filter(F.col("up").isNotNull()).isEmpty():
             break
@@ -98,7 +98,7 @@ def enumerate_paths(messages: DataFrame, branches: int = 1, max_rounds: int = 40
     for k in range(len(jumps) - 1, -1, -1):
         lead = jumps[k].select("id", "up").filter(F.col("up").isNotNull())
         far = walk.join(lead, "id").select("path", F.col("up").alias("id"), (F.col("steps") + (1 << k)).alias("steps"), "length")
-        walk = walk.unionByName(far)
+        walk = materialise(walk.unionByName(far), "walk")
     return walk.select("path", (F.col("length") - 1 - F.col("steps")).alias("place"), "id")
 
 

@@ -38,6 +38,10 @@ def window_key(hashes: Column, i: Column, length: int) -> Column:
     return F.xxhash64(F.slice(hashes, i + 1, length))
 
 
+def window_keys(hashes: Column, length: int) -> Column:
+    return F.transform(positions(F.size(hashes) - length + 1), lambda i: window_key(hashes, i, length))
+
+
 def covered(spots: Column) -> Column:
     """Places in the union of [pos, pos + length), from structs (pos, length)."""
     return let(F.sort_array(spots), lambda s: F.aggregate(s, F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(F.greatest(a["end"], x["pos"] + x["length"]).alias("end"), (a["n"] + F.greatest(x["pos"] + x["length"] - F.greatest(a["end"], x["pos"]), F.lit(0))).alias("n")))["n"])
@@ -74,7 +78,7 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 13, max_set: int =
         lengths = [r["length"] for r in windows.select("length").distinct().collect()]  # size values at most
         parts = []
         for k in sorted(lengths):
-            h = found.select("row", "w", F.transform("w", lambda v: F.xxhash64(v)).alias("h")).select("row", "w", F.posexplode(F.transform(positions(F.size("w") - k + 1), lambda i, k=k: window_key(F.col("h"), i, k))).alias("pos", "k"))
+            h = found.select("row", "w", F.transform("w", lambda v: F.xxhash64(v)).alias("h")).select("row", "w", F.posexplode(window_keys(F.col("h"), k)).alias("pos", "k"))
             # a hash that many documents share sits on the side that the engine's skew handling splits
             known = windows.filter(F.col("length") == k).select("window").distinct().withColumn("k", F.xxhash64(F.transform(F.split("window", " "), lambda v: F.xxhash64(v))))
             joined = h.join(known, "k").filter(F.array_join(F.slice("w", F.col("pos") + 1, k), " ") == F.col("window"))

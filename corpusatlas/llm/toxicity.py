@@ -48,8 +48,11 @@ class Trie:
             heads.add(stem[:3])
             if not end and len(stem) >= fuzzy_from:
                 tails.update((n, stem[-3:]) for n in range(len(stem) - 2, len(stem) + 3))
+                # two swapped letters may lie on both sides of the cut
+                if len(stem) == 6:
+                    heads.add(stem[:2] + stem[3])
                 if len(stem) < 6:
-                    short_heads.update((n, stem[: len(stem) // 2]) for n in range(len(stem) - 1, len(stem) + 2))
+                    short_heads.update((n, h) for n in range(len(stem) - 1, len(stem) + 2) for h in (stem[:2], stem[0] + stem[2]))
         self.heads, self.short_heads, self.tails = frozenset(heads), frozenset(short_heads), frozenset(tails)
         self.known: dict[str, tuple[float, bool]] = {}
 
