@@ -80,8 +80,8 @@ def passages(papers: DataFrame, key: str, text: str = "text", separator: str = "
 
 def occurrences(rows: DataFrame, key: str, phrase: str) -> DataFrame:
     """(key, occurrences, passage, text): papers with the phrase, their counts and first passage with it."""
-    hit = rows.withColumn("k", F.regexp_count("text", F.lit(T.phrase_pattern(phrase)))).filter("k > 0")
-    return hit.groupBy(key).agg(F.sum("k").cast("long").alias("occurrences"), F.min(F.struct("passage", "text")).alias("first")).select(key, "occurrences", "first.passage", "first.text")
+    hit = rows.withColumn("__n", F.regexp_count("text", F.lit(T.phrase_pattern(phrase)))).filter("__n > 0")
+    return hit.groupBy(key).agg(F.sum("__n").cast("long").alias("occurrences"), F.min(F.struct("passage", "text")).alias("first")).select(key, "occurrences", "first.passage", "first.text")
 
 
 def search_expression(found: DataFrame, labels: DataFrame, key: str) -> DataFrame:

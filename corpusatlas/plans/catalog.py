@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusatlas.plans import ages, corpus, structure, texts, vectors
+from corpusatlas.plans import ages, corpus, reviews, structure, texts, vectors
 
-MODULES = (ages, corpus, vectors, texts, structure)
+MODULES = (ages, corpus, vectors, texts, structure, reviews)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
