@@ -188,3 +188,18 @@ def prioritised(rows: DataFrame, key: str, value: str, sources: list[tuple[str,
         out = out.join(df.select(key, F.nullif(F.col(value), F.lit("")).alias(c)), key, "left")
         found, origin = F.coalesce(F.col(c), found), F.when(F.col(c).isNotNull(), name).otherwise(origin)
     return out.withColumns({value: found, "origin": origin}).drop(*[f"__{n}" for n, _ in sources])
+
+
+def embedding_blocks(blocks: Column, math: str = "keep") -> Column:
+    """The included blocks with text; `omit` also drops equations and rewrites blocks with formulas."""
+    kept = F.filter(blocks, lambda b: b["include"] & (F.trim(F.coalesce(b["text"], F.lit(""))) != ""))
+    if math != "omit":
+        return kept
+    plain = F.filter(kept, lambda b: b["type"] != "Equation")
+    return F.transform(plain, lambda b: b.withField("text", F.when(F.coalesce(b["html"], F.lit("")).contains("<math"), F.trim(F.regexp_replace(F.regexp_replace(b["html"], "(?s)<math.*?</math>", "[FORMULA]"), "<[^>]+>", " "))).otherwise(b["text"])))
+
+
+def section_report(segments: DataFrame, document: str) -> DataFrame:
+    """(document, segment, first_page, last_page, blocks) of segments with a sources column."""
+    pages = F.transform("sources", lambda s: s["page"])
+    return segments.select(document, "segment", F.array_min(pages).alias("first_page"), F.array_max(pages).alias("last_page"), F.size("sources").cast("long").alias("blocks"))

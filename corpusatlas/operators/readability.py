@@ -26,10 +26,12 @@ def scores(rows: DataFrame, text: str) -> DataFrame:
     return x.withColumns({"fog": F.when(w > 0, fog), "flesch": F.when(w > 0, flesch)})
 
 
-def summary(scored: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: n, scored, min, max, mean, median, sample deviation, quartiles."""
+def summary(scored: DataFrame, group: str, value: str, groups: DataFrame | None = None) -> DataFrame:
+    """Per group: n, scored, min, max, mean, median, sample deviation, quartiles. groups: a table of all groups, so that empty
+    ones are listed too."""
     v = F.col(value)
-    return scored.groupBy(group).agg(F.count("*").alias("n"), F.count(v).alias("scored"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.75).alias("q75"))
+    out = scored.groupBy(group).agg(F.count("*").alias("n"), F.count(v).alias("scored"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.75).alias("q75"))
+    return out if groups is None else groups.join(out, group, "left").na.fill(0, ["n", "scored"])
 
 
 def quality_flags(scored: DataFrame, least_words: int = 100, longest: float = 60.0) -> DataFrame:

@@ -158,3 +158,14 @@ def list_mentions(rows: DataFrame, key: str, text: str, pattern: str) -> DataFra
         return texts.fillna("").map(lambda t: [{"start": m.start(), "end": m.end(), "items": list_mention(t, m.start(), m.end())} for m in rule.finditer(t)])
 
     return rows.select(key, F.explode(find(F.col(text))).alias("m")).select(key, "m.start", "m.end", "m.items")
+
+
+def labels_matched(text: Column, patterns: dict[str, str]) -> Column:
+    """The names of the patterns that match, joined by `; `, in the order given."""
+    return F.concat_ws("; ", *[F.when(text.rlike(p), F.lit(n)) for n, p in patterns.items()])
+
+
+def protected_diagnostic(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """One row: for each flag the rows it would drop, and the rows that any drops (overlaps once)."""
+    total = sum((c.cast("int") for c in list(flags.values())[1:]), next(iter(flags.values())).cast("int"))
+    return rows.agg(*[F.count_if(c).alias(n) for n, c in flags.items()], F.count_if(total > 0).alias("any"), F.count_if(total > 1).alias("several"))

@@ -103,3 +103,26 @@ def excerpts(rows: DataFrame, terms: DataFrame, labels: DataFrame, key: str, bef
     best = top_by(hit, [key], 1, F.asc("rank"), F.asc("passage"), name="__r").drop("__r")
     start = F.greatest(F.lit(0), F.col("at") - 1 - before)
     return best.select(key, "term", "passage", F.substring("text", start + 1, F.lit(length)).alias("excerpt"))
+
+
+def search_totals(per_cluster: DataFrame) -> DataFrame:
+    """One row: search_expression over all clusters."""
+    return per_cluster.agg(F.sum("papers").alias("papers"), F.sum("containing").alias("containing"), F.sum("occurrences").alias("occurrences"))
+
+
+def caution_examples(rows: DataFrame, key: str, pattern: str, top: int = 5, before: int = 160, after: int = 200) -> DataFrame:
+    """The first passages with the pattern, one a paper, `top` papers in key order, with the text around."""
+    hit = rows.withColumn("__at", F.regexp_instr("text", F.lit(pattern))).filter("__at > 0")
+    first = hit.groupBy(key).agg(F.min(F.struct("passage", "__at", "text")).alias("x")).orderBy(key).limit(top)
+    start = F.greatest(F.lit(1), F.col("x.__at") - before)
+    return first.select(key, "x.passage", F.substring("x.text", start, F.col("x.__at") - start + after).alias("excerpt"))
+
+
+def cluster_overview(papers: DataFrame, key: str, text: str, stopwords: tuple[str, ...], top: int = 8, min_df: int = 2) -> DataFrame:
+    """(cluster, rank, term, score): contrast over a vocabulary whose expressions skip stop words, terms in `min_df` papers
+    or more."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
+    x = papers.select(key, words.alias("w")).select(key, F.explode(F.concat("w", F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>")))).alias("term"))
+    counts = x.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    w = tfidf(counts, vocabulary(counts, papers.agg(F.count("*").alias("n_papers")), min_df, 1.0), key)
+    return topic_terms(w, papers, key, top, 0.0, 1).filter("ranking = 'contrast'").select("cluster", "rank", "term", "score")

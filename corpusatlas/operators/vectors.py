@@ -128,3 +128,38 @@ def similarity_graph(neighbours: DataFrame, least: float = 0.0, mutual: bool = F
     pairs = neighbours.filter(F.col("similarity") > least).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "similarity")
     grouped = pairs.groupBy("src", "dst").agg(F.max("similarity").alias("weight"), F.count("*").alias("votes"))
     return (grouped.filter("votes = 2") if mutual else grouped).select("src", "dst", "weight")
+
+
+def validate_run(vectors: DataFrame, papers: DataFrame, key: str, dimensions: int, column: str = "embedding", limit: int | None = None) -> DataFrame:
+    """A vector run fits its papers: the same keys once each, the right dimensions, finite values of unit length, token
+    counts (if there is a token_count column) within the limit."""
+    contracts.unique(vectors, key)
+    contracts.covered(papers.select(key), vectors, key)
+    contracts.covered(vectors.select(key), papers, key)
+    contracts.holds(vectors, (F.size(column) == dimensions) & ~F.exists(column, lambda x: x.isNull() | F.isnan(x)), "a malformed vector", key)
+    if limit is not None and "token_count" in vectors.columns:
+        contracts.holds(vectors, F.col("token_count").between(1, limit), "a token count out of range", key)
+    return check_norms(vectors, key, column)
+
+
+def trustworthiness(vectors: DataFrame, projected: DataFrame, key: str, k: int = 15, column: str = "embedding", point: str = "pc") -> DataFrame:
+    """One row: how far the k nearest points of a projection were near before (cosine ranks). One task holds the ranks, so
+    for thousands of vectors."""
+    rows = unit(vectors, column).join(projected, key).select(F.col(key).alias("key"), F.col(column).alias("v"), F.col(point).alias("p"))
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("key")
+        x, p, n = np.stack(pdf["v"].to_numpy()), np.stack(pdf["p"].to_numpy()), len(pdf)
+        far = 1 - x @ x.T
+        np.fill_diagonal(far, np.inf)
+        rank = np.empty((n, n), int)
+        np.put_along_axis(rank, np.argsort(far, axis=1, kind="stable"), np.arange(1, n + 1)[None, :].repeat(n, 0), 1)
+        d = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        over = np.maximum(np.take_along_axis(rank, near, 1) - k, 0).sum()
+        return pd.DataFrame({"trustworthiness": [1 - 2 * over / (n * k * (2 * n - 3 * k - 1))]})
+
+    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: run(pdf), "trustworthiness double")

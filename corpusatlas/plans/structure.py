@@ -162,7 +162,21 @@ def sweep_islands(spark: SparkSession, d: str) -> DataFrame:
     return ranking.islands(x, "month", "odd")
 
 
-QUERIES = {f.__name__: f for f in (kmeans_sweep, leiden_sweep, hierarchy_cut, pca_projection, subsample_stability, rank_correlation, link_exact_titles, link_fuzzy_titles, reference_edges_alias, reference_edges_two_way, canonical_records, newest_events, front_matches, page_mentions, section_groups, segment_packing, html_visible_text, abstract_candidates, heading_parts, prioritised_sources, membership_fingerprints, partition_catalog, named_memberships, sweep_islands)}
+def centre_examples(spark: SparkSession, d: str) -> DataFrame:
+    labels = emb(spark, d).select("vec_id", F.col("label").cast("long").alias("cluster"))
+    return rounded(whole(cluster.central_to_centres(emb(spark, d), labels, "vec_id"), "rank"), "similarity")
+
+
+def graph_checks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(cluster.graph_checks(emb(spark, d), "vec_id", 1.0, [15, 10], [1]), "ari")
+
+
+def trustworthiness(spark: SparkSession, d: str) -> DataFrame:
+    projected, _ = cluster.pca(emb(spark, d), "vec_id")
+    return rounded(vectors.trustworthiness(emb(spark, d).select("vec_id", "embedding"), projected, "vec_id"), "trustworthiness")
+
+
+QUERIES = {f.__name__: f for f in (kmeans_sweep, leiden_sweep, hierarchy_cut, pca_projection, subsample_stability, rank_correlation, link_exact_titles, link_fuzzy_titles, reference_edges_alias, reference_edges_two_way, canonical_records, newest_events, front_matches, page_mentions, section_groups, segment_packing, html_visible_text, abstract_candidates, heading_parts, prioritised_sources, membership_fingerprints, partition_catalog, named_memberships, sweep_islands, centre_examples, graph_checks, trustworthiness)}
 
 _FP = "SELECT cluster, sum(n)::BIGINT AS n, sha256(string_agg(d, ',' ORDER BY b, d)) AS fingerprint FROM (SELECT cluster, b, count(*) AS n, sha256(string_agg(k, ',' ORDER BY k)) AS d FROM (SELECT cluster, k, substr(sha256(k), 1, 3) AS b FROM x) GROUP BY ALL) GROUP BY 1"
 
@@ -184,6 +198,7 @@ SELECT src, dst, string_agg(DISTINCT m, ';' ORDER BY m) AS methods FROM ok WHERE
 x AS (SELECT doc_id, h, regexp_extract(h, '^\s*((?:\d+|[IVX]+)(?:\.\d+)*)[.)]?\s+', 1) AS number FROM h)
 SELECT doc_id, number, CASE WHEN number = '' THEN 0 ELSE len(string_split(number, '.')) END AS level, lower(trim(regexp_replace(regexp_replace(h, '^\s*((?:\d+|[IVX]+)(?:\.\d+)*)[.)]?\s+', ''), '[\s:.]+$', ''))) AS name FROM x""",
     "prioritised_sources": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'e' || doc_id END AS abstract, CASE WHEN doc_id % 2 = 0 THEN 'extraction' ELSE 'missing' END AS origin FROM documents",
+    "centre_examples": "WITH x AS (SELECT label, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(e) AS v FROM x) GROUP BY ALL) GROUP BY 1), s AS (SELECT label, vec_id, list_cosine_similarity(e, c) AS s FROM x JOIN c USING (label)) SELECT label::BIGINT AS cluster, vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 3",
     "membership_fingerprints": f"WITH x AS (SELECT label::BIGINT AS cluster, vec_id::VARCHAR AS k FROM embeddings) SELECT cluster AS label, n, fingerprint FROM ({_FP})",
     "partition_catalog": "WITH x AS (SELECT 'labels' AS solution, label AS cluster FROM embeddings UNION ALL SELECT 'residues', vec_id % 7 FROM embeddings), s AS (SELECT solution, cluster, count(*) AS n FROM x GROUP BY ALL) SELECT solution, sum(n)::BIGINT AS papers, coalesce(sum(n) FILTER (cluster = 0), 0)::BIGINT AS unassigned, count(*) FILTER (cluster > 0) AS clusters, min(n) FILTER (cluster > 0) AS smallest, max(n) FILTER (cluster > 0) AS largest, count(*) FILTER (cluster > 0 AND n = 1) AS singletons FROM s GROUP BY 1",
     "named_memberships": "SELECT vec_id, label::BIGINT AS cluster, CASE WHEN label = 0 THEN 'Unassigned' WHEN label < 5 THEN 'topic ' || label ELSE 'Name pending review' END AS name, label < 5 AS matched FROM embeddings",

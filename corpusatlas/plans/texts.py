@@ -150,7 +150,29 @@ def readability_flags(spark: SparkSession, d: str) -> DataFrame:
     return readability.quality_flags(readability.scores(docs(spark, d).select("doc_id", "text"), "text")).select("doc_id", "quality_flags")
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_unicode_forms, screen_decisions, screen_overrides, screen_funnel, mention_positions, mention_late_only, mention_categories, mention_rule_comparison, mention_lists, passages_explode, term_vocabulary, term_weights, topic_terms, topic_ranked_words, topic_names, search_expression, supporting_papers, topic_excerpts, readability_scores, readability_by_period, readability_flags)}
+def search_totals(spark: SparkSession, d: str) -> DataFrame:
+    return topics.search_totals(search_expression(spark, d))
+
+
+def journal_labels(spark: SparkSession, d: str) -> DataFrame:
+    patterns = {"stem": "anenan", "ending": "stble", "middle": "whon"}
+    return records(spark, d).select("doc_id", screening.labels_matched(F.col("abstract"), patterns).alias("labels"))
+
+
+def protected_titles(spark: SparkSession, d: str) -> DataFrame:
+    x = records(spark, d).filter(F.col("title").rlike(RULES.core))
+    return screening.protected_diagnostic(x, {"journal": F.col("journal").isin("src3", "src5"), "startup": F.col("abstract").rlike(RULES.startup), "short": F.length("abstract") < 100})
+
+
+def caution_examples(spark: SparkSession, d: str) -> DataFrame:
+    return topics.caution_examples(topics.passages(english(spark, d), "doc_id"), "doc_id", r"the\W+the").withColumn("excerpt", F.sha2("excerpt", 256))
+
+
+def topic_overview(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(whole(topics.cluster_overview(english(spark, d), "doc_id", "text", STOP), "rank"), "score")
+
+
+QUERIES = {f.__name__: f for f in (text_normalize, text_unicode_forms, screen_decisions, screen_overrides, screen_funnel, mention_positions, mention_late_only, mention_categories, mention_rule_comparison, mention_lists, passages_explode, term_vocabulary, term_weights, topic_terms, topic_ranked_words, topic_names, search_expression, supporting_papers, topic_excerpts, readability_scores, readability_by_period, readability_flags, search_totals, journal_labels, protected_titles, caution_examples, topic_overview)}
 
 _REC = "rec AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, array_to_string(string_split(text, chr(10))[2:], ' ') AS abstract, source AS journal, lang AS document_type FROM documents)"
 
@@ -221,6 +243,9 @@ SELECT method, category, (SELECT count(*) FROM y WHERE y.method = m.method AND y
     "topic_ranked_words": f"WITH {_topics(0.02, 10)} SELECT term, rank, round(score, 6) AS score FROM terms WHERE cluster = 1 AND ranking = 'ctfidf' AND NOT contains(term, ' ') ORDER BY score DESC, rank LIMIT 5",
     "topic_names": f"WITH {_topics(0.01, 1000)}, e AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY rank) AS r FROM terms WHERE ranking = 'contrast' AND contains(term, ' ')) SELECT cluster, string_agg(term, ' · ' ORDER BY r) AS name FROM e WHERE r <= 4 GROUP BY 1",
     "search_expression": f"WITH {_PAS} SELECT cluster, count(*) AS papers, count(occurrences) AS containing, coalesce(sum(occurrences), 0)::BIGINT AS occurrences, round((100.0::DOUBLE * count(occurrences) / count(*)), 6) AS containing_pct, round(coalesce(sum(occurrences), 0) / count(*), 6) AS per_paper FROM en LEFT JOIN hit USING (doc_id) GROUP BY 1",
+    "search_totals": f"WITH {_PAS} SELECT count(*) AS papers, count(occurrences) AS containing, coalesce(sum(occurrences), 0)::BIGINT AS occurrences FROM en LEFT JOIN hit USING (doc_id)",
+    "journal_labels": f"WITH {_REC} SELECT doc_id, concat_ws('; ', CASE WHEN regexp_matches(abstract, 'anenan') THEN 'stem' END, CASE WHEN regexp_matches(abstract, 'stble') THEN 'ending' END, CASE WHEN regexp_matches(abstract, 'whon') THEN 'middle' END) AS labels FROM rec",
+    "protected_titles": f"WITH {_REC}, x AS (SELECT (journal IN ('src3', 'src5'))::INT AS a, regexp_matches(abstract, '{RULES.startup}')::INT AS b, (length(abstract) < 100)::INT AS c FROM rec WHERE regexp_matches(title, '{RULES.core}')) SELECT count(*) FILTER (a = 1) AS journal, count(*) FILTER (b = 1) AS startup, count(*) FILTER (c = 1) AS short, count(*) FILTER (a + b + c > 0) AS any, count(*) FILTER (a + b + c > 1) AS several FROM x",
     "supporting_papers": f"WITH {_PAS} SELECT doc_id, occurrences, passage, sha256(hit.text) AS text, cluster, cluster = 2 AS inside FROM hit JOIN en USING (doc_id)",
     "readability_scores": f"WITH {_READ} SELECT doc_id, words, sentences, syllables, complex_words, round(fog, 6) AS fog, round(flesch, 6) AS flesch FROM sco",
     "readability_by_period": f"""WITH {_READ}, p AS (SELECT CASE WHEN y <= 1999 THEN '≤1999' ELSE (y // 10 * 10) || '–' || least(y // 10 * 10 + 9, 2026) END AS period, fog FROM (SELECT doc_id % 40 + 1990 AS y, fog FROM sco))
