@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusatlas.llm.common import free_name, map_arrow
+from corpusatlas.llm.common import free_name, map_arrow, materialise
 
 ORDER = 4
 SHIFT, MASK = np.uint64(16), (1 << 16) - 1
@@ -207,13 +207,31 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows with the greatest n, `most` of them at most: whole classes of counts (eighths of a power of two)."""
+    level = F.floor(F.log2("n") * 8)
+    left, least = most, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():  # under 512 rows
+        left -= r["rows"]
+        if left < 0:
+            break
+        least = r["level"]
+    if least is None:  # even the top class is too large
+        return counts.orderBy(F.desc("n"), "lang", "gram").limit(most)
+    return counts.filter(level >= least)
+
+
 def fit(docs: DataFrame, train: Column, max_grams: int = 400_000, max_calibration: int = 4_000) -> Model:
     """A model of the rows of docs (doc_id, text, lang) for which `train` holds."""
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    table = gram_counts(rows).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
+    table = commonest(materialise(gram_counts(rows), "grams"), max_grams).toPandas()
     langs = sorted(table["lang"].unique())
     model = Model(langs, {k: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(float)) for k, g in table.groupby("lang")})
-    sample = rows.select("lang", "text", F.xxhash64("doc_id").alias("o")).orderBy("o", "text").limit(max_calibration) if langs else None
+    sample = None
+    if langs:
+        # ids first, so that only the sample's texts move; an id that many rows share counts once
+        ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration)
+        sample = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*")
     if sample is not None:
         at = {k: i for i, k in enumerate(langs)}
 
