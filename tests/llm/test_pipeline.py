@@ -17,7 +17,7 @@ def test_stages_and_run(spark, tmp_path):
         ids = {r.doc_id for r in docs.collect()}
         assert len(ids) == docs.count() <= before
         if name == "toxicity":
-            assert not ids & set(range(0, 300, 10)) - {i for i in range(0, 300, 10) if i % 10} and 1 in ids
+            assert not ids & set(range(0, 300, 10)) and 1 in ids
         if name == "language":
             assert 901 not in ids and 1 in ids
         if name == "simhash":
