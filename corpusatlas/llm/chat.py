@@ -80,14 +80,16 @@ def enumerate_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     base = materialise(messages.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct("parent", "score"), F.struct("parent", "score")).alias("m")).select("id", "m.parent", F.coalesce("m.score", F.lit(0.0)).alias("score")), "messages")
     known = base.select(F.col("id").alias("parent"))
     up = materialise(base.join(known.withColumn("there", F.lit(True)), "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.col("id").alias("top")), "pointers")
-    jumps = [up]  # jumps[k]: where 2**k steps up lead
+    # jumps[k]: where 2**k steps up lead. Messages that have come to their root wait; only the others go on
+    jumps, arrived, under_way = [up], up.filter(F.col("up").isNull()), up.filter(F.col("up").isNotNull())
     for _ in range(up.count().bit_length()):  # what has not come to a root by then is a cycle
-        ahead = up.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"), F.col("top").alias("root"))
-        if up.filter(F.col("up").isNotNull()).isEmpty():
+        if under_way.isEmpty():
             break
-        up = materialise(up.join(ahead, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), F.coalesce("root", "top").alias("top")), "pointers")
+        ahead = arrived.unionByName(under_way).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"), F.col("top").alias("root"))
+        up = materialise(under_way.join(ahead, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total"), F.col("root").alias("top")), "pointers")
         jumps.append(up)
-    rooted = up.filter(F.col("up").isNull())
+        arrived, under_way = arrived.unionByName(up.filter(F.col("up").isNull())), up.filter(F.col("up").isNotNull())
+    rooted = arrived
     leaves = rooted.join(base.select(F.col("parent").alias("id")).filter(F.col("id").isNotNull()).distinct(), "id", "left_anti")
     # the best branches of a root, in two steps so that no root's leaves meet in one task before they are few
     order = [F.desc(F.col("total") / F.col("depth")), F.desc("depth"), F.asc("id")]
