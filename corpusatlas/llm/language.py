@@ -7,8 +7,10 @@ character; windows not in it fall back to the weight of their context times the
 of lowest cross-entropy per character.
 
 Counts come from all training documents. The model that goes to the tasks holds the `max_grams` commonest windows, so its
-size is bounded; lower orders and discounts are taken from those. Rejection is calibrated on a bounded sample
-(`max_calibration` documents): the spread of the cross-entropy of documents in their own language.
+size is bounded; lower orders and discounts are taken from those. Rejection is calibrated on all
+training documents: the mean and the spread of the cross-entropy of documents in their own language, summed in the tasks.
+A language without such a document (none of its texts has a letter) is predicted only if all are so, and rejects no text
+with letters.
 
 The table may hold: null or letterless texts (`und`, score 0, rejected), null langs (not learned from), no or one language
 (every text with letters gets the only one; without any, `und`), repeated rows, nothing, any other columns (kept by
@@ -113,7 +115,7 @@ class Model:
             for i, (g, p) in enumerate(per[n]):
                 logs[np.searchsorted(all_grams, g), i] = p
             self.grams[n], self.logs[n] = all_grams, logs.astype(np.float32)
-        self.mean, self.spread = np.zeros(len(langs)), np.ones(len(langs))
+        self.mean, self.spread = np.full(len(langs), np.inf), np.ones(len(langs))  # uncalibrated: rejects no text with letters
 
     def _merge(self, parts: list, missing: float):
         keys = np.unique(np.concatenate([k for k, _ in parts])) if parts else np.empty(0, np.uint64)
@@ -164,6 +166,8 @@ class Model:
         x, n = self.cross_entropy(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        if (calibrated := np.isfinite(self.mean)).any():
+            x[:, ~calibrated] = np.inf
         best = x.argmin(axis=1)
         rows = np.arange(len(x))
         odds = np.exp(-(x - x[rows, best][:, None]) * np.minimum(n, 64)[:, None])
@@ -221,32 +225,33 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= least)
 
 
-def fit(docs: DataFrame, train: Column, max_grams: int = 400_000, max_calibration: int = 4_000) -> Model:
+def fit(docs: DataFrame, train: Column, max_grams: int = 400_000) -> Model:
     """A model of the rows of docs (doc_id, text, lang) for which `train` holds."""
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     table = commonest(materialise(gram_counts(rows), "grams"), max_grams).toPandas()
     langs = sorted(table["lang"].unique())
     model = Model(langs, {k: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(float)) for k, g in table.groupby("lang")})
-    sample = None
     if langs:
-        # ids first, so that only the sample's texts move; an id that many rows share counts once
-        ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration)
-        sample = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*")
-    if sample is not None:
-        at = {k: i for i, k in enumerate(langs)}
+        held, at = docs.sparkSession.sparkContext.broadcast(model), {k: i for i, k in enumerate(langs)}
+        names = ("docs", "x", "w", "wx", "wxx")
 
         def measure(batch):
             import pyarrow as pa
 
-            x, n = model.cross_entropy(batch.column("text").to_pylist())
-            own = [at.get(k, -1) for k in batch.column("lang").to_pylist()]
-            keep = [i for i, k in enumerate(own) if k >= 0 and n[i]]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([own[i] for i in keep], pa.int32()), "x": pa.array([float(x[i, own[i]]) for i in keep], pa.float64()), "n": pa.array([int(n[i]) for i in keep], pa.int64())})
-
-        got = map_arrow(sample.select("lang", "text"), measure, "lang int, x double, n long").toPandas()
-        for i, g in got.groupby("lang"):
-            model.mean[i] = g["x"].mean()
-            model.spread[i] = max(1e-3, float(np.sqrt((((g["x"] - model.mean[i]) ** 2) * np.clip(g["n"], 1, 256)).mean())))
+            x, n = held.value.cross_entropy(batch.column("text").to_pylist())
+            own = np.array([at.get(k, -1) for k in batch.column("lang").to_pylist()], dtype=np.int32)
+            keep = np.flatnonzero((own >= 0) & (n > 0))
+            own, w = own[keep], np.clip(n[keep], 1, 256).astype(float)
+            x = x[keep, own]
+            met, to = np.unique(own, return_inverse=True)
+            sums = [np.bincount(to, v, len(met)) for v in (np.ones(len(x)), x, w, w * x, w * x * x)]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(met, pa.int32())} | {k: pa.array(v, pa.float64()) for k, v in zip(names, sums, strict=True)})
+
+        sums = map_arrow(rows.select("lang", "text"), measure, "lang int, docs double, x double, w double, wx double, wxx double")
+        for r in sums.groupBy("lang").agg(*[F.sum(k).alias(k) for k in names]).collect():
+            mean = r.x / r.docs
+            model.mean[r.lang] = mean
+            model.spread[r.lang] = max(1e-3, float(np.sqrt(max(0.0, r.wxx - 2 * mean * r.wx + mean * mean * r.w) / r.docs)))
     return model
 
 

@@ -198,6 +198,22 @@ def test_language(spark):
     assert {r.language.lang for r in language.identify(df, empty).collect()} == {"und"}
 
 
+def test_every_language_is_calibrated(spark):
+    say = {"aa": "the cat sat on the mat and then ran off with that hat ", "zz": "wij fietsen vandaag langs het kanaal naar huis toe "}
+    rng = random.Random(9)
+    # the rare language's ids come last in the order of xxhash64, behind more than 4,000 others
+    ids = [r.id for r in spark.range(4300).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, " ".join(rng.sample(say[k].split(), 8)), k) for at, i in enumerate(ids) for k in ["zz" if at >= 4280 else "aa"]]
+    df = spark.createDataFrame([*rows, (5000, "\u0301\u0301", "cc"), (5001, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059" * 40, None)], "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True))
+    x = {k: model.cross_entropy([t for _, t, lang in rows if lang == k])[0][:, model.langs.index(k)] for k in say}
+    assert all(np.isclose(model.mean[model.langs.index(k)], x[k].mean()) for k in say)
+    assert np.isinf(model.mean[model.langs.index("cc")])
+    got = {r.doc_id: r.language for r in language.identify(df, model).collect()}
+    assert all(got[i].lang == k and not got[i].rejected for i, _, k in rows)
+    assert {r.doc_id for r in language.keep_identified(df, F.lit(True)).collect()} == {i for i, _, _ in rows}
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abra cadabra abracadabra", "bar car radar"]
     c, _ = language.encode(texts)
