@@ -2,12 +2,12 @@
 
 Texts are lower-cased, runs of non-letters become one space, and a document starts after three boundary marks. A window of
 four characters is a 64-bit number (16 bits each; letters beyond the basic plane share one number), a perfect hash. One
-table of sorted numbers per order holds, for every language at once, the interpolated log probability of the last
-character; windows not in it fall back to the weight of their context times the lower order. A text's language is the one
-of lowest cross-entropy per character.
+table of sorted numbers per order holds, for the languages that have the window, the interpolated log probability of the
+last character; a language without it falls back to the weight of the context times the lower order. A text's language is
+the one of lowest cross-entropy per character.
 
-Counts come from all training documents. The model that goes to the tasks holds the `max_grams` commonest windows, so its
-size is bounded; lower orders and discounts are taken from those. Rejection is calibrated on all
+Counts come from all training documents, and the model that goes to the tasks holds every window of every language: it
+grows with the distinct windows, and passes through the driver. Rejection is calibrated on all
 training documents: the mean and the spread of the cross-entropy of documents in their own language, summed in the tasks.
 A language without such a document (none of its texts has a letter) is predicted only if all are so, and rejects no text
 with letters.
@@ -79,11 +79,11 @@ def suffix(grams: np.ndarray, n: int) -> np.ndarray:
 
 
 class Model:
-    """Sorted tables for all languages: grams[n] and logs[n] for order n, contexts[n] and weights[n] behind n characters."""
+    """Sorted tables for all languages: logs[n] for windows of order n, weights[n] behind n characters. A table is its sorted
+    keys, where each key's entries start, and the entries' languages and values."""
 
     def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
-        self.grams, self.logs, self.contexts, self.weights = {}, {}, {}, {}
         per = {n: [] for n in range(1, ORDER + 1)}
         back = {n: [] for n in range(ORDER)}
         alphabet = np.unique(np.concatenate([suffix(g, 1) for g, _ in counts.values()])) if counts else np.array([0], np.uint64)
@@ -107,45 +107,40 @@ class Model:
                 per[n].append((g, np.log(p)))
                 back[n - 1].append((ctx, np.log(gamma)))
                 lower = (g, p)
-        for n in range(ORDER):
-            self.contexts[n], self.weights[n] = self._merge(back[n], 0.0)
-        for n in range(1, ORDER + 1):
-            all_grams = np.unique(np.concatenate([g for g, _ in per[n]])) if per[n] else np.empty(0, np.uint64)
-            logs = self._backed_off(all_grams, n)
-            for i, (g, p) in enumerate(per[n]):
-                logs[np.searchsorted(all_grams, g), i] = p
-            self.grams[n], self.logs[n] = all_grams, logs.astype(np.float32)
+        self.weights = {n: self._table(back[n]) for n in back}
+        self.logs = {n: self._table(per[n]) for n in per}
         self.mean, self.spread = np.full(len(langs), np.inf), np.ones(len(langs))  # uncalibrated: rejects no text with letters
 
-    def _merge(self, parts: list, missing: float):
-        keys = np.unique(np.concatenate([k for k, _ in parts])) if parts else np.empty(0, np.uint64)
-        out = np.full((len(keys), len(self.langs)), missing, dtype=np.float32)
-        for i, (k, v) in enumerate(parts):
-            out[np.searchsorted(keys, k), i] = v
-        return keys, out
+    @staticmethod
+    def _table(parts: list) -> tuple[np.ndarray, ...]:
+        keys = np.concatenate([k for k, _ in parts] or [np.empty(0, np.uint64)])
+        langs = np.repeat(np.arange(len(parts), dtype=np.min_scalar_type(len(parts))), [len(k) for k, _ in parts])
+        values = np.concatenate([v.astype(np.float32) for _, v in parts] or [np.empty(0, np.float32)])
+        order = np.argsort(keys, kind="stable")
+        keys, start = np.unique(keys[order], return_index=True)
+        return keys, np.r_[start, len(order)], langs[order], values[order]
 
     @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _fill(out: np.ndarray, table: tuple[np.ndarray, ...], wanted: np.ndarray) -> None:
+        """Writes the entries of each wanted key to its row of out."""
+        keys, start, langs, values = table
+        if not len(keys):
+            return
         at = np.searchsorted(keys, wanted)
         at[at == len(keys)] = 0
-        return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-
-    def _backed_off(self, grams: np.ndarray, n: int) -> np.ndarray:
-        """Log probabilities by the orders below n."""
-        out = np.zeros((len(grams), len(self.langs)), dtype=np.float32)
-        at, known = self._find(self.contexts[n - 1], grams >> SHIFT)
-        if known.any():
-            out[known] += self.weights[n - 1][at[known]]
-        return out + (self.log_probability(suffix(grams, n - 1), n - 1) if n > 1 else np.float32(self.floor))
+        rows = np.flatnonzero(keys[at] == wanted)
+        first, n = start[at[rows]], start[at[rows] + 1] - start[at[rows]]
+        entries = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        out[np.repeat(rows, n), langs[entries]] = values[entries]
 
     def log_probability(self, grams: np.ndarray, n: int = ORDER) -> np.ndarray:
         """Of the last character of each window of n characters: a column per language."""
-        at, known = self._find(self.grams[n], grams)
-        out = self.logs[n][at] if len(self.grams[n]) else np.zeros((len(grams), len(self.langs)), np.float32)
-        if not known.all():
-            rare, back = np.unique(grams[~known], return_inverse=True)
-            out[~known] = self._backed_off(rare, n)[back]
-        return out
+        wanted, back = np.unique(grams, return_inverse=True)
+        out = np.zeros((len(wanted), len(self.langs)), dtype=np.float32)
+        self._fill(out, self.weights[n - 1], wanted >> SHIFT)
+        out += self.log_probability(suffix(wanted, n - 1), n - 1) if n > 1 else np.float32(self.floor)
+        self._fill(out, self.logs[n], wanted)
+        return out[back]
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character for each text and language; characters of each text (0: no letter)."""
@@ -211,26 +206,19 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def commonest(counts: DataFrame, most: int) -> DataFrame:
-    """The rows with the greatest n, `most` of them at most: whole classes of counts (eighths of a power of two)."""
-    level = F.floor(F.log2("n") * 8)
-    left, least = most, None
-    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():  # under 512 rows
-        left -= r["rows"]
-        if left < 0:
-            break
-        least = r["level"]
-    if least is None:  # even the top class is too large
-        return counts.orderBy(F.desc("n"), "lang", "gram").limit(most)
-    return counts.filter(level >= least)
-
-
-def fit(docs: DataFrame, train: Column, max_grams: int = 400_000) -> Model:
+def fit(docs: DataFrame, train: Column) -> Model:
     """A model of the rows of docs (doc_id, text, lang) for which `train` holds."""
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    table = commonest(materialise(gram_counts(rows), "grams"), max_grams).toPandas()
-    langs = sorted(table["lang"].unique())
-    model = Model(langs, {k: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(float)) for k, g in table.groupby("lang")})
+    counted = materialise(gram_counts(rows), "grams")
+    langs, counts = sorted(r.lang for r in counted.select("lang").distinct().collect()), {}
+    if langs:
+        place = (F.array_position(F.array(*[F.lit(k) for k in langs]), F.col("lang")) - 1).cast("int")
+        got = counted.select(place.alias("lang"), "gram", "n").toArrow()
+        at, gram, n = (got.column(k).to_numpy() for k in ("lang", "gram", "n"))
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(langs) + 1))
+        counts = {k: (gram[part].view(np.uint64), n[part].astype(float)) for i, k in enumerate(langs) for part in [order[ends[i] : ends[i + 1]]]}
+    model = Model(langs, counts)
     if langs:
         held, at = docs.sparkSession.sparkContext.broadcast(model), {k: i for i, k in enumerate(langs)}
         names = ("docs", "x", "w", "wx", "wxx")
@@ -252,12 +240,13 @@ def fit(docs: DataFrame, train: Column, max_grams: int = 400_000) -> Model:
             mean = r.x / r.docs
             model.mean[r.lang] = mean
             model.spread[r.lang] = max(1e-3, float(np.sqrt(max(0.0, r.wxx - 2 * mean * r.wx + mean * mean * r.w) / r.docs)))
+        held.unpersist()
     return model
 
 
 def identify(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
     """docs with a struct column: lang, score, rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most max_grams rows an order
+    held = docs.sparkSession.sparkContext.broadcast(model)  # grows with the distinct windows
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def judge(texts):

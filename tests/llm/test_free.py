@@ -214,6 +214,24 @@ def test_every_language_is_calibrated(spark):
     assert {r.doc_id for r in language.keep_identified(df, F.lit(True)).collect()} == {i for i, _, _ in rows}
 
 
+def test_every_window_is_in_the_model(spark):
+    rng = random.Random(10)
+    wide = ["".join(rng.choices([chr(c) for c in range(0x4E00, 0x5E00)], k=50_000)) for _ in range(9)]  # 450,000 windows, twice each
+    rare = ["wij fietsen vandaag langs het kanaal", "wij lopen morgen langs het strand"]
+    rows = [(t, "aa") for t in wide * 2] + [(t, "zz") for t in rare]
+    model = language.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"), F.lit(True))
+    assert model.langs == ["aa", "zz"]
+    counts = {}
+    for lang, texts in (("aa", wide * 2), ("zz", rare)):
+        c, _ = language.encode(texts)
+        counts[lang] = np.unique(language.windows(c)[c[3:] != 0], return_counts=True)
+    assert len(counts["aa"][0]) > 400_000
+    whole = language.Model(["aa", "zz"], counts)
+    want = [*rare, "het strand vandaag", wide[0][:500]]
+    assert np.array_equal(model.cross_entropy(want)[0], whole.cross_entropy(want)[0])
+    assert model.judge(want)[0] == ["zz", "zz", "zz", "aa"] and not model.judge(rare)[2].any()
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abra cadabra abracadabra", "bar car radar"]
     c, _ = language.encode(texts)
