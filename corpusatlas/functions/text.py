@@ -144,3 +144,28 @@ def similarity_ratio(a: Column, b: Column) -> Column:
         return pd.Series([SequenceMatcher(None, s or "", t or "").ratio() for s, t in zip(x, y, strict=True)])
 
     return ratio(a, b)
+
+
+def two_best(text: Column, choices: Column, kind: str) -> Column:
+    """Of choices (k, id of type `kind`, more), the two whose k has the highest similarity_ratio to text, ties by id. A
+    choice is skipped only if the characters that both share can't bring it among the two."""
+
+    @F.pandas_udf(f"array<struct<id: {kind}, more: boolean, score: double>>")
+    def best(texts, lists):
+        import pandas as pd
+        from difflib import SequenceMatcher
+
+        out, matchers = [], {}  # a matcher indexes its second text once
+        for text, found in zip(texts, lists, strict=True):
+            top: list = []
+            for c in found:
+                m = matchers.get(c["k"]) or matchers.setdefault(c["k"], SequenceMatcher(None, "", c["k"]))
+                m.set_seq1(text)
+                least = top[1][0] if len(top) > 1 else 1.0
+                if -m.real_quick_ratio() > least or -m.quick_ratio() > least:
+                    continue
+                top = sorted([*top, (-m.ratio(), c["id"], c["more"])])[:2]
+            out.append([{"id": i, "more": more, "score": -s} for s, i, more in top])
+        return pd.Series(out)
+
+    return best(text, choices)

@@ -26,18 +26,38 @@ def bibliography_lookup(papers: DataFrame, entries: DataFrame, key: str, least_w
     return x.select(key, F.col("candidates").cast("long").alias("candidates"), doi.alias("doi"), year.alias("year"), status.alias("metadata_status"))
 
 
+def best_titles(titles: DataFrame, candidates: DataFrame, other: str, block: int = 256) -> DataFrame:
+    """(title_key, score, gap, and the columns of candidates): the best candidate (other, cand_key, ...) of each distinct
+    title, and its lead over the runner-up, which may have the same title. Null titles count as empty."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    # of each candidate title, the candidate of the lowest id and whether there are more
+    row = F.struct(*[c for c in candidates.columns if c != other])
+    one = candidates.filter(F.col(other).isNotNull()).groupBy(text(F.col("cand_key")).alias("k")).agg(F.min(other).alias("id"), F.min_by(row, other).alias("row"), F.count("*").alias("n"))
+    parts = one.select(F.pmod(F.xxhash64("k"), F.lit(1 << 20)).alias("h"), "k", "id", (F.col("n") > 1).alias("more"))
+    n = max(1, -(-one.count() // block))
+    blocks = parts.groupBy((F.col("h") % n).alias("b")).agg(F.collect_list(F.struct("k", "id", "more")).alias("c")).select("c")
+    asked = titles.select(text(F.col("title_key")).alias("t")).distinct()
+    kind = candidates.select(other).schema[0].dataType.simpleString()
+    pairs = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism * 4, "t").crossJoin(F.broadcast(blocks) if n <= 16 else blocks)
+    top = pairs.select("t", T.two_best(F.col("t"), F.col("c"), kind).alias("top")).select("t", F.explode("top").alias("x")).select("t", "x.*")
+    # a block's two best are enough: the best two of all are among them
+    two = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id", "more"))), 1, 2)
+    ranked = top.groupBy("t").agg(two.alias("two"))
+    first, second = F.col("two")[0], F.get(F.col("two"), F.lit(1))
+    gap = F.when(first["more"], 0.0).otherwise(F.coalesce(second["minus"] - first["minus"], F.lit(1.0)))
+    chosen = ranked.select(F.col("t").alias("title_key"), first["id"].alias(other), (-first["minus"]).alias("score"), gap.alias("gap"))
+    return chosen.join(one.select(F.col("id").alias(other), "row"), other).select("title_key", other, "score", "gap", "row.*")
+
+
 def resolve_titles(papers: DataFrame, candidates: DataFrame, key: str, other: str, least_words: int = 4, least_gap: float = 0.05) -> DataFrame:
     """papers (key, title_key, doi, year) against candidates (other, cand_key, cand_doi, cand_year): the best candidate by
     ratio, the gap to the next, and a status: strong, review or none.
 
-    Strong: equal titles of enough words, and an equal doi, or the same year with a clear gap and no other doi. Two papers
-    with one strong candidate go to review. Pairs are formed on shared words that few titles have."""
-    words = lambda df, k, t: df.select(k, F.explode(F.array_distinct(F.split(t, " "))).alias("w")).filter(F.length("w") >= 3)
-    pw, cw = words(papers, key, "title_key"), words(candidates, other, "cand_key")
-    rare = cw.groupBy("w").count().filter("count <= 50").select("w")
-    pairs = pw.join(rare, "w").join(cw, "w").select(key, other).distinct()
-    x = pairs.join(papers, key).join(candidates, other).withColumn("score", T.similarity_ratio(F.col("title_key"), F.col("cand_key")))
-    best = gap_to_next(x, [key], "score", F.asc(other))
+    Every candidate is ranked, ties by id: each distinct title against each distinct candidate title, in blocks of candidates
+    that keep their two best. Strong: equal titles of enough words, and an equal doi, or the same year with a clear gap and
+    no other doi. Two papers with one strong candidate go to review. None: without any candidate."""
+    best = best_titles(papers.select("title_key"), candidates, other)
+    best = papers.join(best.withColumnRenamed("title_key", "__t"), F.coalesce("title_key", F.lit("")) == F.col("__t")).drop("__t")
     same_doi = (F.col("doi") != "") & (F.col("doi") == F.col("cand_doi"))
     conflict = (F.col("doi") != "") & (F.col("cand_doi") != "") & (F.col("doi") != F.col("cand_doi"))
     strong = (F.col("title_key") == F.col("cand_key")) & (F.regexp_count("title_key", F.lit(r"\S+")) >= least_words) & (same_doi | F.coalesce((F.col("year") == F.col("cand_year")) & (F.col("gap") >= least_gap) & ~conflict, F.lit(False)))

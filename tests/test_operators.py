@@ -1,6 +1,7 @@
 """Operators on small frames, with the edge cases that matter."""
 
 import math
+import random
 from difflib import SequenceMatcher
 from itertools import permutations
 
@@ -260,6 +261,18 @@ def test_linkage(spark):
     assert {r.p: r.status for r in linkage.resolve_titles(papers, cands, "p", "c").collect()} == {1: "strong", 2: "review", 3: "strong"}
 
 
+def test_every_title_is_ranked(spark):
+    rng = random.Random(3)
+    common = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "of", "x"], k=rng.randint(0, 7))) for _ in range(150)]
+    cands = [(i, t, "", 2000) for i, t in enumerate([*common, *["one title that many rows share"] * 60, None])]
+    papers = [(1000 + i, t, "", 2000) for i, t in enumerate([*common[:40], "one title that many rows share", "", "zz", "the alpha beta gam"])]
+    got = linkage.resolve_titles(frame(spark, papers, "p int, title_key string, doi string, year int"), frame(spark, cands, "c int, cand_key string, cand_doi string, cand_year int"), "p", "c").collect()
+    assert len(got) == len(papers)
+    for r in got:
+        ranked = sorted((-SequenceMatcher(None, papers[r.p - 1000][1], t or "").ratio(), i) for i, t, _, _ in cands)
+        assert (r.c, r.score, r.gap) == (ranked[0][1], -ranked[0][0], ranked[1][0] - ranked[0][0])
+
+
 def test_readability(spark):
     df = frame(spark, [(1, "The cat sat. Beautiful animal!"), (2, "..."), (3, None)], "k int, text string")
     got = {r.k: r for r in readability.scores(df, "text").collect()}
