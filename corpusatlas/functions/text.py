@@ -133,15 +133,20 @@ def normalize_title(c: Column) -> Column:
     return norm(c)
 
 
-def similarity_ratio(a: Column, b: Column) -> Column:
-    """Twice the characters in matching blocks over all characters (order matters; not an edit distance)."""
+def similarity_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Twice the characters in matching blocks over all characters (order matters; not an edit distance). Pairs whose shared
+    characters can't bring them to `least` get 0."""
 
     @F.pandas_udf("double")
     def ratio(x, y):
         import pandas as pd
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, s or "", t or "").ratio() for s, t in zip(x, y, strict=True)])
+        out = []
+        for s, t in zip(x, y, strict=True):
+            m = SequenceMatcher(None, s or "", t or "")
+            out.append(m.ratio() if not least or (m.real_quick_ratio() >= least and m.quick_ratio() >= least) else 0.0)
+        return pd.Series(out, dtype=float)
 
     return ratio(a, b)
 

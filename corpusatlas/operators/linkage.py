@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusatlas import contracts
 from corpusatlas.functions import text as T
-from corpusatlas.operators.ranking import flag_repeated, gap_to_next
+from corpusatlas.operators.ranking import flag_repeated
+from corpusatlas.storage import keep
 
 
 def bibliography_lookup(papers: DataFrame, entries: DataFrame, key: str, least_words: int = 4) -> DataFrame:
@@ -56,7 +57,7 @@ def resolve_titles(papers: DataFrame, candidates: DataFrame, key: str, other: st
     Every candidate is ranked, ties by id: each distinct title against each distinct candidate title, in blocks of candidates
     that keep their two best. Strong: equal titles of enough words, and an equal doi, or the same year with a clear gap and
     no other doi. Two papers with one strong candidate go to review. None: without any candidate."""
-    best = best_titles(papers.select("title_key"), candidates, other)
+    best = keep(best_titles(papers.select("title_key"), candidates, other), "titles")  # scored once, read twice
     best = papers.join(best.withColumnRenamed("title_key", "__t"), F.coalesce("title_key", F.lit("")) == F.col("__t")).drop("__t")
     same_doi = (F.col("doi") != "") & (F.col("doi") == F.col("cand_doi"))
     conflict = (F.col("doi") != "") & (F.col("cand_doi") != "") & (F.col("doi") != F.col("cand_doi"))
@@ -117,7 +118,7 @@ def front_matches(blocks: DataFrame, references: DataFrame, document: str, most:
     w = Window.partitionBy(document).orderBy("ord").rowsBetween(0, most - 1)
     runs = blocks.withColumn("ahead", F.collect_list("text").over(w)).select(document, F.col("ord").alias("first"), "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n"))
     x = runs.select(document, "first", "n", F.array_join(F.slice("ahead", 1, F.col("n")), " ").alias("run")).join(references, document)
-    x = x.filter((F.length("run") / F.length("reference")).between(0.9, 1.12)).withColumn("score", T.similarity_ratio(F.col("run"), F.col("reference")))
+    x = x.filter((F.length("run") / F.length("reference")).between(0.9, 1.12)).withColumn("score", T.similarity_ratio(F.col("run"), F.col("reference"), least))
     return x.filter(F.col("score") >= least).groupBy(document).agg(F.max_by(F.struct("first", "n", "score"), F.struct("score", -F.col("first"), -F.col("n"))).alias("m")).select(document, "m.*")
 
 

@@ -60,9 +60,9 @@ def link_exact_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_fuzzy_titles(spark: SparkSession, d: str) -> DataFrame:
-    x = first_lines(spark, d).filter("doc_id % 10 = 1")
-    papers = x.select("doc_id", "title_key", F.lit("").alias("doi"), (F.col("doc_id") % 3).alias("year"))
-    other = first_lines(spark, d).filter("doc_id % 10 = 2").select(F.col("doc_id").alias("cand_id"), F.col("title_key").alias("cand_key"), F.lit("").alias("cand_doi"), (F.col("doc_id") % 3).alias("cand_year"))
+    """All first lines against all benchmark texts."""
+    papers = first_lines(spark, d).select("doc_id", "title_key", F.lit("").alias("doi"), (F.col("doc_id") % 3).alias("year"))
+    other = table(spark, d, "benchmark").select(F.col("item_id").alias("cand_id"), F.lower("text").alias("cand_key"), F.lit("").alias("cand_doi"), (F.col("item_id") % 3).alias("cand_year"))
     return rounded(linkage.resolve_titles(papers, other, "doc_id", "cand_id"), "score", "gap")
 
 
@@ -96,7 +96,7 @@ def newest_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def front_matches(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").filter("doc_id % 10 = 0").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 8)).alias("ord", "text"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     reference = lines.filter("ord BETWEEN 1 AND 2").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("reference")).filter("length(reference) BETWEEN 40 AND 600")
     return rounded(linkage.front_matches(lines, reference, "doc_id"), "score")
 
