@@ -108,6 +108,7 @@ class Tree:
             return
         given = attributes(raw) if raw.strip(" /") else {}
         name = f"{tag}.{'.'.join(given['class'].split())}" if given.get("class") else tag
+        name = name.replace("%", "%25").replace("/", "%2F")  # a slash parts levels
         node = Node(tag, f"{stack[-1].path}/{name}", is_furniture(tag, given, self.core > 0))
         self.core += tag in CORE
         stack[-1].children.append(node)
@@ -181,7 +182,7 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_rows(pages: DataFrame, depth: int = 24) -> DataFrame:
+def style_rows(pages: DataFrame) -> DataFrame:
     """(host, kind, path, value, page) of each page's nodes: kind `s` with the children's tags, kind `t` with the text."""
 
     def step(batches):
@@ -197,7 +198,7 @@ def style_rows(pages: DataFrame, depth: int = 24) -> DataFrame:
                 for host, page, source in zip(*(part.column(k).to_pylist() for k in ("host", "page", "html")), strict=True):
                     seen = set()
                     for node, _ in walk(Tree(source or "").root):
-                        if node.furniture or node.path.count("/") > depth:
+                        if node.furniture:
                             continue
                         tags, texts = [], []
                         for c in node.children:

@@ -51,3 +51,15 @@ def test_extra_columns_and_empty(spark):
     row = extract(df).first()
     assert row.text == "x" and row["__host"] == "host"
     assert extract(df.filter("page_id = 2")).count() == 0
+
+
+def test_deep_articles_stay(spark):
+    from pyspark.sql import functions as F
+
+    # the wrapper's layout is the same on all pages, and its texts stand deeper than 24 elements
+    deep = lambda i: "<div class=w-1/2>" * 30 + f"<p>Own words {i} {i * 7}</p>" + "</div>" * 30
+    html = [(i, f"http://h.example/p{i}", f"<html><body><main><section><div class=x>Same words here</div>{deep(i)}</section></main></body></html>") for i in range(12)]
+    df = spark.createDataFrame(html, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract(df).collect()} == {i: f"Own words {i} {i * 7}" for i in range(12)}
+    x = {r.path: r.content for r in importance(df.select(F.lit("h").alias("host"), F.xxhash64("html").alias("page"), "html")).collect()}
+    assert x["/html/body/main/section/div.w-1%2F2"] > 0.9 and len(x) == 37  # root, html, body, main, section, div.x, 30 wrappers, p
