@@ -1,13 +1,15 @@
 """Benchmark decontamination by windows of words; DataFrame operations only.
 
 Every window of `size` consecutive words of a benchmark item (all its words, if it has fewer) is looked for in every
-document. The windows' hashes form a hash set that goes to all tasks while there are at most `max_set` of them; each
-document window whose hash is in the set is verified against the windows' words. Beyond that size the documents' windows
-are joined to the benchmark's by hash instead, and verified by the join.
+document. The windows' hashes are a broadcast hash set: a table of bits, two for each hash, `bits_per_window` bits a
+window and `most_bits` at most (8 MB), that all tasks hold as one constant. A document window whose bits are set is a
+candidate: it is verified by joining its words to the benchmark's windows. The table only decides how many windows are
+verified, never which are found, so benchmarks of any size take this one path.
 
 The tables may hold: null texts (no words), null ids (documents: kept apart from others; items: not named), repeated rows
-(documents: each row is judged by its own text; items: windows count once), no item (nothing is hit), no document (no
-row), any other columns (not read).
+(documents: each row is judged by its own text; items: windows count once), texts of any length (work and memory grow
+with a text's words; spans are cut out in one pass), no item (nothing is hit), no document (no row), any other columns
+(not read by `find_hits`, kept by `decontaminate`).
 """
 
 from __future__ import annotations
@@ -34,64 +36,70 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
     return w.select("item_id", n.alias("length"), F.explode(F.transform(positions(F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).alias("window")).distinct()
 
 
-def window_key(hashes: Column, i: Column, length: int) -> Column:
-    return F.xxhash64(F.slice(hashes, i + 1, length))
+def window_keys(hashes: Column, length: int) -> Column:
+    """A hash of each window's word hashes, in order of place."""
+    return F.transform(positions(F.size(hashes) - length + 1), lambda i: F.xxhash64(F.slice(hashes, i + 1, length)))
 
 
-def window_keys(hashes: Column, length: int) -> Column:
-    return F.transform(positions(F.size(hashes) - length + 1), lambda i: window_key(hashes, i, length))
+def places(key: Column, bits: int) -> tuple[Column, Column]:
+    """The two bits of a hash in a table of `bits` (a power of two, 2**32 at most)."""
+    low = F.lit(bits - 1).cast("long")
+    return key.bitwiseAND(low), F.shiftrightunsigned(key, 32).bitwiseAND(low)
+
+
+def bit_table(keys: DataFrame, bits: int) -> DataFrame:
+    """One row, one array of bits / 64 longs: the bits of all hashes in column `k`. Its size is `bits`, whatever the input."""
+    spots = keys.select(F.explode(F.array(*places(F.col("k"), bits))).alias("p"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    longs = spots.groupBy(F.shiftrightunsigned("p", 6).alias("id")).agg(F.bit_or(mask).alias("v"))
+    every = keys.sparkSession.range(max(1, bits >> 6)).join(longs, "id", "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("bits"))
 
 
 def covered(spots: Column) -> Column:
-    """Places in the union of [pos, pos + length), from structs (pos, length)."""
-    return let(F.sort_array(spots), lambda s: F.aggregate(s, F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(F.greatest(a["end"], x["pos"] + x["length"]).alias("end"), (a["n"] + F.greatest(x["pos"] + x["length"] - F.greatest(a["end"], x["pos"]), F.lit(0))).alias("n")))["n"])
-
-
-def find_hits(docs: DataFrame, items: DataFrame, size: int = 13, max_set: int = 20_000) -> DataFrame:
-    """One row per row of docs: row, doc_id, text_key, n_words, n_hit, spots (where windows occur), n_items, items."""
-    windows = benchmark_windows(items, size)
-    distinct = windows.select("length", "window").distinct().limit(max_set + 1).collect()
-    w = item_words(F.col("text"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), w.alias("w"))
-    if len(distinct) <= max_set:
-        sets = {k: [r["window"] for r in distinct if r["length"] == k] for k in {r["length"] for r in distinct}}
-        spots = F.array().cast("array<struct<pos:int,length:int,window:string>>")
-
-        def within(x: Column, h: Column, length: int, known: list[str]) -> Column:
-            # the same hash of word hashes that the documents' windows get, so the set holds one long per window
-            near = F.filter(positions(F.size(x) - length + 1), lambda i: window_key(h, i, length).isin(keys[length]))
-            named = F.transform(near, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.array_join(F.slice(x, i + 1, length), " ").alias("window")))
-            return F.filter(named, lambda s: s["window"].isin(known))
-
-        keys = {}
-        if distinct:
-            split = windows.select("length", "window").distinct().select("length", F.transform(F.split("window", " "), lambda v: F.xxhash64(v)).alias("h")).select("length", F.xxhash64("h").alias("k")).collect()
-            keys = {k: [r["k"] for r in split if r["length"] == k] for k in sets}
-
-            def all_spots(x: Column) -> Column:
-                return let(F.transform(x, lambda v: F.xxhash64(v)), lambda h: F.concat(*[within(x, h, k, known) for k, known in sorted(sets.items())]))
-
-            spots = let(F.col("w"), all_spots)
-        found = materialise(rows.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), spots.alias("spots"), F.monotonically_increasing_id().alias("row")), "hits")
-    else:
-        found = materialise(rows.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "w", F.monotonically_increasing_id().alias("row")), "words")
-        lengths = [r["length"] for r in windows.select("length").distinct().collect()]  # size values at most
-        parts = []
-        for k in sorted(lengths):
-            h = found.select("row", "w", F.transform("w", lambda v: F.xxhash64(v)).alias("h")).select("row", "w", F.posexplode(window_keys(F.col("h"), k)).alias("pos", "k"))
-            # a hash that many documents share sits on the side that the engine's skew handling splits
-            known = windows.filter(F.col("length") == k).select("window").distinct().withColumn("k", F.xxhash64(F.transform(F.split("window", " "), lambda v: F.xxhash64(v))))
-            joined = h.join(known, "k").filter(F.array_join(F.slice("w", F.col("pos") + 1, k), " ") == F.col("window"))
-            parts.append(joined.select("row", F.struct(F.col("pos"), F.lit(k).alias("length"), F.col("window")).alias("s")))
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
-        spots = hits.groupBy("row").agg(F.collect_list("s").alias("spots"))  # a document's own windows
-        found = materialise(found.drop("w").join(spots, "row", "left").withColumn("spots", F.coalesce("spots", F.array().cast("array<struct<pos:int,length:int,window:string>>"))), "hits")
-    met = found.select("row", F.explode(F.array_distinct(F.transform("spots", lambda s: s["window"]))).alias("window"))
-    named = met.join(windows.select("window", "item_id").filter(F.col("item_id").isNotNull()), "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    out = found.withColumn("n_hit", covered(F.transform("spots", lambda s: F.struct(s["pos"].alias("pos"), s["length"].alias("length")))))
-    return out.join(named, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_items", F.size("items").cast("long"))
+    """The union of [pos, pos + length) over structs (pos, length), as sorted disjoint structs (s, e)."""
+    span = "struct<s:int,e:int>"
+
+    def add(a: Column, x: Column) -> Column:
+        end, last = (x["pos"] + x["length"]).alias("e"), F.struct(a["s"].alias("s"), a["e"].alias("e"))
+        grown = F.struct(a["s"].alias("s"), F.greatest(a["e"], end).alias("e"), a["done"].alias("done"))
+        return F.when(x["pos"] <= a["e"], grown).otherwise(F.struct(x["pos"].alias("s"), end, F.when(a["e"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(last))).alias("done")))
+
+    start = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.array().cast(f"array<{span}>").alias("done"))
+    return F.aggregate(F.array_sort(spots), start, add, lambda a: F.when(a["e"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))))
+
+
+def find_hits(docs: DataFrame, items: DataFrame, size: int = 13, bits_per_window: int = 32, most_bits: int = 1 << 26) -> DataFrame:
+    """One row per row of docs: row, doc_id, text_key, n_words, n_hit, spans (hit words: structs s, e), n_items, items."""
+    named = materialise(benchmark_windows(items, size), "benchmark")
+    windows = materialise(named.select("length", "window").distinct().withColumn("k", F.xxhash64(F.transform(F.split("window", " "), lambda v: F.xxhash64(v)))), "windows")
+    lengths = [r["length"] for r in windows.groupBy("length").count().orderBy("length").collect()]  # `size` values at most
+    bits = 64
+    while bits < min(most_bits, windows.count() * bits_per_window):
+        bits *= 2
+    # a constant of every task, of `bits` whatever the input
+    table = materialise(bit_table(windows.select("k"), bits), "bits").scalar()
+
+    def known(p: Column) -> Column:
+        return F.get(table, F.shiftrightunsigned(p, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0
+
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), item_words(F.col("text")).alias("w"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "words")
+    met = rows.sparkSession.createDataFrame([], "row long, pos int, length int, window string")
+    for n in lengths:
+        each = rows.select("row", F.posexplode(let(F.transform("w", lambda v: F.xxhash64(v)), lambda h: window_keys(h, n))).alias("pos", "k"))
+        first, second = places(F.col("k"), bits)
+        near = each.filter(known(first) & known(second))
+        met = met.unionByName(near.join(windows.filter(F.col("length") == n), "k").select("row", "pos", "length", "window"))
+    met = materialise(met, "candidates")
+    # hashes have met; now the words
+    own = met.groupBy("row").agg(F.collect_set(F.struct("pos", "length", "window")).alias("c"))  # a document's own windows
+    hits = rows.join(own, "row").select("row", F.filter("c", lambda c: F.array_join(F.slice("w", c["pos"] + 1, c["length"]), " ") == c["window"]).alias("c"))
+    hits = materialise(hits.select("row", covered(F.transform("c", lambda c: F.struct(c["pos"].alias("pos"), c["length"].alias("length")))).alias("spans"), F.array_distinct(F.transform("c", lambda c: c["window"])).alias("windows")), "hits")
+    of = hits.select("row", F.explode("windows").alias("window")).join(named.filter(F.col("item_id").isNotNull()).select("window", "item_id"), "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = rows.select("row", "doc_id", "text_key", F.size("w").cast("long").alias("n_words")).join(hits.select("row", "spans"), "row", "left").join(of, "row", "left")
+    out = out.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.withColumns({"n_hit": F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), "n_items": F.size("items").cast("long")})
 
 
 def contaminated(most: int = 20) -> Column:
@@ -99,20 +107,26 @@ def contaminated(most: int = 20) -> Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * most >= F.col("n_words"))
 
 
-def without_spots(text: Column, spots: Column) -> Column:
-    """text without the words in spots (structs pos, length, of merged or unmerged windows) and the gap after each."""
-    runs = F.regexp_extract_all(text, F.lit(f"({ORIGINAL_WORD})|({ORIGINAL_GAP})"), F.lit(0))
+def without_spans(text: Column, spans: Column) -> Column:
+    """text without the words in spans (sorted, disjoint structs s, e) and the gap after each."""
+    pieces = F.regexp_extract_all(text, F.lit(f"({ORIGINAL_WORD})|({ORIGINAL_GAP})"), F.lit(0))
     lead = F.when(text.rlike(f"^{ORIGINAL_GAP}"), 1).otherwise(0)
-    gone = F.array_distinct(F.flatten(F.transform(spots, lambda s: F.transform(positions(s["length"]), lambda i: s["pos"] + i))))
-    return let(F.struct(gone.alias("g"), lead.alias("l"), runs.alias("r")), lambda x: F.array_join(F.filter(x["r"], lambda _, j: (j < x["l"]) | ~F.array_contains(x["g"], F.floor((j - x["l"]) / 2).cast("int"))), ""))
+
+    def kept(x: Column) -> Column:
+        # word j is piece lead + 2j, its gap the piece behind it; what stays lies before, between and behind the spans
+        begin = F.concat(F.array(F.lit(0)), F.transform(x["c"], lambda c: x["l"] + 2 * c["e"]))
+        end = F.concat(F.transform(x["c"], lambda c: x["l"] + 2 * c["s"]), F.array(F.size(x["p"])))
+        return F.array_join(F.flatten(F.zip_with(begin, end, lambda b, e: F.slice(x["p"], b + 1, F.greatest(e - b, F.lit(0))))), "")
+
+    return let(F.struct(spans.alias("c"), lead.alias("l"), pieces.alias("p")), kept)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, max_set: int = 20_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, **settings) -> DataFrame:
     """docs without contaminated documents, and without the hit spans in the others. All columns stay as they are."""
-    hits = find_hits(docs, items, size, max_set).filter(F.col("n_hit") > 0)
-    names = {c: free_name(docs, c) for c in ("id", "key", "bad", "spots")}
-    verdict = hits.groupBy("doc_id", "text_key").agg(F.first(contaminated()).alias(names["bad"]), F.first("spots").alias(names["spots"])).withColumnsRenamed({"doc_id": names["id"], "text_key": names["key"]})
+    hits = find_hits(docs, items, size, **settings).filter(F.col("n_hit") > 0)
+    names = {c: free_name(docs, c) for c in ("id", "key", "bad", "spans")}
+    verdict = hits.groupBy("doc_id", "text_key").agg(F.first(contaminated()).alias(names["bad"]), F.first("spans").alias(names["spans"])).withColumnsRenamed({"doc_id": names["id"], "text_key": names["key"]})
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     joined = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict[names["id"]]) & (key == verdict[names["key"]]), "left").filter(F.coalesce(F.col(names["bad"]), F.lit(False)) == F.lit(False))
-    clean = F.when(F.col(names["spots"]).isNotNull(), without_spots(F.col("text"), F.col(names["spots"]))).otherwise(F.col("text"))
+    clean = F.when(F.col(names["spans"]).isNotNull(), without_spans(F.col("text"), F.col(names["spans"]))).otherwise(F.col("text"))
     return joined.select(*[clean.alias(c) if c.lower() == "text" else docs[c] for c in docs.columns])

@@ -144,18 +144,44 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("max_set", [20_000, 0])
-def test_hits(spark, max_set):
+@pytest.mark.parametrize("most_bits", [1 << 26, 64])
+def test_hits(spark, most_bits):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(4)] + ["Éa", "日本", "x9"]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(1, say(30)), (2, say(5)), (3, say(13)), (10, "short one"), (11, None), (12, ""), (13, "Short, ONE!")]
     docs = [(i, say(rng.randint(0, 200))) for i in range(40)] + [(100, items[0][1].upper().replace(" ", ", ")), (101, None), (102, "a b short-one c"), (103, "Short one"), (103, "Short one"), (None, items[2][1])]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = dc.find_hits(df, bench, max_set=max_set).select("doc_id", "n_words", "n_hit", "items", dc.contaminated().alias("c")).collect()
+    got = dc.find_hits(df, bench, most_bits=most_bits).select("doc_id", "n_words", "n_hit", "items", dc.contaminated().alias("c")).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.c) for r in got), key=str) == brute(docs, items)
 
 
+def test_covered(spark):
+    rng = random.Random(5)
+    rows = [(i, [(rng.randrange(60), rng.choice((2, 5, 13))) for _ in range(rng.randrange(9))]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, s array<struct<pos:int,length:int>>")
+    for r in df.select("id", dc.covered(F.col("s")).alias("c")).collect():
+        places = {p + k for p, n in rows[r.id][1] for k in range(n)}
+        assert sorted(k for s, e in r.c for k in range(s, e)) == sorted(places)
+        assert all(a.e < b.s for a, b in zip(r.c, r.c[1:]))
+
+
+def test_long_document_and_large_benchmark(spark):
+    """100,000 words against 200,000 windows: more than one bit table's comfort, and no window is lost."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"b{rng.randrange(10**6)}" for _ in range(113))) for i in range(2000)]
+    words = [f"w{rng.randrange(5000)}" for _ in range(100_000)]
+    for k in range(50):
+        words[2000 * k : 2000 * k + 20] = items[k][1].split()[:20]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for bits in (1 << 26, 1 << 12):
+        got = {r.doc_id: r for r in dc.find_hits(docs, bench, most_bits=bits).collect()}
+        assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[2].n_hit) == (100_000, 1000, 50, 0)
+        assert [(x.s, x.e) for x in got[1].spans] == [(2000 * k, 2000 * k + 20) for k in range(50)]
+    assert len(dc.decontaminate(docs, bench).filter("doc_id = 1").first().text.split()) == 99_000
+
+
 def test_no_items_no_docs(spark):
     df, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.find_hits(df, bench).first().n_hit == 0
