@@ -9,8 +9,16 @@ Only distinct fingerprints are joined: copies cost nothing. A fingerprint has at
 links are bounded per fingerprint whatever the size of a group; buckets are never collected, and a join's hot bucket is
 split by the engine. Components are labels lowered over the links (iterative, each round written to the shared folder).
 
-The table may hold: null texts (no words: fingerprint zero), null doc_ids (they take part in links; the smallest known id
-names the component, null if there is none), repeated rows (copies), nothing (no row), any other columns (not read).
+Three bits of 64 find texts that hardly differ. For near copies by similarity (`near_groups`, `drop_near_duplicates`:
+shingles of five words, Jaccard similarity of 0.8 or more) the same index takes fingerprints of 12 segments of 28 bits. A
+pair is met if any segment differs in one bit at most, which is certain up to 23 differing bits of 336 (similarity 0.92
+or so) and likely beyond; candidates are verified on their sketches, then on the shingles themselves.
+
+The tables may hold: null texts (no words: fingerprint zero; for near_groups all texts without words are equal), null
+doc_ids (near_duplicates: they take part in links; the smallest known id names the component, null if there is none;
+drop_near_duplicates: they give way to known ones), repeated rows and doc_ids (each row is judged by its own text; of
+equal rows one stays), texts of any length (work grows with the words), nothing (no row), any other columns (kept by
+drop_near_duplicates, not read by the others).
 """
 
 from __future__ import annotations
@@ -19,7 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusatlas.llm.common import map_arrow, materialise
+from corpusatlas.llm.common import free_name, let, map_arrow, materialise
+from corpusatlas.operators.graphs import connected_components
 
 SEGMENT = 32
 LOW = (1 << SEGMENT) - 1
@@ -75,37 +84,11 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     return a.join(b, "key").filter((bits(x) <= most) & once).select("a", "b")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for the nodes of the edges.
-
-    Alternates large-star and small-star steps, which keep connectivity and shorten paths until each component is a star
-    around its smallest node; rounds grow with the logarithm of the size. A hot node's neighbours are reduced to their
-    minimum before they are shuffled."""
-    e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct(), "edges")
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: each larger neighbour points to the least of the neighbourhood
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-        # small star: each smaller neighbour, and the node itself, points to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
-        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        # stars: no node is both a centre and a leaf, and each leaf has one centre; then edges no longer change
-        same = now.count() == e.count() and now.exceptAll(e).isEmpty()
-        e = now
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-
-
 def near_duplicates(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
     """One row per document: doc_id, fp, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     rows = materialise(fingerprints(docs, size), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), most))
+    roots = connected_components(links(distinct.select("fp"), most).toDF("src", "dst"))
     labelled = distinct.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     # only fingerprints in a component of several need more than their own least id
@@ -117,9 +100,153 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (rows that share a doc_id are one document;
-    null doc_ids stay)."""
-    found = near_duplicates(docs, size, most)
-    losers = materialise(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "losers")
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+# Near copies by similarity: longer fingerprints, more segments, verified by the shingles themselves.
+
+def lane(k: int) -> np.uint64:
+    """What sets the k-th 64 bits of a long fingerprint apart: multiples of the golden ratio's fraction."""
+    return np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+
+
+class WordHashes(dict):
+    """Hashes of the words that a worker has met; emptied when it grows beyond `most`."""
+
+    def __init__(self, most: int = 500_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word)
+        return h
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finalizer of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_KNOWN = WordHashes()
+
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The hashes of the distinct shingles; of the whole sequence if it is shorter; none without a word."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    h = np.fromiter((_KNOWN[x] for x in w), np.uint64, len(w))
+    n = max(1, len(w) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(size, len(w))):
+        out = mixed(out + h[i : i + n] + np.uint64(i + 1))
+    return np.unique(out)
+
+
+def long_fingerprint(h: np.ndarray, segments: int, bits: int) -> np.ndarray:
+    """`segments` numbers of `bits` bits; a bit is 1 if it is set in over half of the distinct shingles' hashes."""
+    lanes = -(-segments * bits // 64)
+    votes, step = np.zeros((lanes, 64), np.int64), 1 << 12
+    for i in range(0, len(h), step):
+        part = h[i : i + step]
+        for k in range(lanes):
+            x = mixed(part + lane(k)).view(np.uint8).reshape(-1, 8)
+            votes[k] += np.unpackbits(x, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    out = (votes.ravel()[: segments * bits] * 2 > len(h)).reshape(segments, bits)
+    return out @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+
+def sketches(rows: DataFrame, size: int, segments: int, bits: int) -> DataFrame:
+    """(row, doc_id, words, sketch) of rows (row, doc_id, text): a digest of the sequence of words, and the fingerprint."""
+
+    def step(batch):
+        import pyarrow as pa
+        from xxhash import xxh128_digest
+
+        words, out = [], []
+        for t in batch.column("text").to_pylist():
+            words.append(xxh128_digest(b" ".join((t or "").encode().lower().split())))
+            out.append(long_fingerprint(shingles(t, size), segments, bits))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["row", "doc_id", "words", "sketch"])
+
+    return map_arrow(rows.select("row", "doc_id", "text"), step, "row long, doc_id long, words binary, sketch array<long>")
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Differing bits of two sketches."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def candidates(nodes: DataFrame, bits: int) -> DataFrame:
+    """(a, b): nodes (node, sketch) that have a segment in common, or a segment that differs in one bit.
+
+    The holders of one value of a segment are joined to one of them, not to each other, and only values, not their
+    holders, meet through the wildcard variants: two at a variant. So pairs grow with the nodes, however large a group;
+    two members of a group that are like each other but not like the chosen one stay apart in that segment."""
+    held = nodes.select("node", F.posexplode("sketch").alias("s", "v"))
+    values = materialise(held.groupBy("s", "v").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("head"), F.count("*").alias("n")), "segments")
+    shared = held.join(values.filter("n > 1"), ["s", "v"]).filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    long = lambda c: c.cast("long")
+
+    def variants(one: bool, name: str) -> DataFrame:
+        wild = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.struct(b.alias("b"), F.call_function("shiftleft", long(F.lit(1)), b).alias("m"))), lambda x: (F.col("v").bitwiseAND(x["m"]) != 0) == F.lit(one))
+        keys = F.transform(wild, lambda x: (long(F.col("s")) * 64 + x["b"]) * F.lit(1 << 50).cast("long") + F.col("v").bitwiseAND(F.bitwise_not(x["m"])))
+        return values.select(F.explode(keys).alias("key"), F.col("head").alias(name))
+
+    near = variants(False, "a").join(variants(True, "b"), "key").filter("a <> b").select("a", "b")
+    return shared.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def segment_bits(nodes: int) -> int:
+    """Bits of a segment: 28, or four more than number the nodes, so that few unrelated nodes share one."""
+    return min(50, max(28, nodes.bit_length() + 4))
+
+
+def widest(similarity: float, total: int) -> int:
+    """The most bits of `total` that two sketches of that Jaccard similarity differ in, but for one pair in forty."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.ceil(total * p + 2 * np.sqrt(total * p * (1 - p))))
+
+
+def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, segments: int = 12, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs with a row number (column 0), and (row, best): for each row of a group the row of the one that stays.
+
+    Rows are equal if their words are. Texts are linked if they meet as candidates, their sketches are near enough and
+    `similarity` or more of their distinct shingles are common (verified on the shingles). Groups are the components; of
+    a group stays the smallest doc_id (a null comes last), of equal ids the first row."""
+    spark, row = docs.sparkSession, free_name(docs, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits = bits or segment_bits(numbered.count())
+    seen = materialise(sketches(rows, size, segments, bits), "sketches")
+    nodes = materialise(seen.groupBy("words").agg(F.min("row").alias("node"), F.min_by("sketch", "row").alias("sketch")), "nodes")
+    pairs = materialise(candidates(nodes.select("node", "sketch"), bits), "pairs")
+    a, b = (nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
+    close = materialise(pairs.join(a, "a").join(b, "b").filter(distance(F.col("sa"), F.col("sb")) <= widest(similarity, segments * bits)).select("a", "b"), "close")
+    concerned = close.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+
+    def cut(batch):
+        import pyarrow as pa
+
+        sets = [shingles(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    sets = materialise(map_arrow(rows.join(concerned, "row", "left_semi").select("row", "text"), cut, "node long, set array<long>"), "sets")
+    a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"s{n}")) for n in "ab")
+    both = let(F.size(F.array_intersect("sa", "sb")), lambda n: n >= similarity * (F.size("sa") + F.size("sb") - n))
+    links = close.join(a, "a").join(b, "b").filter(both).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    roots = connected_components(links)
+    grouped = nodes.select("words", "node").join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("root"))
+    member = seen.select("row", "doc_id", "words").join(grouped, "words")
+    stays = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best"))
+    return numbered, member.join(stays, "root").select(F.col("row").alias(row), "best")
+
+
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """docs with one row of each group of near_groups. All columns stay as they are."""
+    numbered, groups = near_groups(docs, **settings)
+    row = numbered.columns[-1]
+    losers = materialise(groups.filter(F.col(row) != F.col("best")).select(row), "losers")
+    return numbered.join(losers, row, "left_anti").select(docs.columns)

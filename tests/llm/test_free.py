@@ -167,15 +167,51 @@ def test_near_duplicates(spark):
             least[k] = min(d, least.get(k, d))
     want = sorted(((d, f"{plain_fingerprint(t):016x}", least.get(root[plain_fingerprint(t)])) for d, t in rows), key=str)
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == want
-    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id for r in kept} == {r.component_id for r in got if r.doc_id is not None} | {None}
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_of_paths(spark):
-    edges = [(i, i + 1) for i in range(200)] + [(500, 501), (502, 501), (502, 503), (600, 600)]
-    got = dict(simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert all(got[i] == 0 for i in range(201)) and all(got[i] == 500 for i in range(500, 504)) and 600 not in got
-    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+def jaccard(a, b, size=5):
+    cut = lambda t: {tuple(w[i : i + size]) for w in [t.lower().split()] for i in range(max(1, len(w) - size + 1))}
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y)
+
+
+def test_groups_by_similarity(spark):
+    """Every link is a true one, and of the pairs of 0.9 or more nearly all are found."""
+    rng, texts = random.Random(17), []
+    for _ in range(60):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+        for share in (0, 0, 0.01, 0.02, 0.04, 0.1, 0.3):
+            texts.append(" ".join(f"z{rng.randint(0, 10**6)}" if rng.random() < share else w for w in base))
+    numbered, groups = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    row = numbered.columns[-1]
+    ids = dict(numbered.select(row, "doc_id").collect())
+    best = {ids[a]: ids[b] for a, b in groups.collect()}
+    like = {(i, j): jaccard(texts[i], texts[j]) for k in range(0, len(texts), 7) for i in range(k, k + 7) for j in range(k, i)}
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, j), v in like.items():
+        if v >= 0.8:
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert set(best) == set(range(len(texts))) and all(find(i) == find(b) for i, b in best.items())
+    near = [best[i] == best[j] for (i, j), v in like.items() if v >= 0.9]
+    assert len(near) > 100 and sum(near) >= 0.97 * len(near)
+    assert all(best[i] == best[j] for (i, j), v in like.items() if v == 1)
+
+
+def test_one_row_of_a_group_stays(spark):
+    base = " ".join(f"w{i * i % 997}" for i in range(300))
+    rows = [(1, base, "a"), (2, "another text with words of its own", "b"), (2, base + " tail", "c"), (5, "same row", "d"), (5, "same row", "d"), (None, base, "e"), (None, "no id at all here", "f"), (7, None, "g"), (8, " ", "h"), (9, base.upper(), "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r["__row"] for r in kept.collect()) == ["a", "b", "d", "f", "g"]
+    assert simhash.drop_near_duplicates(df.filter("doc_id = 77")).count() == 0
 
 
 def test_language(spark):
