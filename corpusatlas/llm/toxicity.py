@@ -2,15 +2,18 @@
 
 Lexicon: words and word beginnings (marked *) that toxic training documents use in several contexts and clean ones
 hardly ever; contexts (the word before) rather than documents are counted, so copies of one document do not make its words
-terms. A word of a text is matched by running its Levenshtein automaton (one error from `fuzzy_from` letters on, two from
-three times that; two swapped letters are one error) along the trie; beginnings match exactly. Misspellings that clean training documents contain are not taken.
+terms. A word of a text is matched by running its Levenshtein automaton along the trie (terms of `fuzzy_from` letters or
+more may have one error, of three times that two; two swapped letters are one error); beginnings match exactly. Only words
+that become equal to a term when both lose as many letters as it may have errors reach the automaton, which leaves out no
+match. Misspellings that clean training documents contain are not taken.
 
 Each match counts by its term's weight, less for a misspelling, and less in a context window that quotes (a quotation
 mark on either side within `window` words) or reports (a word of saying or denying). A logistic regression on the sum and
 its share of the words gives the score. The training sample is bounded: `max_rows` labelled documents of each class.
 
-The table may hold: null or empty texts (scored as texts without a match), null doc_ids (never in training), repeated rows
-(labels: toxic if any row says so), no label at all (every score is 0), nothing, any other columns (kept by `score`).
+The table may hold: null or empty texts (scored as texts without a match), texts of any length (work grows with the
+words), null doc_ids (never in training), repeated rows (labels: toxic if any row says so), no label at all (every score
+is 0), nothing, any other columns (kept by `score`; one of the score's own name is replaced).
 """
 
 from __future__ import annotations
@@ -33,50 +36,59 @@ REPORTING = frozenset("said says called quoted wrote word term slur insult not n
 PREFIXES = range(3, 9)
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """The word, and what is left of it without 1 to `most` of its letters."""
+    out, last = {word}, {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
+
+
 class Trie:
     """Terms with weights; children by character, all in dictionaries."""
 
-    def __init__(self, terms: dict[str, float], fuzzy_from: int = 5):
-        self.fuzzy_from, self.root = fuzzy_from, {}
-        heads, short_heads, tails = set(), set(), set()
+    def __init__(self, terms: dict[str, float], fuzzy_from: int = 5, most_known: int = 300_000):
+        self.fuzzy_from, self.most_known, self.root = fuzzy_from, most_known, {}
+        heads, short, lengths = set(), set(), set()
         for term, weight in terms.items():
             node, stem, end = self.root, term.rstrip("*"), "*" if term.endswith("*") else ""
             for c in stem:
                 node = node.setdefault(c, {})
             node[end] = max(weight, node.get(end, 0.0))
-            # an exact match shares the first letters; one error leaves the first or the second half of a term as it is
             heads.add(stem[:3])
-            if not end and len(stem) >= fuzzy_from:
-                tails.update((n, stem[-3:]) for n in range(len(stem) - 2, len(stem) + 3))
-                # two swapped letters may lie on both sides of the cut
-                if len(stem) == 6:
-                    heads.add(stem[:2] + stem[3])
-                if len(stem) < 6:
-                    short_heads.update((n, h) for n in range(len(stem) - 1, len(stem) + 2) for h in (stem[:2], stem[0] + stem[2]))
-        self.heads, self.short_heads, self.tails = frozenset(heads), frozenset(short_heads), frozenset(tails)
+            if not end and self.errors(len(stem)):
+                lengths.add(len(stem))
+                short |= shortened(stem, self.errors(len(stem)))
+        self.heads, self.short = frozenset(heads), frozenset(short)
+        # errors that a word of a length may have against any term
+        self.budget = {n: k for n in range(max(lengths, default=0) + 3) if (k := max((self.errors(m) for m in lengths if abs(m - n) <= self.errors(m)), default=0))}
         self.known: dict[str, tuple[float, bool]] = {}
 
     def match_all(self, words) -> dict[str, tuple[float, bool]]:
-        """The matches of words that share an unbroken part with a term. That leaves out no word with one error; one with
-        two is found if its first or last three letters are right."""
-        heads, short, tails, out = self.heads, self.short_heads, self.tails, {}
+        """The matches among words."""
+        known, out = self.known, {}
         for w in words:
-            if w[:3] in heads or (len(w), w[-3:]) in tails or (len(w), w[:2]) in short:
-                got = self.match(w)
-                if got[0]:
-                    out[w] = got
+            if (got := known.get(w)) is None:
+                if len(known) >= self.most_known:
+                    known.clear()
+                got = known[w] = self.match(w)
+            if got[0]:
+                out[w] = got
         return out
 
     def errors(self, n: int) -> int:
+        """How many a term of n letters may have."""
         return 0 if n < self.fuzzy_from else 1 if n < 3 * self.fuzzy_from else 2
 
     def match(self, word: str) -> tuple[float, bool]:
         """The greatest weight of a matching term (0: none), exact ones first; whether it is exact."""
-        if (got := self.known.get(word)) is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[word] = self._exact(word) or self._fuzzy(word)
-        return got
+        if word[:3] in self.heads and (exact := self._exact(word)):
+            return exact
+        k = self.budget.get(len(word), 0)
+        if k and not self.short.isdisjoint(shortened(word, k)):
+            return self._fuzzy(word, k), False
+        return 0.0, False
 
     def _exact(self, word: str):
         node, best = self.root, 0.0
@@ -89,24 +101,21 @@ class Trie:
             best = max(best, node.get("", 0.0), node.get("*", 0.0))
         return (best, True) if best else None
 
-    def _fuzzy(self, word: str) -> tuple[float, bool]:
-        """Walks automaton and trie together. The automaton's state holds, per number of errors, the set of places in the
-        word that can be reached, as bits."""
-        k = self.errors(len(word))
-        if not k:
-            return 0.0, False
+    def _fuzzy(self, word: str, k: int) -> float:
+        """Walks automaton and trie together. The automaton's state holds, per number of errors up to k, the set of places
+        in the word that can be reached, as bits."""
         n, at = len(word), defaultdict(int)
         for i, c in enumerate(word):
             at[c] |= 1 << i
         final, best = 1 << n, 0.0
         keep = (final << 1) - 1
         start = [(1 << (e + 1)) - 1 & keep for e in range(k + 1)]  # e letters of the word left out
-        stack = [(self.root, start, [0] * (k + 1))]
+        stack = [(self.root, start, [0] * (k + 1), 0)]
         while stack:
-            node, state, turned = stack.pop()
+            node, state, turned, depth = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if any(s & final for s in state):
+                    if any(s & final for s in state[: self.errors(depth) + 1]):
                         best = max(best, child)
                     continue
                 if c == "*":
@@ -120,8 +129,8 @@ class Trie:
                     new.append(now & keep)
                     swap.append(state[e - 1] & here >> 1 if e else 0)
                 if any(new) or any(swap):
-                    stack.append((child, new, swap))
-        return best, False
+                    stack.append((child, new, swap, depth + 1))
+        return best
 
 
 class Scorer:
@@ -180,7 +189,7 @@ def frequencies(texts: list[str]) -> Counter:
     return out
 
 
-def learn(texts: list[str], toxic: list[int], least_contexts: int = 8, ratio: float = 20.0, max_terms: int = 2_000) -> Scorer:
+def learn(texts: list[str], toxic: list[int], least_contexts: int = 8, ratio: float = 20.0) -> Scorer:
     """A scorer from labelled texts; equal texts count once."""
     rows = sorted({t: y for y, t in sorted((int(y), t or "") for t, y in zip(texts, toxic, strict=True))}.items())
     bad, good = [t for t, y in rows if y], [t for t, y in rows if not y]
@@ -201,7 +210,6 @@ def learn(texts: list[str], toxic: list[int], least_contexts: int = 8, ratio: fl
                 contexts[term].add(before)
                 ends[term].add(w)
     terms = [k for k in weights if len(contexts[k]) >= need and (k[-1] != "*" or len(ends[k]) >= 4)]
-    terms = sorted(terms, key=lambda k: (-len(contexts[k]), k))[:max_terms]
     scorer = Scorer({k: weights[k] for k in terms})
     scorer.safe = frozenset(w for w, (_, exact) in scorer.trie.match_all(w for w in in_good if w[-1:] != "*").items() if not exact)
     scorer.train([t for t, _ in rows], np.array([y for _, y in rows]))
@@ -228,7 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = 3_000
 
 def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
     """docs with a score column, 0 to 1."""
-    held = docs.sparkSession.sparkContext.broadcast(scorer)  # at most max_terms terms
+    scorer.trie.known.clear()
+    held = docs.sparkSession.sparkContext.broadcast(scorer)  # words of the bounded training sample at most
 
     @F.pandas_udf("double")
     def judge(texts):
