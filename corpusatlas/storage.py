@@ -1,23 +1,52 @@
-"""Tables kept in the folder that all executors share, so that iterative jobs restart from there."""
+"""Tables kept in the folder that all executors share, so that jobs restart from there when executors are lost."""
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a private folder is made only where that is unset."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local session gets a folder of its own; a cluster must
+    name one, as a driver's folder is not its executors'."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
         path = tempfile.mkdtemp(prefix="corpusatlas-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """df written as parquet and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df written as parquet and read again. The folder stays unless inside `scratch`: a result may still be read from it."""
+    path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes on leaving what `keep` has written inside. For work whose result is stored by then."""
+    mark = len(_KEPT)
+    try:
+        yield
+    finally:
+        while len(_KEPT) > mark:
+            delete(spark, _KEPT.pop())
