@@ -5,7 +5,8 @@ and the blocks. A block holds `block` ids (the last one fewer) of `width` bits e
 lowest bit first, padded to whole bytes. So any range of ids is found by division and unpacked by numpy.
 
 The table may hold: null texts (no token but the end id); null doc_ids (they come first and stay null); repeated rows and
-doc_ids (each row is a document of its own; equal ids follow in order of their tokens); nothing (no file, no row); any
+doc_ids (each row is a document of its own; equal ids follow in order of their texts' hashes); texts of any length (one
+document's ids are held at a time, whatever their number); nothing (no file, no row); any
 other columns (not read).
 """
 
@@ -15,11 +16,11 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusatlas.llm import files
-from corpusatlas.llm.common import fresh_dir, map_arrow, materialise
+from corpusatlas.llm.common import fresh_dir, materialise, portions
 from corpusatlas.llm.tokens import coder, default_tokenizer
 
 MAGIC = b"IDPACK1\0"
@@ -107,80 +108,73 @@ class TokenFile:
         self.f.close()
 
 
-def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 1, docs_per_file: int = 4096, block: int = 8192) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 1, docs_per_file: int = 4096, bytes_per_file: int = 32 << 20, block: int = 8192) -> DataFrame:
     """Encodes (doc_id, text), appends end_id to each, writes files in ascending doc_id order; one row per file.
 
-    Files split the doc_id range at its quantiles, so that one file's documents, `docs_per_file` or so, are all that a
-    task holds. Rows: file (in doc_id order), path, n_docs, n_tokens, start (ids in the files before it).
+    Rows are dealt by ranges of (doc_id, text hash, row), so that rows without an id or with the same one spread like any
+    others. A range becomes one file, or several in its order once `bytes_per_file` bytes of ids are held: that is all
+    that a task holds, but for a longer document. Rows: part, piece (files in doc_id order), path, n_docs, n_tokens, start
+    (ids in the files before it).
     """
     tokenizer, spark = tokenizer or default_tokenizer(), docs.sparkSession
     folder = folder or fresh_dir(spark, "tokens")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    files_wanted = max(1, -(-n // docs_per_file))
-    cuts = [i / files_wanted for i in range(1, files_wanted)]
-    found = docs.select(F.percentile_approx("doc_id", cuts, 10 * max(1000, files_wanted)).alias("q")).first()["q"] if cuts else None
-    bounds = np.unique(np.array(found or [], dtype=np.int64))
-
-    def encode(batch):
-        import pyarrow as pa
-
-        c = coder(tokenizer)
-        width, tail = min_width(max(c.vocabulary, end_id + 1)), np.array([end_id], "<u4").tobytes()
-        ids = [np.frombuffer(x + tail, "<u4") for x in c.encode(batch.column("text").to_pylist())]
-        doc_ids = batch.column("doc_id").to_pylist()
-        file = [0 if d is None else int(np.searchsorted(bounds, d, "right")) + 1 for d in doc_ids]
-        yield pa.RecordBatch.from_pydict({"file": pa.array(file, pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()), "n": pa.array(list(map(len, ids)), pa.int32()), "packed": pa.array([pack(x, width) for x in ids], pa.binary())})
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    parts = max(1, -(-size["n"] // docs_per_file), -(-size["b"] // bytes_per_file))
 
     def save(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        c = coder(tokenizer)
-        width, now, held = min_width(max(c.vocabulary, end_id + 1)), None, []
+        c, part = coder(tokenizer), TaskContext.get().partitionId()
+        width, tail = min_width(max(c.vocabulary, end_id + 1)), np.array([end_id], "<u4").tobytes()
+        held, n, piece = [], 0, 0
 
         def flush():
-            files.write(path := f"{folder}/ids-{now:06d}.bin", build(held, width, block))
-            return pa.RecordBatch.from_pydict({"file": pa.array([now], pa.int32()), "path": [path], "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([sum(len(x) for _, x in held)], pa.int64())})
+            files.write(path := f"{folder}/ids-{part:06d}-{piece:06d}.bin", build(held, width, block))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "path": [path], "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
 
         for b in batches:
-            for file, d, n, packed in zip(*(b.column(k).to_pylist() for k in ("file", "doc_id", "n", "packed")), strict=True):
-                if file != now:
-                    if held:
+            for some in portions(b):
+                for d, ids in zip(some.column("doc_id").to_pylist(), c.encode(some.column("text").to_pylist()), strict=True):
+                    held.append((d, np.frombuffer(ids + tail, "<u4")))
+                    n += len(held[-1][1])
+                    if 4 * n >= bytes_per_file:
                         yield flush()
-                    now, held = file, []
-                held.append((d, unpack(packed, width, n)))
+                        held, n, piece = [], 0, piece + 1
         if held:
             yield flush()
 
-    rows = map_arrow(docs, encode, "file int, doc_id long, n int, packed binary")
-    dealt = rows.repartition(files_wanted, "file").sortWithinPartitions("file", F.asc_nulls_first("doc_id"), "n", "packed")
-    manifest = materialise(dealt.mapInArrow(save, "file int, path string, n_docs long, n_tokens long"), "manifest")
-    # one row per file
-    seen, out = 0, []
-    for r in manifest.orderBy("file").collect():
-        out.append((*r, seen))
-        seen += r["n_tokens"]
-    return spark.createDataFrame(out, "file int, path string, n_docs long, n_tokens long, start long")
+    order = [F.asc_nulls_first("doc_id"), F.asc("h"), F.asc("row")]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = materialise(dealt.mapInArrow(save, "part int, piece int, path string, n_docs long, n_tokens long"), "manifest")
+    # ids before a file: those of the ranges before (one row a range), and of the pieces before it
+    ranges = manifest.groupBy("part").agg(F.sum("n_tokens").alias("of"))
+    before = ranges.select("part", (F.sum("of").over(Window.orderBy("part")) - F.col("of")).alias("before"))
+    own = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("piece")) - F.col("n_tokens")
+    return manifest.withColumn("own", own).join(before, "part").select("part", "piece", "path", "n_docs", "n_tokens", (F.col("before") + F.col("own")).alias("start"))
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32, file, index."""
+    """One row per document of the files: doc_id, start, n_tokens, ids_crc32, part, piece, index."""
 
     def load(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
         for b in batches:
-            for file, path, start in zip(*(b.column(k).to_pylist() for k in ("file", "path", "start")), strict=True):
+            for part, piece, path, start in zip(*(b.column(k).to_pylist() for k in ("part", "piece", "path", "start")), strict=True):
                 with TokenFile(path) as f:
                     rows = []
                     for i, (d, ids) in enumerate(f.documents()):
-                        rows.append((d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), file, i))
+                        rows.append((d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), part, piece, i))
                         start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "file", "index"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "piece", "index"])
 
     # a row per file: a task each
     n = max(1, manifest.count())
-    return manifest.repartition(n, "file").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, file int, index int")
+    return manifest.repartition(n, "part", "piece").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, piece int, index int")
 
 
 def encode_to_files(docs: DataFrame, **settings) -> DataFrame:

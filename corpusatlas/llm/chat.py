@@ -12,8 +12,8 @@ them ordinary, so the form reads back exactly. The loss mask covers the escaped
 
 The tables may hold: null texts (empty), null roles (empty), null ids (messages: dropped, they can't be referred to;
 conversations: one of their own), parents that are missing (the message is a root) or form a cycle (its messages have no
-root and are left out), repeated rows and turns (turns in order of role and text; repeated messages count once), any
-depth, nothing, any other columns (not read).
+root and are left out), repeated turns (in order of role and text), repeated message ids (one whole row counts, see
+one_each), texts of any length (a conversation is one row), any depth, nothing, any other columns (not read).
 """
 
 from __future__ import annotations
@@ -73,11 +73,19 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), n.alias("n")).select(F.col("conv_id").cast("string").alias("tree"), F.struct(F.col("conv_id").cast("string").alias("c"), F.col("n").alias("n")).alias("id"), F.when(F.col("n") > 1, F.struct(F.col("conv_id").cast("string").alias("c"), (F.col("n") - 1).alias("n"))).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def one_each(messages: DataFrame) -> DataFrame:
+    """One whole row per id that is not null: of repeated ids the first by parent, score, tree, role and text."""
+    columns = ["parent", "score", "tree", "role", "text"]
+    return messages.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct(*columns)).alias("m")).select("id", "m.*")
+
+
 def enumerate_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(path, place, id): the messages on the paths of each root's `branches` best leaves, from the root on.
+    """(path, place, id): the messages on the paths of each root's `branches` best leaves, from the root on."""
+    return _paths(one_each(messages), branches)
+
 
-    messages: id, parent, score, of one row an id."""
-    base = materialise(messages.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct("parent", "score"), F.struct("parent", "score")).alias("m")).select("id", "m.parent", F.coalesce("m.score", F.lit(0.0)).alias("score")), "messages")
+def _paths(messages: DataFrame, branches: int) -> DataFrame:
+    base = materialise(messages.select("id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
     known = base.select(F.col("id").alias("parent"))
     up = materialise(base.join(known.withColumn("there", F.lit(True)), "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.col("id").alias("top")), "pointers")
     # jumps[k]: where 2**k steps up lead. Messages that have come to their root wait; only the others go on
@@ -106,9 +114,9 @@ def enumerate_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """One row per chosen path: tree, path, n_turns, formatted, loss_spans."""
-    paths = enumerate_paths(messages, branches)
-    said = messages.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("tree", "role", "text")).alias("m"))
-    turns = paths.join(said, "id").groupBy("path").agg(F.first("m.tree").alias("tree"), F.sort_array(F.collect_list(F.struct("place", F.col("m.role").alias("role"), F.col("m.text").alias("text")))).alias("turns"))
+    messages = materialise(one_each(messages), "said")
+    paths = _paths(messages, branches)
+    turns = paths.join(messages.select("id", "tree", "role", "text"), "id").groupBy("path").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
 
     def step(batches):
         import pyarrow as pa
@@ -126,7 +134,7 @@ def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """format_paths over linear conversations: conv_id, n_turns, formatted, loss_spans."""
-    return format_paths(materialise(from_turns(conversations), "turns")).withColumn("tree", F.col("tree").cast("long")).withColumnRenamed("tree", "conv_id")
+    return format_paths(from_turns(conversations)).withColumn("tree", F.col("tree").cast("long")).withColumnRenamed("tree", "conv_id")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -1,19 +1,25 @@
-"""What the corpus operators share: column idioms, materialised tables and the shared folder."""
+"""What the corpus operators share: column idioms and portions of batches; tables are kept by corpusatlas.storage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusatlas.storage import fresh_dir, keep
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words are runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: df written to the shared folder and read again: later stages restart from there when executors are lost.
+materialise = keep
+__all__ = ["SPACES", "UPPER", "ascii_lower", "free_name", "fresh_dir", "let", "map_arrow", "materialise", "portions", "positions", "table", "words"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,25 +44,6 @@ def positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a private one is made only where that is unset."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = tempfile.mkdtemp(prefix="corpusatlas-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: later stages restart from there when executors are lost."""
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not use."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"
@@ -65,12 +52,28 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def portions(batch, column: str = "text", rows: int = 512, most: int = 4 << 20) -> Iterator:
+    """The batch in slices of at most `rows` rows and, but for single longer ones, `most` bytes in a text column."""
+    import pyarrow.compute as pc
+
+    if column in batch.schema.names:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    else:
+        ends = np.zeros(batch.num_rows, np.int64)
+    i = 0
+    while i < batch.num_rows:
+        done = int(ends[i - 1]) if i else 0
+        j = min(i + rows, max(i + 1, int(np.searchsorted(ends, done + most, "right"))))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def map_arrow(df: DataFrame, step: Callable, schema: str, rows: int = 512) -> DataFrame:
-    """step over record batches of at most `rows` rows, so that long texts stay bounded in a worker."""
+    """step over portions of record batches, so that what a worker derives from a batch stays bounded."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                yield from step(batch.slice(i, rows))
+            for part in portions(batch, rows=rows):
+                yield from step(part)
 
     return df.mapInArrow(run, schema)

@@ -8,7 +8,9 @@ The rank in the whole order is a row's place in its range partition plus the cou
 partitioning by the full order splits a hot index among tasks.
 
 The table may hold: nulls in any column (a null dimension ranks lowest, a null text counts no bytes and has checksum 0,
-null doc_ids sort first); repeated rows (each gets a slot of its own); nothing (no row); any other columns (not read).
+null doc_ids sort first); repeated rows and doc_ids (each row gets a slot of its own); texts of any length (only their size
+and checksum are used); nothing (no row); any other columns (kept by write_shards, but for one named `shard`, which it
+writes; not read by the rest).
 """
 
 from __future__ import annotations
@@ -53,32 +55,38 @@ def number_rank(df: DataFrame, column: str, bits: int, accuracy: int = 4096) ->
     return F.coalesce(F.size(F.filter(below, lambda e: e < F.col(column))), F.lit(0))
 
 
-def category_rank(df: DataFrame, column: str, bits: int, most: int = 4096) -> DataFrame:
-    """(value, rank) of the `most` commonest values: the middle of a value's stretch of the cumulated counts. Rows whose
-    value is not among them rank last."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(most)
+def category_rank(df: DataFrame, column: str, bits: int, most: int = 4096) -> tuple[DataFrame, Column]:
+    """(value, rank) of the `most` commonest values: the middle of a value's stretch of the cumulated counts; and the rank
+    of any other value, which a hash deals over the stretch that is left."""
+    top = (1 << bits) - 1
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
+    common = counts.orderBy(F.desc("count"), column).limit(most)
+    total = counts.agg(F.sum("count")).first()[0] or 1
     w = Window.orderBy(column)  # at most `most` rows
-    total = counts.agg(F.sum("count").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(F.col(column).alias("value"), F.least(F.floor((F.sum("count").over(w) - F.col("count") / 2) / F.col("total") * (1 << bits)), F.lit((1 << bits) - 1)).alias("rank"))
+    ranks = common.select(F.col(column).alias("value"), F.least(F.floor((F.sum("count").over(w) - F.col("count") / 2) / total * (top + 1)), F.lit(top)).alias("rank"))
+    start = min(top, int((common.agg(F.sum("count")).first()[0] or 0) / total * (top + 1)))
+    return ranks, F.lit(start) + F.pmod(F.xxhash64(column), F.lit(top + 1 - start))
 
 
-def shard_by_hilbert(docs: DataFrame, shards: int = 24, categories: tuple[str, ...] = ("lang", "source"), numbers: tuple[str, ...] = (), bits: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, hilbert, shard, slot, over all documents; shard sizes in rows differ by one at most."""
+def shard_by_hilbert(docs: DataFrame, shards: int = 24, categories: tuple[str, ...] = ("lang", "source"), numbers: tuple[str, ...] = (), bits: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, hilbert, shard, slot and the carried columns, over all documents; shard sizes in rows
+    differ by one at most."""
     # categories are few: their ranks go to all tasks as a broadcast table of at most `most` rows each
-    base = docs.select("doc_id", *categories, *numbers, (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
+    base = docs.select("doc_id", *carry, *categories, *numbers, (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
     base, dims = materialise(base, "shard-rows"), []
     ranked = base
     for c in categories:
         name = free_name(ranked, f"rank_{c}")
-        ranks = F.broadcast(category_rank(base, c, bits).select(F.col("value").alias(f"{name}v"), F.col("rank").alias(name)))
-        ranked = ranked.join(ranks, F.col(c) == F.col(f"{name}v"), "left").drop(f"{name}v")
-        dims.append(F.when(F.col(c).isNull(), 0).otherwise(F.coalesce(F.col(name), F.lit((1 << bits) - 1))))
+        ranks, other = category_rank(base, c, bits)
+        ranked = ranked.join(F.broadcast(ranks.toDF(f"{name}v", name)), F.col(c) == F.col(f"{name}v"), "left").drop(f"{name}v")
+        dims.append(F.when(F.col(c).isNull(), 0).otherwise(F.coalesce(F.col(name), other)))
     dims += [number_rank(base, c, bits) for c in (*numbers, "size")]
-    keys = ["hilbert", "text_crc32", "doc_id", "__row"]
-    ranked = ranked.select("doc_id", "size", "text_crc32", hilbert_index(dims, bits).alias("hilbert"), F.monotonically_increasing_id().alias("__row"))
+    last = free_name(docs, "place")
+    keys = ["hilbert", "text_crc32", "doc_id", last]
+    ranked = ranked.select("doc_id", *carry, "size", "text_crc32", hilbert_index(dims, bits).alias("hilbert"), F.monotonically_increasing_id().alias(last))
     ordered = ranked.repartitionByRange(*keys).sortWithinPartitions(*keys)
     # a partition's number and a row's place in it, as Spark numbers rows: (partition << 33) + place
-    place = materialise(ordered.drop("__row").withColumn("__id", F.monotonically_increasing_id()), "shard-order")
+    place = materialise(ordered.drop(last).withColumn("__id", F.monotonically_increasing_id()), "shard-order")
     part, at = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = place.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row per partition
     w = Window.orderBy("part")
@@ -90,10 +98,15 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 24, categories: tuple[str, .
     shard = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - edge) / F.greatest(small, F.lit(1))))
     first = F.when(F.col("shard") < extra, F.col("shard") * (small + 1)).otherwise(edge + (F.col("shard") - extra) * small)
     out = place.withColumns({"part": part, "at": at}).join(F.broadcast(before), "part")
-    return out.withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", "hilbert", "shard", (rank - first).cast("long").alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 24, **settings) -> None:
-    """The documents themselves, a folder a shard; parquet statistics of the dimensions then prune files."""
-    order = shard_by_hilbert(docs, shards, **settings).select("doc_id", "hilbert", "shard")
-    docs.join(order, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "hilbert").write.partitionBy("shard").parquet(path)
+    return out.withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", "hilbert", "shard", (rank - first).cast("long").alias("slot"), *carry)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 24, rows_per_file: int = 100_000, **settings) -> None:
+    """The documents themselves, a folder a shard, in the order of the curve; each row once, whatever its id. A shard's
+    files are runs of `rows_per_file` rows, so the parquet statistics of every dimension prune files."""
+    row, shard, slot, run = (free_name(docs, c) for c in ("row", "at_shard", "at_slot", "run"))
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    order = shard_by_hilbert(numbered, shards, carry=(row,), **settings).select(row, F.col("shard").alias(shard), F.col("slot").alias(slot))
+    dealt = numbered.join(order, row).withColumn(run, F.floor(F.col(slot) / rows_per_file))
+    named = dealt.repartitionByRange(max(shards, -(-numbered.count() // rows_per_file)), shard, run).sortWithinPartitions(shard, slot)
+    named.select(*docs.columns, F.col(shard).alias("shard")).write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)

@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Texts are lower-cased, runs of non-letters become one space, and a document starts after three boundary marks. A window of
-four characters is a 64-bit number (16 bits each; letters beyond the basic plane share one number), a perfect hash. One
+four characters is a 64-bit number (16 bits each; beyond the basic plane 32 neighbouring letters share one), a perfect hash. One
 table of sorted numbers per order holds, for the languages that have the window, the interpolated log probability of the
 last character; a language without it falls back to the weight of the context times the lower order. A text's language is
 the one of lowest cross-entropy per character.
@@ -13,8 +13,8 @@ A language without such a document (none of its texts has a letter) is predicted
 with letters.
 
 The table may hold: null or letterless texts (`und`, score 0, rejected), null langs (not learned from), no or one language
-(every text with letters gets the only one; without any, `und`), repeated rows, nothing, any other columns (kept by
-`identify`).
+(every text with letters gets the only one; without any, `und`), texts of any length (a long one is a portion of its own),
+repeated rows, nothing, any other columns (kept by `identify`; one of the result's own name is replaced).
 """
 
 from __future__ import annotations
@@ -23,31 +23,33 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusatlas.llm.common import free_name, map_arrow, materialise
+from corpusatlas.llm.common import free_name, map_arrow, materialise, portions
 
 ORDER = 4
 SHIFT, MASK = np.uint64(16), (1 << 16) - 1
-FAR = MASK - 1  # stands for all letters beyond the basic plane
+SURROGATE, END = 0xD800, 0xE000  # no characters of their own: stand for letters beyond the basic plane
 _KINDS: list = []
 
 
 def kinds() -> np.ndarray:
-    """Of the code points of the basic plane: 2 for letters, 1 for combining marks, 0 for the rest."""
+    """Of 16-bit numbers: 2 for letters, 1 for combining marks, 0 for the rest."""
     if not _KINDS:
         import unicodedata
 
-        _KINDS.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(FAR)] + [2, 0], np.uint8))
+        of = [{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(MASK)] + [0]
+        of[SURROGATE:END] = [2] * (END - SURROGATE)
+        _KINDS.append(np.array(of, np.uint8))
     return _KINDS[0]
 
 
 def basic(c: np.ndarray) -> np.ndarray:
     """Code points as 16 bits."""
-    if (far := c >= FAR).any():
+    if (odd := (c >= MASK) | (c >= SURROGATE) & (c < END)).any():
         import unicodedata
 
-        values, at = np.unique(c[far], return_inverse=True)
+        values, at = np.unique(c[odd], return_inverse=True)
         c = c.copy()
-        c[far] = np.array([FAR if unicodedata.category(chr(v))[0] == "L" else MASK for v in values], c.dtype)[at]
+        c[odd] = np.array([SURROGATE + (v >> 5) % (END - SURROGATE) if unicodedata.category(chr(v))[0] == "L" else MASK for v in values.tolist()], c.dtype)[at]
     return c.astype(np.uint16)
 
 
@@ -185,8 +187,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             held[lang] = [(g, np.bincount(at, np.concatenate([v for _, v in held[lang]])).astype(np.int64))]
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in portions(b, rows=256):
                 by: dict[str, list] = {}
                 for lang, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                     by.setdefault(lang, []).append(t)
@@ -252,7 +253,10 @@ def identify(docs: DataFrame, model: Model, name: str = "language") -> DataFrame
     def judge(texts):
         import pandas as pd
 
-        parts = [held.value.judge(list(texts.iloc[i : i + 256])) for i in range(0, len(texts), 256)]
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"])
+        parts = [held.value.judge(p.column("text").to_pylist()) for p in portions(batch, rows=256)]
         return pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts] or [[]]), "rejected": np.concatenate([p[2] for p in parts] or [[]]).astype(bool)})
 
     return docs.withColumn(name, judge.asNondeterministic()(F.col("text")))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -55,16 +56,37 @@ def test_files_of_documents(spark):
     texts = [*TEXTS, None, "repeat me", "repeat me"]
     rows = [(i * 3 - 4, t, "x") for i, t in enumerate(texts)] + [(None, "no id", "x"), (5, "twice", "x")]
     got = bitpack.encode_to_files(spark.createDataFrame(rows, "doc_id long, text string, start string"), docs_per_file=4).collect()
-    want, start = [], 0
     enc = {t: library([t or ""])[0] + [1] for _, t, _ in rows}
-    for d, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(enc[r[1]]))):
-        ids = enc[t]
-        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
+    want = [(d, len(enc[t]), zlib.crc32(np.array(enc[t], "<u4").tobytes())) for d, t, _ in rows]
+    got = sorted(got, key=lambda r: r.start)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r.doc_id is not None, r.doc_id or 0) for r in got)
     assert bitpack.encode_to_files(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_without_an_id_spread(spark, tmp_path):
+    rows = [(None, f"text number {i}") for i in range(400)] + [(7, f"other {i}") for i in range(400)] + [(9, "long " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = bitpack.write_tokens(df, str(tmp_path), docs_per_file=50, bytes_per_file=4000)
+    files = manifest.collect()
+    assert sum(r.n_docs for r in files) == 801 and max(r.n_docs for r in files) <= 400
+    assert len(files) > 10 and all(4 * r.n_tokens < 4000 + 24 or r.n_docs == 1 or 4 * r.n_tokens > 20_000 for r in files)
+    got = sorted(bitpack.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(801)]
+
+
+def test_portions():
+    import pyarrow as pa
+    from corpusatlas.llm.common import portions
+
+    texts = ["a" * 10] * 5 + [None, "b" * 1000, "", "c" * 30] + ["d"] * 20
+    b = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    parts = list(portions(b, rows=8, most=40))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows <= 8 and (p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 40) for p in parts)
+
+
 def test_best_fit():
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 101, 3000))[::-1]
@@ -397,3 +419,67 @@ def test_reply_trees(spark):
     assert paths(5) == {4: [1, 2, 4], 6: [1, 3, 5, 6], 7: [7], 8: [8]}
     assert paths(1) == {6: [1, 3, 5, 6], 7: [7], 8: [8]}  # 3.0 a message against 2.67
     assert {r.formatted for r in chat.format_paths(m).filter("n_turns = 4").collect()} == {"".join(f"### user: m{i}</turn>\n" for i in (1, 3, 5, 6))}
+
+
+def test_repeated_message_ids_keep_whole_rows(spark):
+    rows = [(1, None, "t", "user", "root one", 1.0), (2, None, "t", "user", "root two", 1.0), (3, 1, "t", "assistant", "zz from one", 0.0), (3, 2, "t", "assistant", "aa from two", 0.0), (3, 1, "t", "assistant", "zz from one", 0.0), (None, 1, "t", "user", "lost", 0.0)]
+    m = spark.createDataFrame(rows, "id long, parent long, tree string, role string, text string, score double")
+    got = {r.formatted for r in chat.format_paths(m).collect()}
+    assert got == {"### user: root one</turn>\n### assistant: zz from one</turn>\n", "### user: root two</turn>\n"}
+
+
+def plain_kneser_ney(texts, order=4):
+    """Log probabilities of the characters of a text, straight from the definitions, over dictionaries."""
+    from collections import defaultdict
+
+    gap = "\0" * (order - 1)
+    seen = {n: defaultdict(float) for n in range(1, order + 1)}
+    for t in texts:
+        t = gap + t
+        for i in range(order - 1, len(t)):
+            seen[order][t[i - order + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        for w in seen[n + 1]:
+            seen[n][w[1:]] += 1
+    letters = len(seen[1])
+
+    def p(w):
+        n = len(w)
+        if not n:
+            return 1 / (letters + 1)
+        ones, twos = (sum(v == k for v in seen[n].values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        of = {k: v for k, v in seen[n].items() if k[:-1] == w[:-1]}
+        if not of:
+            return p(w[1:])
+        total = sum(of.values())
+        return max(of.get(w, 0) - d, 0) / total + d * len(of) / total * p(w[1:])
+
+    def logs(t):
+        t = gap + t
+        return [math.log(p(t[i - order + 1 : i + 1])) for i in range(order - 1, len(t))]
+
+    return logs
+
+
+def test_kneser_ney_against_plain(spark):
+    texts = ["abra cadabra abracadabra", "bar car radar", "a carb arc", "crab"]
+    model = language.fit(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string"), F.lit(True))
+    logs = plain_kneser_ney(texts)
+    for t in ["abra", "cab car", "zebra", "rad", *texts]:
+        x, n = model.cross_entropy([t])
+        assert n[0] == len(t) and abs(x[0, 0] + sum(logs(t)) / len(t)) < 1e-4, t
+
+
+def test_scripts_beyond_the_basic_plane(spark):
+    goth, dese = "".join(chr(0x10330 + i % 20) for i in range(60)), "".join(chr(0x10428 + i % 30) for i in range(60))
+    df = spark.createDataFrame([(1, goth, "got"), (2, dese, "en-dsrt")], "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True))
+    assert model.judge([goth[5:40], dese[5:40]])[0] == ["got", "en-dsrt"]
+
+
+def test_free_operators_on_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, score double, language string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert language.keep_identified(docs).count() == 0 and language.keep_identified(docs).columns == docs.columns
+    assert toxicity.drop_toxic(docs, labels).count() == 0 and toxicity.drop_toxic(docs, labels).columns == docs.columns

@@ -79,6 +79,60 @@ def test_few_rows(spark):
     assert [(r.shard, r.slot) for r in sorted(shards_of(spark, [(1, "a", "en", "s"), (2, "b", "en", "s")]), key=lambda r: r.shard)] == [(0, 0), (1, 0)]
 
 
+def test_shard_files_keep_every_row_and_prune(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i % 300 if i % 7 else None, "t " * rng.randint(0, 60), rng.choice(["en", "de", "fr", "es"]), f"s{rng.randrange(40)}", "mine") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA + ", slot string")
+    hilbert.write_shards(df, f"{tmp_path}/x", shards=24)
+    back = spark.read.parquet(f"{tmp_path}/x")
+    assert sorted(map(tuple, back.drop("shard").collect()), key=str) == sorted(rows, key=str)
+    per = back.groupBy("shard").agg(F.collect_set("lang").alias("l"), F.collect_set("source").alias("s"), F.min(F.length("text")).alias("a"), F.max(F.length("text")).alias("z")).collect()
+    assert len(per) == 24
+    # a filter on one dimension has to open a part of the files only, whichever dimension it is
+    opened = [sum("de" in r.l for r in per), sum("s3" in r.s for r in per), sum(r.a <= 5 <= r.z for r in per)]
+    assert all(n < 24 for n in opened) and sum(opened) <= 40, opened  # of 72
+
+
+def test_values_beyond_the_common_ones(spark):
+    df = spark.createDataFrame([(v,) for v in ["a"] * 50 + ["b"] * 30 + [f"r{i}" for i in range(40)]], "v string")
+    ranks, other = hilbert.category_rank(df, "v", 8, most=2)
+    common = dict(ranks.collect())
+    got = {r.v: r.o for r in df.filter("v like 'r%'").select("v", other.alias("o")).collect()}
+    assert set(common) == {"a", "b"} and common["a"] < common["b"] < min(got.values()) and max(got.values()) < 256 and len(set(got.values())) > 20
+
+
+def plain_shards(rows, bits=8):
+    """Shard and slot of each row, with the quantisation and the order written out."""
+    def middle(values):
+        n, out, seen = Counter(v for v in values if v is not None), {}, 0
+        for v in sorted(n):
+            seen += n[v]
+            out[v] = min(int((seen - n[v] / 2) / sum(n.values()) * 256), 255)
+        return out
+    lang, source = middle([r[2] for r in rows]), middle([r[3] for r in rows])
+    size = lambda r: len((r[1] or "").encode()) + 8
+    sizes = sorted(map(size, rows))
+    edges = sorted({sizes[max(0, -(-k * len(sizes) // 256) - 1)] for k in range(1, 256)})
+    keyed = []
+    for r in rows:
+        point = (lang.get(r[2], 0), source.get(r[3], 0), sum(e < size(r) for e in edges))
+        keyed.append((plain_index(point, bits), zlib.crc32((r[1] or "").encode()), r[0]))
+    keyed.sort()
+    small, extra = divmod(len(rows), 24)
+    out, at = {}, 0
+    for s in range(24):
+        for slot in range(small + (s < extra)):
+            out[keyed[at][2]] = (keyed[at][0], s, slot)
+            at += 1
+    return out
+
+
+def test_shards_against_plain(spark):
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randint(0, 900), rng.choice(["en", "de", None]), f"s{rng.randrange(9)}") for i in range(700)]
+    assert {r.doc_id: (r.hilbert, r.shard, r.slot) for r in shards_of(spark, rows)} == plain_shards(rows)
+
+
 def measures(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -123,6 +177,16 @@ def test_depleted(spark):
     assert got[59].removed_words == 13 and got[59].kept
 
 
+def test_lines_of_no_or_long_documents(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert line_quality.judge_lines(df).count() == 0
+    long = "\n".join(f"line {i} of a very long document" for i in range(20_000))
+    got = line_quality.judge_lines(spark.createDataFrame([(1, long, "en", "a")], SCHEMA)).first()
+    assert (got.n_words, got.n_dup_lines, got.kept) == (140_000, 0, True)
+    extra = spark.createDataFrame([(1, "a b c", "en", "a", "mine", 5)], SCHEMA + ", host string, n_words int")
+    assert line_quality.judge_lines(extra).first().n_words == 3
+
+
 def doc_words(t):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
