@@ -17,7 +17,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: df written to the shared folder and read again: later stages restart from there when executors are lost.
 materialise = keep
-__all__ = ["SPACES", "UPPER", "ascii_lower", "free_name", "fresh_dir", "let", "map_arrow", "materialise", "portions", "positions", "table", "words"]
+__all__ = ["SPACES", "UPPER", "ascii_lower", "free_name", "fresh_dir", "let", "map_arrow", "materialise", "portions", "positions", "table", "window_hashes", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def window_hashes(hashes: Column, n: int) -> Column:
+    """A hash of each window of n elements, in order of place: pairs of shorter windows, so log(n) passes."""
+
+    def pairs(g: Column, step: int) -> Column:
+        return F.transform(F.slice(g, 1, F.greatest(F.size(g) - step, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(g, i + step)))
+
+    def grow(g: Column, width: int) -> Column:
+        if 2 * width <= n:
+            return let(pairs(g, width), lambda wider: grow(wider, 2 * width))
+        return pairs(g, n - width) if width < n else g
+
+    return grow(hashes, 1)
+
+
 def positions(n: Column) -> Column:
     """[0, n); empty for n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

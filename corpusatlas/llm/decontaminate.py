@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusatlas.llm.common import ascii_lower, free_name, let, materialise, positions, words
+from corpusatlas.llm.common import ascii_lower, free_name, let, materialise, positions, window_hashes, words
 
 #: Words are runs of ASCII digits and letters and of all that is not ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,9 +36,9 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
     return w.select("item_id", n.alias("length"), F.explode(F.transform(positions(F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).alias("window")).distinct()
 
 
-def window_keys(hashes: Column, length: int) -> Column:
-    """A hash of each window's word hashes, in order of place."""
-    return F.transform(positions(F.size(hashes) - length + 1), lambda i: F.xxhash64(F.slice(hashes, i + 1, length)))
+def window_keys(w: Column, length: int) -> Column:
+    """A hash of each window of words, in order of place."""
+    return let(F.transform(w, lambda v: F.xxhash64(v)), lambda h: window_hashes(h, length))
 
 
 def places(key: Column, bits: int) -> tuple[Column, Column]:
@@ -72,8 +72,11 @@ def covered(spots: Column) -> Column:
 def find_hits(docs: DataFrame, items: DataFrame, size: int = 13, bits_per_window: int = 32, most_bits: int = 1 << 26) -> DataFrame:
     """One row per row of docs: row, doc_id, text_key, n_words, n_hit, spans (hit words: structs s, e), n_items, items."""
     named = materialise(benchmark_windows(items, size), "benchmark")
-    windows = materialise(named.select("length", "window").distinct().withColumn("k", F.xxhash64(F.transform(F.split("window", " "), lambda v: F.xxhash64(v)))), "windows")
-    lengths = [r["length"] for r in windows.groupBy("length").count().orderBy("length").collect()]  # `size` values at most
+    lengths = sorted(r["length"] for r in named.select("length").distinct().collect())  # `size` values at most
+    key = F.lit(0).cast("long")
+    for n in lengths:
+        key = F.when(F.col("length") == n, F.get(window_keys(F.split("window", " "), n), F.lit(0))).otherwise(key)
+    windows = materialise(named.select("length", "window").distinct().withColumn("k", key), "windows")
     bits = 64
     while bits < min(most_bits, windows.count() * bits_per_window):
         bits *= 2
@@ -87,7 +90,7 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 13, bits_per_window
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "words")
     met = rows.sparkSession.createDataFrame([], "row long, pos int, length int, window string")
     for n in lengths:
-        each = rows.select("row", F.posexplode(let(F.transform("w", lambda v: F.xxhash64(v)), lambda h: window_keys(h, n))).alias("pos", "k"))
+        each = rows.select("row", F.posexplode(window_keys(F.col("w"), n)).alias("pos", "k"))
         first, second = places(F.col("k"), bits)
         near = each.filter(known(first) & known(second))
         met = met.unionByName(near.join(windows.filter(F.col("length") == n), "k").select("row", "pos", "length", "window"))

@@ -180,7 +180,7 @@ def test_depleted(spark):
 def test_lines_of_no_or_long_documents(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert line_quality.judge_lines(df).count() == 0
-    long = "\n".join(f"line {i} of a very long document" for i in range(20_000))
+    long = "\n".join(f"line {i} w{i}a w{i}b w{i}c w{i}d w{i}e" for i in range(20_000))
     got = line_quality.judge_lines(spark.createDataFrame([(1, long, "en", "a")], SCHEMA)).first()
     assert (got.n_words, got.n_dup_lines, got.kept) == (140_000, 0, True)
     extra = spark.createDataFrame([(1, "a b c", "en", "a", "mine", 5)], SCHEMA + ", host string, n_words int")
