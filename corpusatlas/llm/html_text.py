@@ -1,19 +1,21 @@
 """Main text of web pages by site style trees.
 
-Pages of a host are merged by the tag paths of their DOMs. A path's presentation importance is the entropy (base: the
-pages that have it) of its children's styles; its content importance is one minus the mean entropy of the texts under it
-across pages, so texts that every page repeats weigh nothing. Their weighted sum is the path's composite importance. From
-each page go the branches that are below `threshold` (on hosts with `min_pages` different pages or more) and those that
-are furniture by element, role or class whatever their content. On a page with an article or main element, branches
+Pages of a host are merged by the tag paths of their DOMs, furniture and all. A path's presentation importance is the
+entropy (base: the pages that have it) of its children's styles; its content importance is one minus the mean entropy of
+the texts under it across pages, so texts that every page repeats weigh nothing. Their weighted sum is the path's
+composite importance. From each page go first the branches that are below `threshold` (on hosts with `min_pages` different
+pages or more: fewer are no evidence), then those that are furniture by element, role or class: menus, adverts and reader
+comments whose words differ from page to page have a high importance. On a page with an article or main element, branches
 outside it have no importance; inside it importance removes branches but not paragraphs and the like, so that a passage
-that several articles quote stays.
+that several articles quote stays, and class words that articles use for their own parts do not count.
 
-Statistics are sums over (host, path, text) and (host, path, style): nothing of a host is gathered in one task. Pages
-equal in html count once.
+Statistics are sums over (host, path, text) and (host, path, style), folded to one row a path before anything is joined:
+nothing of a host is gathered in one task. Pages equal in html count once.
 
 The table may hold: null or empty html (empty text), null urls (one host of their own), unclosed and crossing elements
-(closed as browsers do, approximately), pages of any length, repeated rows, nothing, any other columns (kept by
-`extract`).
+(closed as browsers do, approximately; an unread element without an end tag hides nothing but a script's or style's text up
+to the next block), pages of any length and depth (a path is a hash; the work for ancestors is paid once a path with
+text), repeated rows, nothing, any other columns (kept by `extract`; one named `text` is replaced).
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusatlas.llm.common import free_name, materialise
+from corpusatlas.llm.common import free_name, materialise, portions
 
 #: Fixed values of HTML: elements without an end tag, elements without text to read, and elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template iframe object svg math canvas head title select option textarea datalist audio video".split())
+UNREAD = frozenset("script style noscript template iframe object svg canvas head title select option textarea datalist audio video annotation".split())
+RAW = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot li dd dt".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -37,6 +40,9 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 FURNITURE = frozenset("nav aside footer form button input dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion reader related respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Of these, words that articles use for their own parts: none counts inside the core on a text block, these not at all.
+OWN_TEXT = frozenset("header masthead reader notice notices note share sharing related social popup widget promotion".split())
+OWN_PART = frozenset("header masthead reader".split())
 CORE = frozenset(("article", "main"))
 #: Elements that are text blocks: inside a core, importance does not remove these themselves, only branches around them.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table thead tbody tfoot tr td th caption dl dt dd li".split())
@@ -45,11 +51,22 @@ LISTS = frozenset("ul ol dl table menu".split())
 INLINE_STOPS = frozenset("article body div main nav aside section table".split())
 
 
+@functools.lru_cache(1 << 16)
+def path_id(parent: int, name: str) -> int:
+    """A path's hash: of its parent's and its last step."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(name.encode("utf-8", "replace"), parent & (1 << 64) - 1) - (1 << 63)
+
+
+ROOT = 0
+
+
 class Node:
-    __slots__ = ("children", "furniture", "path", "tag")
+    __slots__ = ("children", "furniture", "parent", "path", "tag", "unread")
 
-    def __init__(self, tag: str, path: str, furniture: bool = False):
-        self.tag, self.path, self.furniture, self.children = tag, path, furniture, []
+    def __init__(self, tag: str, parent: Node | None, path: int, furniture: bool = False, unread: bool = False):
+        self.tag, self.parent, self.path, self.furniture, self.unread, self.children = tag, parent, path, furniture, unread, []
 
 
 def is_furniture(tag: str, attrs: dict, in_core: bool) -> bool:
@@ -59,19 +76,22 @@ def is_furniture(tag: str, attrs: dict, in_core: bool) -> bool:
         return True
     if (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
-    words = re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-    return tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words)
+    if tag in ("html", "body", "article", "main"):
+        return False
+    words = MARKS.intersection(re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+    return bool(words - (OWN_TEXT if tag in TEXT else OWN_PART) if in_core else words)
 
 
+#: A quotation mark opens a value only behind an equals sign; elsewhere it is a character like others.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    rf"|<(?P<raw>{'|'.join(sorted(UNREAD))})(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>|.*$)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+)?+)*+)>"
     r"|<[!?/][^>]*>"
     r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
+    re.S,
 )
 ATTR = re.compile(r"""([^\s=/>\"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK | {'body'}))})(?=[\s/>])", re.I)
 
 
 @functools.lru_cache(4096)
@@ -83,33 +103,57 @@ class Tree:
     """A lenient DOM. Texts are children of kind str, line breaks are spaces."""
 
     def __init__(self, source: str):
-        self.root = Node("#", "")
-        self.stack, self.core = [self.root], 0
-        for m in TOKEN.finditer(source):
+        self.root = Node("#", None, ROOT)
+        self.stack, self.core, self.source, self.ends = [self.root], 0, source, {}
+        # behind the last > no tag ends, so one that begins there is dropped as at the end of a file
+        last = source.rfind(">") + 1
+        rest = re.match(r"(?:[^<]|<(?![A-Za-z/!?]))*+", source[last:])[0]
+        source, at = source[:last] + rest, 0
+        while m := TOKEN.match(source, at):
+            at = m.end()
             if text := m["text"]:
                 self.stack[-1].children.append(html.unescape(text) if "&" in text else text)
             elif tag := m["tag"]:
+                tag = tag.lower()
                 if m["end"]:
-                    self._close(tag.lower())
-                else:
-                    self._open(tag.lower(), m["attrs"])
+                    self._close(tag)
+                elif tag not in UNREAD or self._ends(tag, at):
+                    if tag in RAW:
+                        at = at if m["attrs"].endswith("/") else self.ends[tag][1]
+                    else:
+                        self._open(tag, m["attrs"])
+                elif tag in ("script", "style") and not m["attrs"].endswith("/"):
+                    block = BLOCK_TAG.search(source, at)
+                    at = block.start() if block else len(source)
+
+    def _ends(self, tag: str, at: int) -> bool:
+        """Whether an end tag follows. Its place is kept, so that a page is searched once for each tag."""
+        if (found := self.ends.get(tag, (-1, -1)))[0] < at and found[0] is not None:
+            m = re.compile(rf"</{tag}\s*>", re.I).search(self.source, at)
+            found = self.ends[tag] = (m.start(), m.end()) if m else (float("inf"), None)
+        return found[1] is not None
 
     def _open(self, tag: str, raw: str) -> None:
         stack = self.stack
         if tag in VOID:
             if tag in ("br", "hr"):
-                stack[-1].children.append(" " if tag == "br" else Node(tag, ""))
+                stack[-1].children.append(" " if tag == "br" else Node(tag, stack[-1], path_id(stack[-1].path, tag)))
             return
         if tag in CLOSES_P:
             self._end(P, NOT_P)
+            if stack[-1].tag in ("select", "option", "head"):
+                self._end(frozenset(("select", "head")), NOTHING)
         elif tag in SIBLINGS:
             self._end(SIBLINGS[tag], LISTS)
+        if tag == "body":
+            self._end(frozenset(("head",)), NOTHING)
         if tag == "body" and any(n.tag == "body" for n in stack) or tag == "html" and len(stack) > 1:
             return
+        if raw.endswith("/") and tag not in BLOCK and tag not in ("html", "body"):
+            return
         given = attributes(raw) if raw.strip(" /") else {}
         name = f"{tag}.{'.'.join(given['class'].split())}" if given.get("class") else tag
-        name = name.replace("%", "%25").replace("/", "%2F")  # a slash parts levels
-        node = Node(tag, f"{stack[-1].path}/{name}", is_furniture(tag, given, self.core > 0))
+        node = Node(tag, stack[-1], path_id(stack[-1].path, name), is_furniture(tag, given, self.core > 0), tag in UNREAD)
         self.core += tag in CORE
         stack[-1].children.append(node)
         stack.append(node)
@@ -140,7 +184,7 @@ def walk(root: Node):
         stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
 
 
-def blocks(root: Node, noise: frozenset[str] = frozenset()) -> list[str]:
+def blocks(root: Node, noise: frozenset[int] = frozenset()) -> list[str]:
     """The texts of blocks in page order, without furniture and the branches of noise."""
     out, held = [], []
 
@@ -157,7 +201,7 @@ def blocks(root: Node, noise: frozenset[str] = frozenset()) -> list[str]:
             flush()
         elif isinstance(node, str):
             held.append(node)
-        elif not (node.furniture or node.path in noise and not (core and node.tag in TEXT)):
+        elif not (node.unread or node.path in noise and not (core and node.tag in TEXT) or node.furniture):
             inside = core or node.tag in CORE
             block = node.tag in BLOCK
             if block:
@@ -168,12 +212,12 @@ def blocks(root: Node, noise: frozenset[str] = frozenset()) -> list[str]:
     return out
 
 
-def main_text(source: str | None, noise: frozenset[str] = frozenset()) -> str:
+def main_text(source: str | None, noise: frozenset[int] = frozenset()) -> str:
     """What noise and furniture leave. On a page that marks its core, branches outside it have no importance."""
     if not source:
         return ""
     tree = Tree(source).root
-    cores = [n for n, inside in walk(tree) if n.tag in CORE and not inside and not n.furniture]
+    cores = [n for n, inside in walk(tree) if n.tag in CORE and not inside and not n.furniture and not n.unread]
     found = [b for n in cores for b in blocks(n, noise - {n.path})]
     return "\n\n".join(found or blocks(tree, noise))
 
@@ -183,7 +227,8 @@ def host_of(url):
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, kind, path, value, page) of each page's nodes: kind `s` with the children's tags, kind `t` with the text."""
+    """(host, kind, path, value, page, up) of each page's nodes: kind `s` with the children's tags, kind `t` with the text.
+    `up`, the path and its ancestors, stands once for a path with text in a portion."""
 
     def step(batches):
         import pyarrow as pa
@@ -192,13 +237,14 @@ def style_rows(pages: DataFrame) -> DataFrame:
         def key(s: str) -> int:
             return xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
 
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part, rows = b.slice(i, 256), []
+            for part in portions(b, "html", 256):
+                rows, told = [], set()
                 for host, page, source in zip(*(part.column(k).to_pylist() for k in ("host", "page", "html")), strict=True):
                     seen = set()
                     for node, _ in walk(Tree(source or "").root):
-                        if node.furniture:
+                        if node.unread:
                             continue
                         tags, texts = [], []
                         for c in node.children:
@@ -209,25 +255,32 @@ def style_rows(pages: DataFrame) -> DataFrame:
                         seen.add(("s", node.path, key(",".join(tags))))
                         if text := " ".join("".join(texts).split()):
                             seen.add(("t", node.path, key(text)))
-                    rows += [(host, *x, page) for x in seen]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "kind", "path", "value", "page"])
+                            if (host, node.path) not in told:
+                                told.add((host, node.path))
+                                up, n = [], node
+                                while n.parent:
+                                    up.append(n.path)
+                                    n = n.parent
+                                rows.append((host, "u", node.path, 0, page, up))
+                    rows += [(host, *x, page, None) for x in seen]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["host", "kind", "path", "value", "page", "up"])
 
-    return pages.mapInArrow(step, "host string, kind string, path string, value long, page long")
+    return pages.mapInArrow(step, "host string, kind string, path long, value long, page long, up array<long>")
 
 
 def importance(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
     """(host, path, pages, presentation, content, composite) of the site style trees; pages: host, page (a hash), html."""
     rows = materialise(style_rows(pages), "styles")
-    counts = rows.groupBy("host", "kind", "path", "value").agg(F.count_distinct("page").alias("c"))
-    sizes = rows.filter(F.col("kind") == "s").groupBy("host", "path").agg(F.count_distinct("page").alias("pages"))
-    styles = counts.filter(F.col("kind") == "s").join(sizes, ["host", "path"])
-    p = F.col("c") / F.col("pages")
-    shown = styles.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.when(F.max("pages") > 1, -F.sum(p * F.log(p)) / F.log(F.max("pages"))).otherwise(1.0).alias("presentation"), F.count("*").alias("styles"))
+    counts = rows.filter("kind <> 'u'").groupBy("host", "kind", "path", "value").agg(F.count_distinct("page").alias("c"))
+    sizes = rows.filter("kind = 's'").groupBy("host", "path").agg(F.count_distinct("page").alias("pages"))
+    # sums of c log c give the entropies, so a path is one row before it meets its number of pages
+    sums = counts.groupBy("host", "kind", "path").agg(F.sum("c").cast("double").alias("w"), F.sum(F.col("c") * F.log("c")).alias("cl"), F.count("*").alias("n")).join(sizes, ["host", "path"])
+    m, many = F.col("pages"), F.col("pages") > 1
+    shown = sums.filter("kind = 's'").select("host", "path", "pages", F.col("n").alias("styles"), F.when(many, (F.col("w") * F.log(m) - F.col("cl")) / (m * F.log(m))).otherwise(1.0).alias("presentation"))
     # each text's entropy over the pages of its path, weighted by how often it stands there, handed to all ancestors
-    texts = counts.filter(F.col("kind") == "t").join(sizes, ["host", "path"]).withColumn("h", F.when(F.col("pages") > 1, F.log("c") / F.log("pages")).otherwise(0.0)).groupBy("host", "path").agg(F.sum(F.col("c") * F.col("h")).alias("h"), F.sum("c").alias("w"))
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    told = texts.filter(F.size(parts) > 1).select("host", F.explode(above).alias("path"), "h", "w").groupBy("host", "path").agg((1 - F.sum("h") / F.sum("w")).alias("content"))
+    texts = sums.filter("kind = 't'").select("host", "path", "w", F.when(many, F.col("cl") / F.log(m)).otherwise(0.0).alias("h"))
+    up = rows.filter("kind = 'u'").groupBy("host", "path").agg(F.max("up").alias("up"))
+    told = texts.join(up, ["host", "path"]).select("host", F.explode("up").alias("path"), "h", "w").groupBy("host", "path").agg((1 - F.sum("h") / F.sum("w")).alias("content"))
     out = shown.join(told, ["host", "path"], "left").withColumn("content", F.coalesce("content", "presentation"))
     share = F.pow(F.lit(gamma), F.col("styles"))
     return out.withColumn("composite", (1 - share) * F.col("presentation") + share * F.col("content"))
@@ -235,17 +288,19 @@ def importance(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
 
 def noise_paths(pages: DataFrame, threshold: float = 0.2, min_pages: int = 8, gamma: float = 0.9) -> DataFrame:
     """(host, noise): the paths of low importance of each host that has enough different pages."""
-    low = importance(pages, gamma).filter((F.col("pages") >= min_pages) & (F.col("composite") < threshold) & ~F.col("path").isin("", "/html", "/html/body"))
+    html_ = path_id(ROOT, "html")
+    low = importance(pages, gamma).filter((F.col("pages") >= min_pages) & (F.col("composite") < threshold) & ~F.col("path").isin(ROOT, html_, path_id(html_, "body")))
     return low.groupBy("host").agg(F.collect_set("path").alias("noise"))  # a template's paths
 
 
-def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 8, gamma: float = 0.9, broadcast_rows: int = 20_000, name: str = "text") -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 8, gamma: float = 0.9, broadcast_paths: int = 1_000_000, name: str = "text") -> DataFrame:
     """pages with the main text of each in column `name`."""
     host = free_name(pages, "host")
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
     noise = materialise(noise_paths(keyed, threshold, min_pages, gamma).withColumnsRenamed({"host": host, "noise": f"{host}n"}), "noise")
-    # a row per host with noise: broadcast while few, else joined by host (the engine splits a hot one)
-    side = F.broadcast(noise) if noise.count() <= broadcast_rows else noise
+    # 8 bytes a path: broadcast while they are few, else joined by host (the engine splits a hot one)
+    few = (noise.agg(F.sum(F.size(f"{host}n") + 8)).first()[0] or 0) <= broadcast_paths
+    side = F.broadcast(noise) if few else noise
     joined = pages.withColumn(host, host_of(F.col("url"))).join(side, host, "left")
 
     @F.pandas_udf("string")
