@@ -2,9 +2,9 @@
 
 Every window of `size` consecutive words of a benchmark item (all its words, if it has fewer) is looked for in every
 document. The windows' hashes are a broadcast hash set: a table of bits, two for each hash, `bits_per_window` bits a
-window and `most_bits` at most (8 MB), that all tasks hold as one constant. A document window whose bits are set is a
-candidate: it is verified by joining its words to the benchmark's windows. The table only decides how many windows are
-verified, never which are found, so benchmarks of any size take this one path.
+window and `most_bits` at most (2 MB), that goes to all tasks as one constant of the plan. Documents are scanned where they
+lie; a window whose bits are set is a candidate, and its words are verified by joining them to the benchmark's windows. The
+table only decides how many windows are verified, never which are found, so benchmarks of any size take this one path.
 
 The tables may hold: null texts (no words), null ids (documents: kept apart from others; items: not named), repeated rows
 (documents: each row is judged by its own text; items: windows count once), texts of any length (work and memory grow
@@ -14,6 +14,8 @@ with a text's words; spans are cut out in one pass), no item (nothing is hit), n
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +43,20 @@ def window_keys(w: Column, length: int) -> Column:
     return let(F.transform(w, lambda v: F.xxhash64(v)), lambda h: window_hashes(h, length))
 
 
-def places(key: Column, bits: int) -> tuple[Column, Column]:
-    """The two bits of a hash in a table of `bits` (a power of two, 2**32 at most)."""
-    low = F.lit(bits - 1).cast("long")
-    return key.bitwiseAND(low), F.shiftrightunsigned(key, 32).bitwiseAND(low)
+def places(key: Column, slots: int) -> list[tuple[Column, Column]]:
+    """A hash's two bits in a table of longs (a power of two, 2 to 2**18): the long's place, and the bit in it."""
+    shift, low = 64 - (slots.bit_length() - 1), F.lit(63).cast("long")
+    first = F.shiftrightunsigned(key, shift).cast("int"), key.bitwiseAND(low).cast("int")
+    return [first, (F.shiftrightunsigned(F.shiftleft(key, 20), shift).cast("int"), F.shiftrightunsigned(key, 6).bitwiseAND(low).cast("int"))]
 
 
-def bit_table(keys: DataFrame, bits: int) -> DataFrame:
-    """One row, one array of bits / 64 longs: the bits of all hashes in column `k`. Its size is `bits`, whatever the input."""
-    spots = keys.select(F.explode(F.array(*places(F.col("k"), bits))).alias("p"))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    longs = spots.groupBy(F.shiftrightunsigned("p", 6).alias("id")).agg(F.bit_or(mask).alias("v"))
-    every = keys.sparkSession.range(max(1, bits >> 6)).join(longs, "id", "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("bits"))
+def bit_table(keys: DataFrame, slots: int) -> list[int]:
+    """The longs with the bits of all hashes in column `k`: `slots` numbers, whatever the input."""
+    spots = keys.select(F.explode(F.array(*[F.struct(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")) for at, bit in places(F.col("k"), slots)])).alias("p"))
+    table = [0] * slots
+    for r in spots.groupBy("p.at").agg(F.bit_or("p.bit").alias("bits")).collect():
+        table[r["at"]] = r["bits"]
+    return table
 
 
 def covered(spots: Column) -> Column:
@@ -69,38 +72,35 @@ def covered(spots: Column) -> Column:
     return F.aggregate(F.array_sort(spots), start, add, lambda a: F.when(a["e"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, size: int = 13, bits_per_window: int = 32, most_bits: int = 1 << 26) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, size: int = 13, bits_per_window: int = 32, most_bits: int = 1 << 24) -> DataFrame:
     """One row per row of docs: row, doc_id, text_key, n_words, n_hit, spans (hit words: structs s, e), n_items, items."""
     named = materialise(benchmark_windows(items, size), "benchmark")
     lengths = sorted(r["length"] for r in named.select("length").distinct().collect())  # `size` values at most
-    key = F.lit(0).cast("long")
-    for n in lengths:
-        key = F.when(F.col("length") == n, F.get(window_keys(F.split("window", " "), n), F.lit(0))).otherwise(key)
-    windows = materialise(named.select("length", "window").distinct().withColumn("k", key), "windows")
-    bits = 64
-    while bits < min(most_bits, windows.count() * bits_per_window):
-        bits *= 2
-    # a constant of every task, of `bits` whatever the input
-    table = materialise(bit_table(windows.select("k"), bits), "bits").scalar()
-
-    def known(p: Column) -> Column:
-        return F.get(table, F.shiftrightunsigned(p, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0
-
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), item_words(F.col("text")).alias("w"))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "words")
-    met = rows.sparkSession.createDataFrame([], "row long, pos int, length int, window string")
-    for n in lengths:
-        each = rows.select("row", F.posexplode(window_keys(F.col("w"), n)).alias("pos", "k"))
-        first, second = places(F.col("k"), bits)
-        near = each.filter(known(first) & known(second))
-        met = met.unionByName(near.join(windows.filter(F.col("length") == n), "k").select("row", "pos", "length", "window"))
-    met = materialise(met, "candidates")
-    # hashes have met; now the words
+    windows = materialise(named.select("length", "window").distinct(), "windows")
+    slots = 2
+    while 64 * slots < min(most_bits, windows.count() * bits_per_window):
+        slots *= 2
+    keys = windows.select(F.coalesce(*[F.when(F.col("length") == n, F.get(window_keys(F.split("window", " "), n), F.lit(0))) for n in lengths], F.lit(0)).cast("long").alias("k"))
+    # the optimizer turns the text into an array once
+    table = F.from_json(F.lit(json.dumps(bit_table(keys, slots))), "array<bigint>")
+
+    def known(t: Column, k: Column) -> Column:
+        one, two = (F.call_function("shiftrightunsigned", F.get(t, at), bit).bitwiseAND(F.lit(1).cast("long")) == 1 for at, bit in places(k, slots))
+        return one & two
+
+    def candidates(w: Column, t: Column, n: int) -> Column:
+        near = F.filter(F.transform(window_keys(w, n), lambda k, i: F.when(known(t, k), i)), lambda i: i.isNotNull())
+        return F.transform(near, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("length"), F.array_join(F.slice(w, i + 1, n), " ").alias("window")))
+
+    none = F.array().cast("array<struct<pos:int,length:int,window:string>>")
+    near = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), let(table, lambda t: F.concat(none, *[candidates(w, t, n) for n in lengths])).alias("c")))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), near.alias("x"), F.monotonically_increasing_id().alias("row"))
+    found = materialise(rows.select("row", "doc_id", "text_key", "x.*"), "candidates")
+    met = found.select("row", F.explode("c").alias("c")).select("row", "c.*").join(windows, ["length", "window"])
     own = met.groupBy("row").agg(F.collect_set(F.struct("pos", "length", "window")).alias("c"))  # a document's own windows
-    hits = rows.join(own, "row").select("row", F.filter("c", lambda c: F.array_join(F.slice("w", c["pos"] + 1, c["length"]), " ") == c["window"]).alias("c"))
-    hits = materialise(hits.select("row", covered(F.transform("c", lambda c: F.struct(c["pos"].alias("pos"), c["length"].alias("length")))).alias("spans"), F.array_distinct(F.transform("c", lambda c: c["window"])).alias("windows")), "hits")
+    hits = materialise(own.select("row", covered(F.transform("c", lambda c: F.struct(c["pos"].alias("pos"), c["length"].alias("length")))).alias("spans"), F.array_distinct(F.transform("c", lambda c: c["window"])).alias("windows")), "hits")
     of = hits.select("row", F.explode("windows").alias("window")).join(named.filter(F.col("item_id").isNotNull()).select("window", "item_id"), "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    out = rows.select("row", "doc_id", "text_key", F.size("w").cast("long").alias("n_words")).join(hits.select("row", "spans"), "row", "left").join(of, "row", "left")
+    out = found.drop("c").join(hits.select("row", "spans"), "row", "left").join(of, "row", "left")
     out = out.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.withColumns({"n_hit": F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), "n_items": F.size("items").cast("long")})
 

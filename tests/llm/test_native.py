@@ -208,7 +208,7 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most_bits", [1 << 26, 64])
+@pytest.mark.parametrize("most_bits", [1 << 24, 64])
 def test_hits(spark, most_bits):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(4)] + ["Éa", "日本", "x9"]
@@ -239,7 +239,7 @@ def test_long_document_and_large_benchmark(spark):
         words[2000 * k : 2000 * k + 20] = items[k][1].split()[:20]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing here")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for bits in (1 << 26, 1 << 12):
+    for bits in (1 << 24, 1 << 12):
         got = {r.doc_id: r for r in dc.find_hits(docs, bench, most_bits=bits).collect()}
         assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[2].n_hit) == (100_000, 1000, 50, 0)
         assert [(x.s, x.e) for x in got[1].spans] == [(2000 * k, 2000 * k + 20) for k in range(50)]
