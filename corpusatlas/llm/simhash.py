@@ -110,7 +110,7 @@ def lane(k: int) -> np.uint64:
 class WordHashes(dict):
     """Hashes of the words that a worker has met; emptied when it grows beyond `most`."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -31,7 +31,7 @@ def byte_alphabet() -> dict[int, str]:
 class Coder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, max_chunks: int = 400_000, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_chunks: int = 250_000, max_pieces: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

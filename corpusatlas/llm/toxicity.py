@@ -48,7 +48,7 @@ def shortened(word: str, most: int) -> set[str]:
 class Trie:
     """Terms with weights; children by character, all in dictionaries."""
 
-    def __init__(self, terms: dict[str, float], fuzzy_from: int = 5, most_known: int = 300_000):
+    def __init__(self, terms: dict[str, float], fuzzy_from: int = 5, most_known: int = 100_000):
         self.fuzzy_from, self.most_known, self.root = fuzzy_from, most_known, {}
         heads, short, lengths = set(), set(), set()
         for term, weight in terms.items():
