@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 DASHES = "‐‑‒–—−"
 INVISIBLE = "­​﻿"
 DOI_PREFIX = r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)"
-TAGS = r"</?[A-Za-z][^<>]*>"
-PLACEHOLDER = r"(?i)^\[?no abstract available\]?\.?$"
-COPYRIGHT = r"(?i)(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4}))"
+#: Formatting tags, what stands for a missing abstract, and how publishers' notices begin.
+TAGS = r"(?i)</?(?:jats:p|strong|span|div|sub|sup|br|em|p|b|i)\b[^>]*>"
+MISSING = ("", "[no abstract available]", "no abstract available", "n/a", "null")
+COPYRIGHT = r"(?i)(?:©|\bcopyrights?\s*:?\s*(?:©|\d{4}|the author))"
+FAIR_DEALING = ("Apart from any fair dealing for the purposes of research or private study,", "Copyright, Designs and Patents Act 1988")
+SCOPE_DASHES = "–—‑‐"
 
 
 def empty_if_null(c: Column) -> Column:
@@ -36,13 +39,32 @@ def embedding_text(title: Column, abstract: Column) -> Column:
     return F.concat_ws("\n\n", F.nullif(title, F.lit("")), F.nullif(abstract, F.lit("")))
 
 
-def clean_abstract(c: Column) -> Column:
-    """struct(text, removed): tags to spaces, placeholders to nothing, cut at the first copyright notice."""
-    t = collapse(F.regexp_replace(empty_if_null(c), TAGS, " "))
-    t = F.when(t.rlike(PLACEHOLDER), "").otherwise(t)
-    at = F.regexp_instr(t, F.lit(COPYRIGHT))
-    cut = at > 0
-    return F.struct(F.when(cut, F.rtrim(F.substring(t, F.lit(1), at - 1))).otherwise(t).alias("text"), F.when(cut, F.substring(t, at, F.length(t))).otherwise("").alias("removed"))
+def clean_abstract(c: Column, decoded: bool = True) -> Column:
+    """struct(text, removed): formatting tags to spaces, placeholders to nothing, a fair-dealing notice removed whole, any
+    other text cut at the first copyright notice. Entities and Unicode forms are those of `normalize`, which texts that are
+    not decoded go through."""
+    t = F.regexp_replace(empty_if_null(c), TAGS, " ")
+    t = collapse(F.translate(t, INVISIBLE, "")) if decoded else normalize(t)
+    opening, act = FAIR_DEALING
+    dealing = t.startswith(opening) & t.contains(act)
+    at = F.when(dealing, 1).otherwise(F.regexp_instr(t, F.lit(COPYRIGHT)))
+    at = F.when(F.lower(t).isin(*MISSING), 0).otherwise(at)
+    kept = F.when(F.lower(t).isin(*MISSING), "").when(at > 0, F.rtrim(F.substring(t, F.lit(1), at - 1))).otherwise(t)
+    return F.struct(kept.alias("text"), F.when(at > 0, F.substring(t, at, F.length(t))).otherwise("").alias("removed"))
+
+
+def title_and_year(filename: Column) -> Column:
+    """struct(title, year) of a name like `Author - 2001 - Title.pdf`, parted at the first year between dashes; nulls if it
+    has none."""
+    stem = F.regexp_replace(F.element_at(F.split(filename, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    year = F.regexp_extract(stem, r"\s-\s+((?:19|20)\d{2})\s+-\s", 1)
+    title = F.regexp_extract(stem, r"^.*?\s-\s+(?:19|20)\d{2}\s+-\s+(.*)$", 1)
+    return F.struct(F.when(year != "", title).alias("title"), F.when(year != "", year.cast("int")).alias("year"))
+
+
+def preview(blocks: Column) -> Column:
+    """Blocks (id, type, page, text) as one readable text: a bracketed line for each, its text below, a blank line between."""
+    return F.array_join(F.transform(blocks, lambda b: F.concat(F.lit("[page "), F.coalesce(b["page"].cast("string"), F.lit("?")), F.lit(" | "), b["type"], F.lit(" | "), b["id"], F.lit("]\n"), F.coalesce(b["text"], F.lit("")))), "\n\n")
 
 
 def match_evidence(c: Column, pattern: str) -> Column:
@@ -50,19 +72,17 @@ def match_evidence(c: Column, pattern: str) -> Column:
     return F.array_join(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))), "; ")
 
 
-def term_tokens(c: Column, stopwords: tuple[str, ...], form_kc: bool = False) -> Column:
+def term_tokens(c: Column, stopwords: tuple[str, ...], form_kc: bool = True) -> Column:
     """Words of two letters or more that are not stop words, and two-word expressions of such words side by side. Sentence
-    punctuation, digits and stop words part expressions; hyphens count as spaces."""
-    text = F.translate(F.lower(nfkc(c) if form_kc else empty_if_null(c)), "-", " ")
+    punctuation, digits and stop words part expressions; hyphens count as spaces. Texts are brought to NFKC unless the
+    caller says that they are (form_kc=False); pure ASCII needs no such form."""
+    plain = empty_if_null(c)
+    text = F.translate(F.lower(nfkc(plain) if form_kc else plain), "-", " ")
     runs = F.transform(F.split(text, r"[.!?;:\n\r,()\[\]{}]+"), lambda s: F.regexp_extract_all(s, F.lit(r"([\p{L}\p{Nl}\p{No}]+|\p{Nd}+)"), F.lit(1)))
-    stop = F.array(*[F.lit(s) for s in stopwords]) if stopwords else F.array().cast("array<string>")
-
-    def good(w: Column) -> Column:
-        return (F.length(w) >= 2) & ~w.rlike(r"^\p{Nd}") & ~F.array_contains(stop, w)
-
-    single = F.filter(F.flatten(runs), good)
-    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.size(r) > 1, F.filter(F.transform(F.slice(r, 1, F.size(r) - 1), lambda w, i: F.when(good(w) & good(F.get(r, i + 1)), F.concat(w, F.lit(" "), F.get(r, i + 1)))), lambda p: p.isNotNull())).otherwise(F.array().cast("array<string>"))))
-    return F.concat(single, pairs)
+    # each word is judged once: what is no term becomes null and parts expressions
+    good = F.transform(runs, lambda r: F.transform(r, lambda w: F.when((F.length(w) >= 2) & ~w.rlike(r"^\p{Nd}") & ~w.isin(*stopwords), w)))
+    pairs = F.transform(good, lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(r, i + 1))))
+    return F.array_compact(F.flatten(F.concat(good, pairs)))
 
 
 def phrase_pattern(phrase: str, gap: str = r"[\s-]+") -> str:
@@ -107,28 +127,35 @@ def normalize(c: Column) -> Column:
 
 
 def normalize_scope(c: Column) -> Column:
-    """NFKC, all dashes as -, soft hyphens dropped, white space collapsed, case folded."""
+    """NFKC, dashes and hyphens as - (minus signs and figure dashes stay), soft hyphens dropped, white space collapsed, case
+    folded."""
 
     @F.pandas_udf("string")
     def fold(texts):
         return texts.map(lambda t: t.casefold())
 
-    return fold(collapse(F.translate(F.translate(nfkc(c), "­", ""), DASHES, "-" * len(DASHES))))
+    return fold(collapse(F.translate(F.translate(nfkc(c), "­", ""), SCOPE_DASHES, "-" * len(SCOPE_DASHES))))
 
 
-def normalize_title(c: Column) -> Column:
-    """Decomposed, case folded, & as and, marks dropped, runs of letters and digits joined by a space."""
+class Folding(dict):
+    """What str.translate makes of a decomposed, case-folded character: letters and digits stay, marks go, an ampersand is
+    the word, anything else parts words. Filled as characters are met."""
 
-    @F.pandas_udf("string")
-    def norm(texts):
-        import re
+    def __missing__(self, code: int):
         import unicodedata
 
-        def one(t: str) -> str:
-            t = unicodedata.normalize("NFKD", t).casefold().replace("&", " and ")
-            return " ".join(re.findall(r"[^\W_]+", "".join(x for x in t if not unicodedata.combining(x))))
+        c = chr(code)
+        self[code] = c if c.isalnum() else None if unicodedata.combining(c) else " and " if c == "&" else " "
+        return self[code]
 
-        return texts.fillna("").map(one)
+
+def normalize_title(c: Column) -> Column:
+    """The words of a title in lower case without accents, & as and, one space between them."""
+
+    @F.pandas_udf("string")
+    def norm(texts):
+        fold = Folding()
+        return texts.fillna("").str.normalize("NFKD").str.casefold().str.translate(fold).str.split().str.join(" ")
 
     return norm(c)
 

@@ -119,3 +119,17 @@ def compare_solutions(solutions: DataFrame) -> DataFrame:
     x, y = solutions.alias("x"), solutions.alias("y")
     rule = (F.col("x.method") < F.col("y.method")) & (F.col("x.k") == F.col("y.k")) | (F.col("x.method") == F.col("y.method")) & (F.col("y.k") == F.col("x.k") + 1)
     return x.join(y, rule).select(F.col("x.solution").alias("first"), F.col("y.solution").alias("second"), F.when(F.col("x.method") == F.col("y.method"), "adjacent_counts").otherwise("same_count").alias("kind"))
+
+
+def coverage_sensitivity(labels: DataFrame, settings: list, a: str = "a", b: str = "b") -> DataFrame:
+    """(setting, compared, ari, a_k, b_k) of two partitions at each setting, over the items that both assign (label above 0);
+    the numbers of clusters are those of all items."""
+    out = None
+    for s in settings:  # a sweep's few settings
+        own = labels.filter(F.col("setting") == s)
+        both = own.filter((F.col(a) > 0) & (F.col(b) > 0))
+        k = own.agg(F.count_distinct(F.when(F.col(a) > 0, F.col(a))).alias("a_k"), F.count_distinct(F.when(F.col(b) > 0, F.col(b))).alias("b_k"))
+        one = adjusted_rand(contingency(both, a, b)).crossJoin(both.agg(F.count("*").alias("compared"))).crossJoin(k)
+        one = one.select(F.lit(s).alias("setting"), "compared", "ari", "a_k", "b_k")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusatlas import contracts
+from corpusatlas.sources.writers import table_digest
+
 NUMBER = r"^\s*((?:\d+|[IVX]+)(?:\.\d+)*)[.)]?\s+"
 
 
@@ -203,3 +206,25 @@ def section_report(segments: DataFrame, document: str) -> DataFrame:
     """(document, segment, first_page, last_page, blocks) of segments with a sources column."""
     pages = F.transform("sources", lambda s: s["page"])
     return segments.select(document, "segment", F.array_min(pages).alias("first_page"), F.array_max(pages).alias("last_page"), F.size("sources").cast("long").alias("blocks"))
+
+
+def prepare_corpus(documents: DataFrame, key: str, text: str = "text", skip_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """documents with text, and an audit row (key, status, plan_id) for each document. Documents without text are an error
+    unless they may be skipped. The plan's id is a digest of the prepared keys and texts."""
+    contracts.unique(documents, key)
+    empty = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    if not skip_empty:
+        contracts.holds(documents, ~empty, "a document without text", key)
+    plan = table_digest(documents.filter(~empty).select(key, text))
+    audit = documents.select(key, F.when(empty, "skipped_empty").otherwise("prepared").alias("status"), F.lit(plan).alias("plan_id"))
+    return documents.filter(~empty), audit
+
+
+def checked_selection(selected: DataFrame, available: DataFrame, key: str, count: int | None = None) -> DataFrame:
+    """selected keys, after checks: none twice, none that is not available, and as many available ones as when the selection
+    was made."""
+    contracts.unique(selected, key)
+    contracts.covered(selected, available, key)
+    if count is not None and (found := available.count()) != count:
+        raise contracts.ContractError(f"{found} documents are available, {count} were")
+    return selected

@@ -123,8 +123,28 @@ def front_matches(blocks: DataFrame, references: DataFrame, document: str, most:
 
 
 def page_mentions(pages: DataFrame, titles: DataFrame, least_words: int = 4, around: int = 170) -> DataFrame:
-    """(page_id, title_id, excerpt): normalised titles of enough words that occur in normalised page texts."""
-    t = titles.filter(F.regexp_count("title_key", F.lit(r"\S+")) >= least_words)
-    hit = pages.join(F.broadcast(t), F.instr("page_key", F.col("title_key")) > 0)
+    """(page_id, title_id, excerpt): normalised titles of enough words (three or more) that occur in normalised page texts,
+    words parted by single spaces in both.
+
+    A title's words but its first and last stand in the page as whole words. So its first three inner words (fewer, if it
+    has fewer) meet the page's runs of words in an equality join; the text of a meeting page is then searched."""
+    words = F.split("title_key", " ")
+    inner = F.least(F.size(words) - 2, F.lit(3))
+    t = titles.filter((F.regexp_count("title_key", F.lit(r"\S+")) >= max(3, least_words)) & (F.size(words) >= 3)).select("title_id", "title_key", F.xxhash64(F.slice(words, 2, inner)).alias("k"))
+    w = F.split("page_key", " ")
+    runs_of = lambda n: F.transform(w, lambda _, i: F.xxhash64(F.slice(w, i + 1, n)))
+    runs = F.concat(*map(runs_of, (1, 2, 3)))
+    rows = keep(pages.select("page_id", "page_key").withColumn("r", F.monotonically_increasing_id()), "pages")
+    met = keep(rows.select("r", F.explode(F.array_distinct(runs)).alias("k")).join(t.select("title_id", "k"), "k").select("r", "title_id"), "met")
+    hit = rows.join(met, "r").join(t.drop("k"), "title_id")
     at = F.instr("page_key", F.col("title_key"))
-    return hit.select("page_id", "title_id", F.substring("page_key", F.greatest(F.lit(1), at - around), F.length("title_key") + 2 * around).alias("excerpt"))
+    return hit.filter(at > 0).select("page_id", "title_id", F.substring("page_key", F.greatest(F.lit(1), at - around), F.length("title_key") + 2 * around).alias("excerpt"))
+
+
+def reuse_approved(papers: DataFrame, saved: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """papers with the doi and title of the saved review (approved, match_doi, match_title), empty where it was not approved.
+    A review is reused only if its keys, their order and its query fields are those of the papers."""
+    columns = [key, order, *fields]
+    contracts.same_rows(papers.select(*columns), saved.select(*columns), "the saved review is of another selection")
+    own = saved.select(key, *[F.when(F.col("approved"), F.col(c)).otherwise("").alias(f"approved_{c[6:]}") for c in ("match_doi", "match_title")])
+    return papers.join(own, key)

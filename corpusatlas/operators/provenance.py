@@ -48,3 +48,24 @@ def attach_names(labels: DataFrame, names: DataFrame, cluster: str, key: str) ->
     ok = prints.join(names, [cluster, "fingerprint"]).select(cluster, "name")
     named = labels.join(F.broadcast(ok), cluster, "left")
     return named.withColumns({"matched": F.col("name").isNotNull(), "name": F.when(F.col(cluster) == 0, "Unassigned").otherwise(F.coalesce("name", F.lit("Name pending review")))})
+
+
+def adopt_labels(papers: DataFrame, historical: DataFrame, recorded: DataFrame, key: str, cluster: str, order: str) -> DataFrame:
+    """Historical labels (key, order, cluster) for today's papers (key, order), after four checks: the same keys in the same
+    order, one label each, labels without gaps, and members that have the recorded (cluster, fingerprint)."""
+    contracts.same_rows(papers.select(key, order), historical.select(key, order), "the historical labels are of another corpus")
+    contracts.unique(historical, key)
+    one = F.lit("historical")
+    validate_labels(historical.withColumn("__s", one), "__s", cluster, key, allow_zero=True)
+    found = membership_fingerprints(historical.filter(F.col(cluster) > 0), cluster, key)
+    contracts.same_rows(found.select(cluster, "fingerprint"), recorded.select(cluster, "fingerprint"), "members differ from the record")
+    return historical.select(key, cluster)
+
+
+def same_settings(run: DataFrame, reference: DataFrame, fields: list[str], digests: str | None = None) -> DataFrame:
+    """run (one row of settings), after checks: the listed fields are those of the reference run, and no artefact digest (a
+    column of arrays) occurs twice."""
+    contracts.same_rows(run.select(*fields), reference.select(*fields), f"settings differ in one of {', '.join(fields)}")
+    if digests:
+        contracts.holds(run, F.size(digests) == F.size(F.array_distinct(digests)), "an artefact occurs twice", *fields)
+    return run

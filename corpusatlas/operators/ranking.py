@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusatlas.storage import keep
+
 
 def competition_rank(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
-    """1 + the rows with a greater score. The window runs over the distinct scores only."""
+    """1 + the rows with a greater score. Distinct scores are dealt by range; a window runs within each range, another over
+    one row a range."""
     tally = df.groupBy(score).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = tally.select(score, (F.coalesce(F.sum("__n").over(w), F.lit(0)) + 1).alias(name))
-    return df.join(F.broadcast(ranks), score)
+    dealt = keep(tally.repartitionByRange(F.desc(score)).withColumn("__p", F.spark_partition_id()), "ranks")
+    sums = dealt.groupBy("__p").agg(F.sum("__n").alias("__s"))
+    before = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__b"))
+    above = F.sum("__n").over(Window.partitionBy("__p").orderBy(F.desc(score))) - F.col("__n")
+    ranks = dealt.withColumn("__a", above).join(before, "__p").select(F.col(score).alias("__score"), (F.col("__b") + F.col("__a") + 1).alias(name))
+    return df.join(ranks, F.col(score).eqNullSafe(F.col("__score"))).drop("__score")
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

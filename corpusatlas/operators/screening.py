@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusatlas import contracts
@@ -88,18 +88,23 @@ def presence_comparison(rows: DataFrame, first: Column, second: Column) -> DataF
     return rows.agg(F.count_if(first & second).alias("both"), F.count_if(first & ~second).alias("first_only"), F.count_if(~first & second).alias("second_only"), F.count_if(~first & ~second).alias("neither"))
 
 
+#: A word: letters, digits and underscores, with inner hyphens and apostrophes.
+WORD = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*"
+
+
 def mentions(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """(key, mention, word_index, words, word_fraction): words before each mention over all words. A word is a run of
-    letters, digits and underscores."""
-    word = r"[\p{L}\p{N}_]+"
-    pieces = F.split(F.col(text), pattern)
-    total = F.regexp_count(text, F.lit(word))
-    # the text before the n-th mention ends where the n-th piece does
-    matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    x = rows.select(key, total.alias("words"), F.transform(pieces, lambda p: F.regexp_count(p, F.lit(word))).alias("p"), F.transform(matched, lambda m: F.regexp_count(m, F.lit(word))).alias("m"))
-    before = F.transform(F.sequence(F.lit(1), F.size("m")), lambda i: F.aggregate(F.slice("p", 1, i), F.lit(0), lambda a, v: a + v) + F.aggregate(F.slice("m", 1, i - 1), F.lit(0), lambda a, v: a + v))
-    out = x.filter(F.size("m") > 0).select(key, "words", F.posexplode(before).alias("mention", "word_index"))
-    return out.select(key, (F.col("mention") + 1).cast("long").alias("mention"), F.col("word_index").cast("long").alias("word_index"), F.col("words").cast("long").alias("words"), (F.col("word_index") / F.col("words")).alias("word_fraction"))
+    """(key, mention, word_index, words, word_fraction): words before each mention over all words. Words are counted in
+    the text before the mention, so one that a mention interrupts counts."""
+    pieces, matched = F.split(F.col(text), pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    x = rows.select(key, F.col(text).alias("t"), F.regexp_count(text, F.lit(WORD)).alias("words"), pieces.alias("p"), matched.alias("m")).filter(F.size("m") > 0)
+    # one row a mention with the length of its piece and match; a running sum gives its place
+    spans = F.transform("m", lambda m, i: F.struct(F.length(F.get("p", i)).alias("gap"), F.length(m).alias("own")))
+    each = x.withColumn("r", F.monotonically_increasing_id()).select("r", key, "t", "words", F.posexplode(spans).alias("i", "s"))
+    w = Window.partitionBy("r").orderBy("i")
+    start = F.sum(F.col("s.gap") + F.col("s.own")).over(w) - F.col("s.own")
+    index = F.regexp_count(F.substring("t", F.lit(1), start.cast("int")), F.lit(WORD))
+    out = each.select(key, "words", (F.col("i") + 1).cast("long").alias("mention"), index.cast("long").alias("word_index"))
+    return out.select(key, "mention", "word_index", F.col("words").cast("long").alias("words"), (F.col("word_index") / F.col("words")).alias("word_fraction"))
 
 
 def late_only(found: DataFrame, key: str, least: float = 2 / 3) -> DataFrame:

@@ -13,9 +13,9 @@ from corpusatlas.functions import text as T
 from corpusatlas.operators.ranking import top_by
 
 
-def term_counts(papers: DataFrame, key: str, text: Column, stopwords: tuple[str, ...]) -> DataFrame:
+def term_counts(papers: DataFrame, key: str, text: Column, stopwords: tuple[str, ...], form_kc: bool = True) -> DataFrame:
     """(key, term, tf)."""
-    return papers.select(key, F.explode(T.term_tokens(text, stopwords)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return papers.select(key, F.explode(T.term_tokens(text, stopwords, form_kc)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n: int | DataFrame, min_df: int = 3, max_df: float = 0.9) -> DataFrame:
@@ -72,10 +72,11 @@ def expression_names(terms: DataFrame, top: int = 8) -> DataFrame:
 
 def passages(papers: DataFrame, key: str, text: str = "text", separator: str = "\n") -> DataFrame:
     """(key, passage, start, end, text): the non-empty pieces of texts with their offsets."""
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), separator)
-    starts = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, q: a + F.length(q) + len(separator)))
-    out = papers.select(key, F.posexplode(F.arrays_zip(parts.alias("text"), starts.alias("start"))).alias("passage", "p"))
-    return out.select(key, F.col("passage").cast("long").alias("passage"), F.col("p.start").cast("long").alias("start"), (F.col("p.start") + F.length("p.text")).cast("long").alias("end"), F.col("p.text").alias("text")).filter("text <> ''")
+    rows = papers.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("r"))
+    parts = rows.select(key, "r", F.posexplode(F.split("t", separator)).alias("passage", "text"))
+    n = F.length("text").cast("long")
+    end = F.sum(n + len(separator)).over(Window.partitionBy("r").orderBy("passage")) - len(separator)
+    return parts.select(key, F.col("passage").cast("long").alias("passage"), (end - n).alias("start"), end.alias("end"), "text").filter("text <> ''")
 
 
 def occurrences(rows: DataFrame, key: str, phrase: str) -> DataFrame:

@@ -163,3 +163,11 @@ def trustworthiness(vectors: DataFrame, projected: DataFrame, key: str, k: int =
         return pd.DataFrame({"trustworthiness": [1 - 2 * over / (n * k * (2 * n - 3 * k - 1))]})
 
     return rows.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: run(pdf), "trustworthiness double")
+
+
+def pending(papers: DataFrame, cached: DataFrame, key: str, digest: str = "digest", column: str = "embedding", dimensions: int | None = None) -> DataFrame:
+    """papers (key, digest) that a resumed run still has to embed: those without a cached vector of the same digest, one
+    vector each and, if given, of the right dimensions."""
+    fits = F.col(column).isNotNull() & (F.size(column) == dimensions if dimensions else F.lit(True))
+    fine = cached.groupBy(key, digest).agg(F.count("*").alias("n"), F.min(fits).alias("ok")).filter("n = 1 AND ok")
+    return papers.join(fine.select(key, digest), [key, digest], "left_anti")

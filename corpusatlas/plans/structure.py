@@ -76,7 +76,7 @@ def reference_edges_alias(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_edges_two_way(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    li = table(spark, d, "lineitem")
     refs = li.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").cast("string").alias("target_id"), F.col("l_suppkey").cast("string").alias("target_doi"))
     part = table(spark, d, "part")
     by_id = part.select(F.col("p_partkey").alias("key"), F.col("p_partkey").cast("string").alias("alias"))
@@ -187,7 +187,7 @@ l AS (SELECT k, count(*) AS c, count(DISTINCT doi) FILTER (doi <> '') AS nd, min
 SELECT doc_id, coalesce(c, 0) AS candidates, CASE WHEN nd = 1 THEN doi ELSE '' END AS doi, coalesce(CASE WHEN doc_id % 3 = 0 THEN 2000 END, CASE WHEN ny = 1 THEN year END, 0)::BIGINT AS year, CASE WHEN c IS NULL THEN 'missing' WHEN nd > 1 THEN 'ambiguous' ELSE 'matched' END AS metadata_status FROM t LEFT JOIN l USING (k) WHERE doc_id % 4 <> 0""",
     "reference_edges_alias": """WITH a AS (SELECT DISTINCT l_partkey AS key, l_suppkey || '-' || (l_partkey % 40) AS alias FROM lineitem WHERE l_quantity >= 49), u AS (SELECT alias, min(key) AS key FROM a GROUP BY 1 HAVING count(DISTINCT key) = 1)
 SELECT DISTINCT l_orderkey % 500 AS src, key AS dst FROM lineitem JOIN u ON alias = l_suppkey || '-' || (l_orderkey % 40) WHERE alias NOT LIKE '1%' AND l_orderkey % 500 <> key""",
-    "reference_edges_two_way": """WITH r AS (SELECT l_orderkey AS src, a.p_partkey AS k1, b.p_partkey AS k2 FROM lineitem LEFT JOIN part a ON a.p_partkey = l_partkey LEFT JOIN part b ON b.p_partkey = l_suppkey AND b.p_partkey < 60 WHERE l_linenumber <= 2),
+    "reference_edges_two_way": """WITH r AS (SELECT l_orderkey AS src, a.p_partkey AS k1, b.p_partkey AS k2 FROM lineitem LEFT JOIN part a ON a.p_partkey = l_partkey LEFT JOIN part b ON b.p_partkey = l_suppkey AND b.p_partkey < 60),
 ok AS (SELECT src, coalesce(k1, k2) AS dst, concat_ws('+', CASE WHEN k1 IS NOT NULL THEN 'id' END, CASE WHEN k2 IS NOT NULL THEN 'doi' END) AS m FROM r WHERE NOT (k1 IS NOT NULL AND k2 IS NOT NULL AND k1 <> k2) AND coalesce(k1, k2) IS NOT NULL)
 SELECT src, dst, string_agg(DISTINCT m, ';' ORDER BY m) AS methods FROM ok WHERE src <> dst GROUP BY ALL""",
     "canonical_records": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical_key, doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_duplicate FROM documents",

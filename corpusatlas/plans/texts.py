@@ -188,9 +188,10 @@ x AS (SELECT *, core_in_title OR core_mentions >= 2 AS core FROM f),
 dec AS (SELECT *, CASE WHEN chemistry_matches <> '' OR journal = 'src3' THEN ['exclude', 'chemistry'] WHEN journal = 'src5' THEN ['exclude', 'trade journal'] WHEN venture_matches <> '' AND (NOT core OR journal = 'src7') THEN ['exclude', 'venture capital']
  WHEN venture_matches <> '' THEN ['review', 'venture capital'] WHEN startup_matches <> '' AND core THEN ['review', 'startup'] WHEN startup_matches <> '' THEN ['exclude', 'startup'] WHEN ambiguous_matches <> '' THEN ['review', 'ambiguous financing']
  WHEN core_matches = '' THEN ['exclude', 'not mentioned'] WHEN document_type = 'fr' THEN ['review', 'document type'] WHEN NOT core THEN ['review', 'not central'] ELSE ['keep', 'core'] END AS v FROM x)"""
-_MEN = f"""{_REC}, p AS (SELECT doc_id, abstract, regexp_split_to_array(abstract, '{RULES.core}') AS p, regexp_extract_all(abstract, '{RULES.core}') AS m FROM rec),
-c AS (SELECT doc_id, len(regexp_extract_all(abstract, '[\\p{{L}}\\p{{N}}_]+')) AS words, list_transform(p, lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+'))) AS p, list_transform(m, lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+'))) AS m FROM p),
-men AS (SELECT doc_id, i AS mention, words, (list_sum(p[1:i]) + coalesce(list_sum(m[1:i - 1]), 0))::BIGINT AS word_index FROM c, unnest(range(1, len(m) + 1)) AS u(i))"""
+_WORD = r"[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*"
+_MEN = f"""{_REC}, p AS (SELECT doc_id, abstract, list_transform(regexp_split_to_array(abstract, '{RULES.core}'), lambda x: length(x)) AS p, list_transform(regexp_extract_all(abstract, '{RULES.core}'), lambda x: length(x)) AS m FROM rec),
+spot AS (SELECT doc_id, abstract, i AS mention, list_sum(p[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS start FROM p, unnest(range(1, len(m) + 1)) AS u(i)),
+men AS (SELECT doc_id, mention, len(regexp_extract_all(abstract, '{_WORD}')) AS words, len(regexp_extract_all(substr(abstract, 1, start::BIGINT), '{_WORD}')) AS word_index FROM spot)"""
 _STOP = ", ".join(f"'{s}'" for s in STOP)
 _GOOD = "(length({0}) >= 2 AND NOT regexp_matches({0}, '^\\p{{Nd}}') AND {0} NOT IN (" + _STOP + "))"
 _TOK = f"""en AS (SELECT doc_id, text, doc_id % 5 AS cluster FROM documents WHERE lang = 'en'),
@@ -221,9 +222,10 @@ sco AS (SELECT *, CASE WHEN words > 0 THEN 0.4::DOUBLE * (words / sentences + 10
 
 ORACLES = {
     "text_normalize": r"""WITH raw AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://doi.org/10.1/A' || doc_id WHEN 1 THEN 'doi: 10.1/B' || doc_id WHEN 2 THEN ' HTTP://dx.doi.org/10.1/c' || doc_id END AS doi, '<p>' || text || '</p> P <.001 ' || CASE WHEN doc_id % 2 = 0 THEN '© 2020 Publisher' ELSE '' END AS t FROM documents),
-c AS (SELECT doc_id, lower(trim(regexp_replace(trim(coalesce(doi, '')), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', ''))) AS doi, trim(regexp_replace(regexp_replace(t, '</?[A-Za-z][^<>]*>', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS t FROM raw),
-x AS (SELECT doc_id, doi, t, regexp_extract(t, '(?is)^(.*?)(©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4}))', 1) AS head, regexp_matches(t, '(?i)(©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4}))') AS cut FROM c),
-y AS (SELECT doc_id, doi, CASE WHEN cut THEN rtrim(head) ELSE t END AS text, CASE WHEN cut THEN substr(t, length(head) + 1) ELSE '' END AS removed FROM x)
+c AS (SELECT doc_id, lower(trim(regexp_replace(trim(coalesce(doi, '')), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', ''))) AS doi,
+  trim(regexp_replace(translate(regexp_replace(t, '(?i)</?(?:p|br|div|span|b|i|em|strong|sub|sup|jats:p)\b[^>]*>', ' ', 'g'), chr(173) || chr(8203) || chr(65279), ''), '[\s\p{Z}]+', ' ', 'g')) AS t FROM raw),
+x AS (SELECT doc_id, doi, t, regexp_extract(t, '(?is)^(.*?)(?:©|\bcopyrights?\s*:?\s*(?:©|\d{4}|the author))', 1) AS head, regexp_matches(t, '(?i)(?:©|\bcopyrights?\s*:?\s*(?:©|\d{4}|the author))') AS cut, lower(t) IN ('', '[no abstract available]', 'no abstract available', 'n/a', 'null') AS missing FROM c),
+y AS (SELECT doc_id, doi, CASE WHEN missing THEN '' WHEN cut THEN rtrim(head) ELSE t END AS text, CASE WHEN cut AND NOT missing THEN substr(t, length(head) + 1) ELSE '' END AS removed FROM x)
 SELECT doc_id, doi, sha256(text) AS text, removed, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM y""",
     "screen_decisions": f"WITH {_DEC} SELECT doc_id, v[1] AS decision, v[2] AS reason, core_in_title, core_mentions, core_matches, venture_matches FROM dec",
     "screen_overrides": f"WITH {_DEC} SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'keep' ELSE v[1] END AS decision, CASE WHEN doc_id % 9 = 0 THEN 'reviewed' ELSE v[2] END AS reason, v[1] AS automatic_decision, doc_id % 9 = 0 AS manual_override FROM dec",

@@ -69,9 +69,10 @@ def passages(plans: DataFrame, body: str = "text") -> DataFrame:
     seg = plans.select("id", F.posexplode("segments").alias("segment", "s"))
     tiles = F.aggregate("s.sources", F.lit(0), lambda a, x: a + x["end"] - x["start"]) + 2 * F.greatest(F.size("s.sources") - 1, F.lit(0))
     contracts.holds(seg, tiles == F.length("s.text"), "spans do not tile the text", "id", "segment")
-    src = seg.select("id", "segment", F.col(f"s.{body}").alias("t"), "s.sources", F.posexplode("s.sources").alias("passage", "x"))
-    before = F.aggregate(F.slice("sources", 1, F.col("passage")), F.lit(0), lambda a, y: a + y["end"] - y["start"] + 2)
-    return src.select("id", "segment", "passage", "x.page", "x.block_id", "x.start", "x.end", F.substring("t", before + 1, F.col("x.end") - F.col("x.start")).alias("text"))
+    src = seg.withColumn("r", F.monotonically_increasing_id()).select("r", "id", "segment", F.col(f"s.{body}").alias("t"), F.posexplode("s.sources").alias("passage", "x"))
+    size = F.col("x.end") - F.col("x.start")
+    before = (F.sum(size + 2).over(Window.partitionBy("r").orderBy("passage")) - size - 2).cast("int")
+    return src.withColumn("b", before).select("id", "segment", "passage", "x.page", "x.block_id", "x.start", "x.end", F.substring("t", F.col("b") + 1, size).alias("text"))
 
 
 def works_by_doi(responses: DataFrame) -> DataFrame:

@@ -102,3 +102,93 @@ def test_graph_tables(spark, tmp_path):
     writers.graph_tables(nodes, edges, str(tmp_path))
     assert [tuple(r)[2:] for r in spark.read.parquet(f"{tmp_path}/edges").select("src", "dst", "row", "column").collect()] == [(0, 2)]
     assert graphs.graph_summary(nodes, edges).first().isolates == 1
+
+
+def test_notices_and_placeholders(spark):
+    from corpusatlas.functions import text as T
+
+    notice = "Apart from any fair dealing for the purposes of research or private study, as the Copyright, Designs and Patents Act 1988 says."
+    cases = {"(a) one, (b) two and (c) three results.": ("(a) one, (b) two and (c) three results.", ""), "a <b and c> d": ("a d", ""), "x <.001 y": ("x <.001 y", ""), "n/a": ("", ""), "NULL": ("", ""), notice: ("", notice), "Fine. Copyright 2020 P": ("Fine.", "Copyright 2020 P"), "copyrights matter": ("copyrights matter", ""), "One<br/>two<jats:p>three": ("One two three", "")}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.clean_abstract(F.col("t")).alias("c"))
+    assert {r.t: tuple(r.c) for r in df.collect()} == cases
+    assert spark.createDataFrame([("P &lt;.05 e\u0301",)], "t string").select(T.clean_abstract(F.col("t"), decoded=False).alias("c")).first().c.text == "P <.05 \u00e9"
+
+
+def test_names_previews_and_titles(spark):
+    from corpusatlas.functions import text as T
+
+    names = {"a/Lee - 1999 - One - two.pdf": ("One - two", 1999), "Lee - 1899 - Old.pdf": (None, None), "Plain.pdf": (None, None), "X - 2001 - A - 2002 - B.pdf": ("A - 2002 - B", 2001)}
+    got = spark.createDataFrame([(k,) for k in names], "n string").select("n", T.title_and_year(F.col("n")).alias("x")).collect()
+    assert {r.n: tuple(r.x) for r in got} == names
+    blocks = spark.createDataFrame([([("b1", "Text", 2, "Hello"), ("b2", "Title", None, None)],)], "b array<struct<id:string,type:string,page:int,text:string>>")
+    assert blocks.select(T.preview(F.col("b")).alias("p")).first().p == "[page 2 | Text | b1]\nHello\n\n[page ? | Title | b2]\n"
+    titles = {"\u00c9tude & Co._x": "etude and co x", "Stra\u00dfe \ufb01n": "strasse fin", None: ""}
+    got = spark.createDataFrame([(k,) for k in titles], "t string").select("t", T.normalize_title(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in got} == titles
+
+
+def test_mentions_count_hyphenated_words_once(spark):
+    from corpusatlas.operators import screening
+
+    df = spark.createDataFrame([(1, "a well-known firm's PE fund and PE")], "k long, t string")
+    assert [(r.mention, r.word_index, r.words) for r in screening.mentions(df, "k", "t", "PE").orderBy("mention").collect()] == [(1, 3, 7), (2, 6, 7)]
+
+
+def test_preparation_and_selection(spark):
+    from corpusatlas.contracts import ContractError
+    from corpusatlas.operators import documents, linkage, provenance
+
+    docs = spark.createDataFrame([(1, "a"), (2, " "), (3, None)], "k long, text string")
+    with pytest.raises(ContractError):
+        documents.prepare_corpus(docs, "k")
+    kept, audit = documents.prepare_corpus(docs, "k", skip_empty=True)
+    assert [r.k for r in kept.collect()] == [1] and {r.k: r.status for r in audit.collect()} == {1: "prepared", 2: "skipped_empty", 3: "skipped_empty"}
+    assert documents.prepare_corpus(docs.filter("k = 1"), "k")[1].first().plan_id == audit.first().plan_id
+    assert documents.checked_selection(docs.select("k").filter("k < 3"), docs, "k", 3).count() == 2
+    for bad in (dict(selected=docs.select("k").unionByName(docs.select("k"))), dict(selected=spark.range(9, 10).toDF("k")), dict(selected=docs.select("k"), count=5)):
+        with pytest.raises(ContractError):
+            documents.checked_selection(**{"available": docs, "key": "k"} | bad)
+    papers = spark.createDataFrame([(1, 1, "t"), (2, 2, "u")], "k long, o long, q string")
+    saved = papers.withColumns({"approved": F.col("k") == 1, "match_doi": F.lit("d"), "match_title": F.lit("m")})
+    assert {r.k: (r.approved_doi, r.approved_title) for r in linkage.reuse_approved(papers, saved, "k", "o", ["q"]).collect()} == {1: ("d", "m"), 2: ("", "")}
+    with pytest.raises(ContractError):
+        linkage.reuse_approved(papers, saved.withColumn("o", F.col("o") + 1), "k", "o", ["q"])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 2, 2)], "k long, o long, cluster long")
+    record = provenance.membership_fingerprints(labels, "cluster", "k")
+    assert provenance.adopt_labels(papers, labels, record, "k", "cluster", "o").count() == 2
+    with pytest.raises(ContractError):
+        provenance.adopt_labels(papers, labels, record.withColumn("fingerprint", F.lit("x")), "k", "cluster", "o")
+    run = spark.createDataFrame([("m", 8, ["a", "b"])], "model string, batch int, files array<string>")
+    assert provenance.same_settings(run, run.withColumn("batch", F.lit(4)), ["model"], "files").count() == 1
+    with pytest.raises(ContractError):
+        provenance.same_settings(run, run.withColumn("batch", F.lit(4)), ["model", "batch"])
+
+
+def test_page_mentions_against_search(spark):
+    import random
+
+    from corpusatlas.operators import linkage
+
+    rng = random.Random(1)
+    say = lambda n: " ".join(rng.choice(["ab", "cd", "e", "fg", "the"]) for _ in range(n))
+    pages = [(i, say(60)) for i in range(30)] + [(99, None)]
+    titles = [(i, say(rng.randint(1, 7))) for i in range(60)] + [(98, "b cd e f")]
+    got = linkage.page_mentions(spark.createDataFrame(pages, "page_id long, page_key string"), spark.createDataFrame(titles, "title_id long, title_key string"))
+    want = {(p, t) for p, x in pages for t, k in titles if x and len(k.split()) >= 4 and k in x}
+    assert {(r.page_id, r.title_id) for r in got.collect()} == want and want
+
+
+def test_leaves_lie_side_by_side():
+    import numpy as np
+    from corpusatlas.operators import cluster
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 3))
+    merges = cluster.average_linkage(np.linalg.norm(x[:, None] - x[None], axis=2))
+    at = cluster.leaf_order(merges, 30)
+    assert sorted(at) == list(range(30)) and list(cluster.leaf_order(np.empty((0, 4)), 1)) == [0]
+    members = {i: [i] for i in range(30)}
+    for k, (a, b, *_) in enumerate(merges):
+        members[30 + k] = members[int(a)] + members[int(b)]
+        places = sorted(at[m] for m in members[30 + k])
+        assert places == list(range(places[0], places[0] + len(places)))

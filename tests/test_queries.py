@@ -43,8 +43,13 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
+    """Without SQL: rows there are, and a second run gives the same ones (values are held elsewhere)."""
     df = catalog.QUERIES[name](spark, str(SF))
-    assert df.columns and df.count() >= 0
+    rows = canonical(df.collect(), df.columns)
+    assert rows
+    if name != "kmeans_sweep":  # sums in the order of the tasks
+        again = catalog.QUERIES[name](spark, str(SF))
+        assert canonical(again.collect(), again.columns) == rows
 
 
 def test_entry(spark):
