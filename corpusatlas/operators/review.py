@@ -10,13 +10,13 @@ from corpusatlas.operators.provenance import membership_fingerprints
 from corpusatlas.operators.ranking import top_by
 
 
-def example_roles(scored: DataFrame, cluster: str, key: str, score: str, central: int = 3, boundary: int = 2, others: int = 2) -> DataFrame:
-    """(cluster, key, roles): the members with the highest scores, those with the lowest, and some of the rest by hash; a
-    member of several roles has them joined."""
+def example_roles(scored: DataFrame, cluster: str, key: str, score: str, central: int = 3, boundary: int = 2, others: int = 2, seed: int = 42) -> DataFrame:
+    """(cluster, key, roles): the members with the highest scores, those with the lowest, and some of the rest by a seeded
+    hash; a member of several roles has them joined."""
     best = top_by(scored, [cluster], central, F.desc(score), F.asc(key)).withColumn("role", F.lit("central"))
     least = top_by(scored, [cluster], boundary, F.asc(score), F.asc(key)).withColumn("role", F.lit("boundary"))
     rest = scored.join(best.select(key), key, "left_anti").join(least.select(key), key, "left_anti")
-    some = top_by(rest, [cluster], others, F.xxhash64(key, F.lit(42)), F.asc(key)).withColumn("role", F.lit("random"))
+    some = top_by(rest, [cluster], others, F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256), F.asc(key)).withColumn("role", F.lit("random"))
     every = best.select(cluster, key, "role").unionByName(least.select(cluster, key, "role")).unionByName(some.select(cluster, key, "role"))
     order = F.when(F.col("role") == "central", 0).when(F.col("role") == "boundary", 1).otherwise(2)
     return every.groupBy(cluster, key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "role"))), lambda x: x["role"]), "; ").alias("roles"))

@@ -14,7 +14,7 @@ from corpusatlas.streaming import windows
 
 def example_roles(spark: SparkSession, d: str) -> DataFrame:
     scored = table(spark, d, "part").select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("key"), "p_retailprice")
-    return review.example_roles(scored, "cluster", "key", "p_retailprice", others=0)
+    return review.example_roles(scored, "cluster", "key", "p_retailprice")
 
 
 def review_cards(spark: SparkSession, d: str) -> DataFrame:
@@ -36,8 +36,7 @@ def title_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_row_map(spark: SparkSession, d: str) -> DataFrame:
-    kept = table(spark, d, "embeddings").filter("label <> 3").select("vec_id")
-    return dense_index(kept, "vec_id", "embedding_row")
+    return dense_index(table(spark, d, "embeddings").select("vec_id"), "vec_id", "embedding_row")
 
 
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
@@ -53,9 +52,9 @@ def events_sessions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (example_roles, review_cards, balanced_groups, title_search, vector_row_map, events_tumbling, events_sessions)}
 
 ORACLES = {
-    "example_roles": "WITH r AS (SELECT p_brand AS cluster, p_partkey AS key, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS a, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS b FROM part) SELECT cluster, key, concat_ws('; ', CASE WHEN a <= 3 THEN 'central' END, CASE WHEN b <= 2 THEN 'boundary' END) AS roles FROM r WHERE a <= 3 OR b <= 2",
+    "example_roles": "WITH r AS (SELECT p_brand AS cluster, p_partkey AS key, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS a, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS b FROM part), h AS (SELECT *, row_number() OVER (PARTITION BY cluster, a <= 3 OR b <= 2 ORDER BY sha256('42|' || key), key) AS c FROM r) SELECT cluster, key, CASE WHEN a <= 3 OR b <= 2 THEN concat_ws('; ', CASE WHEN a <= 3 THEN 'central' END, CASE WHEN b <= 2 THEN 'boundary' END) ELSE 'random' END AS roles FROM h WHERE a <= 3 OR b <= 2 OR c <= 2",
     "title_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(p_partkey::VARCHAR, 'red')",
-    "vector_row_map": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS embedding_row FROM embeddings WHERE label <> 3",
+    "vector_row_map": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS embedding_row FROM embeddings",
     "events_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY date_trunc('hour', ts), event_type",
     "events_sessions": """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS events FROM s GROUP BY user_id, n""",

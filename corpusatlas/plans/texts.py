@@ -27,8 +27,8 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", lines[0].alias("title"), F.array_join(F.slice(lines, 2, F.size(lines)), " ").alias("abstract"), F.col("source").alias("journal"), F.col("lang").alias("document_type"))
 
 
-def english(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter("lang = 'en'").select("doc_id", "text", (F.col("doc_id") % 5).alias("cluster"))
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", "text", (F.col("doc_id") % 5).alias("cluster"))
 
 
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def mention_rule_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mention_lists(spark: SparkSession, d: str) -> DataFrame:
-    return screening.list_mentions(docs(spark, d).filter("lang = 'en'"), "doc_id", "text", r"\bthing\b").withColumn("items", F.array_join("items", "|"))
+    return screening.list_mentions(docs(spark, d), "doc_id", "text", r"\bthing\b").withColumn("items", F.array_join("items", "|"))
 
 
 def passages_explode(spark: SparkSession, d: str) -> DataFrame:
@@ -86,13 +86,13 @@ def passages_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, d: str) -> DataFrame:
-    papers = english(spark, d)
+    papers = clustered(spark, d)
     counts = keep(topics.term_counts(papers, "doc_id", F.col("text"), STOP), "terms")
     return topics.tfidf(counts, topics.vocabulary(counts, papers.agg(F.count("*").alias("n_papers"))), "doc_id")
 
 
 def term_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    papers = english(spark, d)
+    papers = clustered(spark, d)
     counts = topics.term_counts(papers, "doc_id", F.col("text"), STOP)
     return rounded(topics.vocabulary(counts, papers.agg(F.count("*").alias("n_papers"))), "idf")
 
@@ -102,7 +102,7 @@ def term_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, d: str, fraction: float = 0.02) -> DataFrame:
-    return topics.topic_terms(weights(spark, d), english(spark, d), "doc_id", 10, fraction)
+    return topics.topic_terms(weights(spark, d), clustered(spark, d), "doc_id", 10, fraction)
 
 
 def topic_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -114,23 +114,23 @@ def topic_ranked_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_names(spark: SparkSession, d: str) -> DataFrame:
-    return topics.expression_names(topics.topic_terms(weights(spark, d), english(spark, d), "doc_id", 1000, 0.01), 4)
+    return topics.expression_names(topics.topic_terms(weights(spark, d), clustered(spark, d), "doc_id", 1000, 0.01), 4)
 
 
 def search_expression(spark: SparkSession, d: str) -> DataFrame:
-    papers = english(spark, d)
+    papers = clustered(spark, d)
     found = topics.occurrences(topics.passages(papers, "doc_id"), "doc_id", PHRASE)
     return rounded(topics.search_expression(found, papers.select("doc_id", "cluster"), "doc_id"), "containing_pct", "per_paper")
 
 
 def supporting_papers(spark: SparkSession, d: str) -> DataFrame:
-    papers = english(spark, d)
+    papers = clustered(spark, d)
     found = topics.occurrences(topics.passages(papers, "doc_id"), "doc_id", PHRASE)
     return topics.supporting_papers(found, papers.select("doc_id", "cluster"), "doc_id", 2).withColumn("text", F.sha2("text", 256))
 
 
 def topic_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    papers = english(spark, d)
+    papers = clustered(spark, d)
     best = keep(terms(spark, d).filter("ranking = 'contrast'"), "best")
     return topics.excerpts(topics.passages(papers, "doc_id").filter("length(text) >= 100"), best, papers.select("doc_id", "cluster"), "doc_id").withColumn("excerpt", F.sha2("excerpt", 256))
 
@@ -165,11 +165,11 @@ def protected_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def caution_examples(spark: SparkSession, d: str) -> DataFrame:
-    return topics.caution_examples(topics.passages(english(spark, d), "doc_id"), "doc_id", r"the\W+the").withColumn("excerpt", F.sha2("excerpt", 256))
+    return topics.caution_examples(topics.passages(clustered(spark, d), "doc_id"), "doc_id", r"the\W+the").withColumn("excerpt", F.sha2("excerpt", 256))
 
 
 def topic_overview(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(whole(topics.cluster_overview(english(spark, d), "doc_id", "text", STOP), "rank"), "score")
+    return rounded(whole(topics.cluster_overview(clustered(spark, d), "doc_id", "text", STOP), "rank"), "score")
 
 
 QUERIES = {f.__name__: f for f in (text_normalize, text_unicode_forms, screen_decisions, screen_overrides, screen_funnel, mention_positions, mention_late_only, mention_categories, mention_rule_comparison, mention_lists, passages_explode, term_vocabulary, term_weights, topic_terms, topic_ranked_words, topic_names, search_expression, supporting_papers, topic_excerpts, readability_scores, readability_by_period, readability_flags, search_totals, journal_labels, protected_titles, caution_examples, topic_overview)}
@@ -194,7 +194,7 @@ spot AS (SELECT doc_id, abstract, i AS mention, list_sum(p[1:i]) + coalesce(list
 men AS (SELECT doc_id, mention, len(regexp_extract_all(abstract, '{_WORD}')) AS words, len(regexp_extract_all(substr(abstract, 1, start::BIGINT), '{_WORD}')) AS word_index FROM spot)"""
 _STOP = ", ".join(f"'{s}'" for s in STOP)
 _GOOD = "(length({0}) >= 2 AND NOT regexp_matches({0}, '^\\p{{Nd}}') AND {0} NOT IN (" + _STOP + "))"
-_TOK = f"""en AS (SELECT doc_id, text, doc_id % 5 AS cluster FROM documents WHERE lang = 'en'),
+_TOK = f"""en AS (SELECT doc_id, text, doc_id % 5 AS cluster FROM documents),
 runs AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(replace(lower(text), '-', ' '), '[.!?;:\\n\\r,()\\[\\]{{}}]+'), lambda s: regexp_extract_all(s, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+'))) AS r FROM en),
 tok AS (SELECT doc_id, w AS term FROM runs, unnest(r) AS u(w) WHERE {_GOOD.format('w')} UNION ALL SELECT doc_id, r[i] || ' ' || r[i + 1] FROM runs, unnest(range(1, len(r))) AS u(i) WHERE {_GOOD.format('r[i]')} AND {_GOOD.format('r[i + 1]')}),
 cnt AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), np AS (SELECT count(*) AS n FROM en),
@@ -211,7 +211,7 @@ top_ AS (SELECT *, row_number() OVER (PARTITION BY cluster, ranking ORDER BY rou
 terms AS (SELECT * FROM top_ WHERE rank <= {top})"""
 
 
-_PAS = """en AS (SELECT doc_id, text, doc_id % 5 AS cluster FROM documents WHERE lang = 'en'), pas AS (SELECT doc_id, i - 1 AS passage, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM en), unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''),
+_PAS = """en AS (SELECT doc_id, text, doc_id % 5 AS cluster FROM documents), pas AS (SELECT doc_id, i - 1 AS passage, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM en), unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''),
 tk AS (SELECT doc_id, passage, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w, regexp_split_to_array(lower(text), '[\\p{L}\\p{N}_]+') AS g FROM pas),
 k AS (SELECT doc_id, passage, text, len(list_filter(range(1, len(w)), lambda i: w[i] = 'is' AND w[i + 1] = 'the' AND regexp_full_match(g[i + 1], '[\\s-]+'))) AS k FROM tk),
 hit AS (SELECT doc_id, sum(k)::BIGINT AS occurrences, min(passage) AS passage, arg_min(text, passage) AS text FROM k WHERE k > 0 GROUP BY 1)"""
