@@ -18,8 +18,10 @@ def membership_fingerprints(labels: DataFrame, cluster: str, key: str) -> DataFr
 
 
 def input_fingerprint(vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
-    """One row: vectors, dimensions, digest over the keys and the vectors' values (scaled to whole millionths)."""
-    row = F.sha2(F.concat_ws(",", F.col(key).cast("string"), F.transform(column, lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string"))), 256)
+    """One row: vectors, dimensions, digest over the keys, the type and the exact values (the shortest decimals that give a
+    value back, so two values have one only if they are equal; null and missing dimensions count)."""
+    values = F.transform(column, lambda x: F.coalesce(x.cast("string"), F.lit("null")))
+    row = F.sha2(F.concat_ws(",", F.lit(dict(vectors.dtypes)[column]), F.coalesce(F.col(key).cast("string"), F.lit("null")), values), 256)
     x = vectors.select(row.alias("d"), F.size(column).alias("m"))
     parts = x.groupBy(F.substring("d", 1, 3).alias("b")).agg(F.count("*").alias("n"), F.max("m").alias("m"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("e"))
     return parts.agg(F.sum("n").alias("vectors"), F.max("m").cast("long").alias("dimensions"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "e"))), lambda v: v["e"]), ","), 256).alias("fingerprint"))
@@ -69,3 +71,31 @@ def same_settings(run: DataFrame, reference: DataFrame, fields: list[str], diges
     if digests:
         contracts.holds(run, F.size(digests) == F.size(F.array_distinct(digests)), "an artefact occurs twice", *fields)
     return run
+
+
+def run_identity(semantic: dict, runtime: dict | None = None) -> str:
+    """The id of a run's settings: a digest of those that its result depends on. Those that only change speed (runtime) have
+    no part in it; a name in both is an error."""
+    import hashlib
+    import json
+
+    if both := sorted(set(semantic) & set(runtime or {})):
+        raise contracts.ContractError(f"settings of both kinds: {', '.join(both)}")
+    return hashlib.sha256(json.dumps(semantic, sort_keys=True, ensure_ascii=False, allow_nan=False).encode()).hexdigest()
+
+
+def activate(spark, path: str, name: str, target: str, run_id: str) -> None:
+    """`name` points to the run from now on: a row added to the table of pointers, earlier ones stay."""
+    spark.createDataFrame([(name, target, run_id)], "name string, target string, run_id string").withColumn("activated_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+
+def resolve(pointers: DataFrame, name: str, run_id: str | None = None) -> str:
+    """Where `name` points to. A name without a pointer, or (if given) with one of another run, is an error; the newest run
+    is never taken in its place. Pointers of the same instant must agree."""
+    own = pointers.filter(F.col("name") == name)
+    last = own.join(own.agg(F.max("activated_at").alias("activated_at")), "activated_at", "left_semi").select("target", "run_id").distinct().limit(2).collect()
+    if len(last) != 1:
+        raise contracts.ContractError(f"{name}: {'no pointer' if not last else 'pointers of one instant differ'}")
+    if run_id is not None and last[0]["run_id"] != run_id:
+        raise contracts.ContractError(f"{name} points to run {last[0]['run_id']}")
+    return last[0]["target"]

@@ -85,7 +85,7 @@ def review_flags(rows: DataFrame, flags: list[tuple[str, Column]], name: str = "
 
 def reproducible_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, the same ones every time: the first by a seeded hash of the key."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256), key).limit(n)
 
 
 def close_to(column: Column, value: float, tolerance: float = 1e-12) -> Column:

@@ -93,3 +93,25 @@ def reference_pages(pages: DataFrame, reported: DataFrame, key: str) -> tuple[Da
     out = p.join(n, key, "left").na.fill(0, ["records", "without_id"]).join(reported, key, "left")
     status = F.when(F.col("bad").isNull(), "complete_api_pagination").otherwise(F.concat(F.lit("incomplete_http_"), F.col("bad").cast("string")))
     return seen, out.withColumns({"reference_status": status, "count_differs": ~F.col("records").eqNullSafe(F.col("reference_count"))}).drop("bad")
+
+
+def literal_settings(source: str, names: list[str]) -> dict:
+    """The literal values that a script's top level assigns to the names, read from its syntax tree; nothing is run. A name
+    that is missing, assigned twice or not a literal is an error."""
+    import ast
+
+    found: dict = {}
+    for node in ast.parse(source).body:
+        if not isinstance(node, ast.Assign | ast.AnnAssign) or node.value is None:
+            continue
+        for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
+            if isinstance(target, ast.Name) and target.id in names:
+                if target.id in found:
+                    raise contracts.ContractError(f"{target.id} is assigned twice")
+                try:
+                    found[target.id] = ast.literal_eval(node.value)
+                except ValueError as e:
+                    raise contracts.ContractError(f"{target.id} is no literal") from e
+    if missing := sorted(set(names) - set(found)):
+        raise contracts.ContractError(f"not assigned: {', '.join(missing)}")
+    return found

@@ -27,9 +27,83 @@ def test_blocks(spark):
 
 
 def test_page_trees(spark):
-    tree = {"id": "/doc", "children": [{"id": "/page/0/Page/1", "children": [{"id": "/page/0/T/1", "block_type": "Text", "html": "<p>a &amp; b</p>", "section_hierarchy": {"1": "/h"}}, {"id": "/page/0/T/2", "block_type": "Text", "html": None}]}, {"id": "/page/3/T/1", "block_type": "Code", "html": "x"}]}
-    got = documents.flatten_pages(spark.createDataFrame([(1, json.dumps(tree))], "k int, t string"), "k", "t").orderBy("ord").collect()
-    assert [(r.kind, r.page, r.text, r.section) for r in got] == [("Text", 0, "a & b", ["/h"]), ("Text", 0, "", []), ("Code", 3, "x", [])]
+    head = {"id": "/h", "block_type": "blocks.SectionHeader", "html": "<h1>One $</h1>"}
+    listed = [{"id": "/r", "block_type": "SectionHeader", "html": "<h2>7. References</h2>"}, {"id": "/x", "block_type": "Text", "html": "a book", "section_hierarchy": {"10": "/r", "2": "/h"}}]
+    page = {"id": "/page/0/Page/1", "children": [head, {"id": "/t/1", "block_type": "Text", "html": "<p>a &amp; b</p>", "section_hierarchy": {"1": "/h"}}, {"id": "/page/0/T/2", "block_type": "Text", "html": None}]}
+    tree = {"id": "/doc", "children": [page, {"id": "/page/3/T/1", "block_type": "Code", "html": "x", "section_hierarchy": {"1": "/none"}}, {"id": "/f", "block_type": "PageFooter", "html": "9"}, *listed]}
+    rows = documents.flatten_pages(spark.createDataFrame([(1, json.dumps(tree)), (2, None)], "k int, t string"), "k", "t")
+    got = rows.orderBy("ord").collect()
+    assert [(r.k, r.kind, r.page, r.text, r.section, r.exclusion_reason) for r in got] == [
+        (1, "SectionHeader", 1, "One $", [], None), (1, "Text", 1, "a & b", ["One $"], None), (1, "Text", 1, "", [], None), (1, "Code", 4, "x", ["/none"], None), (1, "PageFooter", None, "9", [], "PageFooter"), (1, "SectionHeader", None, "7. References", [], "reference_section"), (1, "Text", None, "a book", ["One $", "7. References"], "reference_section")]
+    assert [r.include for r in got] == [True, True, False, True, False, False, False]
+    assert tuple(documents.document_status(rows, "k", fallback=F.lit("f.pdf")).first()) == (1, "One", "first_page_heading", "")
+
+
+def test_paper_sections(spark):
+    def sections(*blocks, title="A title"):
+        rows = [(1, i, "SectionHeader" if level else "Text", text, level, title) for i, (text, level) in enumerate(blocks)]
+        out = documents.paper_sections(spark.createDataFrame(rows, "d int, ord int, kind string, text string, level int, title string"), "d", "ord").orderBy("ord").collect()
+        return [r.section for r in out], out[-1].section_name, out[-1].structure_flags
+
+    assert sections(("a title", 1), ("2. Early", 1), ("1. Introduction", 2), ("x", None), ("2. Method", 3), ("2.1 Part", 1), ("y", None), ("Appendix A", 4)) == ([0, 0, 0, 0, 1, 1, 1, 2], "Appendix A", "")
+    assert sections(("Introduction", 2), ("Data", 2), ("More", 3)) == ([0, 1, 1], "Data", "unnumbered_heading_levels_need_review")
+    assert sections(("Abstract", 1), ("plain", None))[2] == "introduction_not_detected;unnumbered_heading_levels_need_review;no_section_boundaries_detected"
+
+
+def test_structured_and_flagged_abstracts(spark):
+    def found(*texts, kinds=None):
+        rows = [(1, i, t, (kinds or {}).get(i, "Text")) for i, t in enumerate(texts)]
+        return documents.extract_abstract(spark.createDataFrame(rows, "d int, ord int, text string, kind string"), "d").first()
+
+    long = "CONCLUSIONS " + "word " * 20
+    got = found("IMPORTANCE why", "OBJECTIVE what", long, "after it")
+    assert got.method == "structured" and got.abstract.endswith(long.strip()) and "no_confirmed" not in got.flags
+    got = found("A B S T R A C T: " + "word " * 1200, "still", "We thank all", "no")
+    assert got.method == "marker" and got.abstract.endswith("still") and len(got.abstract.split()) == 1201 and "inspect_abstract_length" in got.flags
+    got = found("Abstract", "one two", "A heading", "three", kinds={2: "SectionHeader", 1: "Text"})
+    assert got.abstract == "one two" and found("Abstract", "figure", kinds={1: "Figure"}).flags.startswith("no_confirmed_end_boundary;inspect_abstract_length;empty_after_heading")
+    got = found(*[f"{i} " + "word " * 50 for i in range(10)])
+    assert got.method == "candidate" and len(got.candidates) == 8 and got.review
+    assert found("short", None).method == "missing"
+
+
+def test_list_items():
+    def items(t, term="PE"):
+        at = t.index(term)
+        return screening.list_mention(t, at, at + len(term))
+
+    assert items("They buy bonds, stocks, and PE. It is so.") == []  # two items: the first is a clause
+    assert items("Bonds, stocks, and PE.") == ["Bonds", "stocks", "PE"]
+    assert items("assets (bonds (a, b, c), PE, cash) rise") == ["bonds (a, b, c)", "PE", "cash"]
+    assert items("assets (bonds, cash), PE markets were fine") == []
+    assert items("It rises, for example PE & bonds; cash") == ["PE", "bonds", "cash"]
+    assert items("many kinds, e.g. PE or bonds.") == ["PE", "bonds"]
+    assert items("PE") == [] and items("(PE) x") == [] and items("Bonds, " + "x " * 11 + ", PE") == []
+
+
+def test_runs_and_pointers(spark, tmp_path):
+    a = provenance.run_identity({"model": "m", "limit": 5}, {"batch": 8})
+    assert a == provenance.run_identity({"limit": 5, "model": "m"}, {"batch": 64}) != provenance.run_identity({"limit": 6, "model": "m"})
+    with pytest.raises(contracts.ContractError):
+        provenance.run_identity({"batch": 1}, {"batch": 1})
+    path = str(tmp_path / "pointers")
+    provenance.activate(spark, path, "vectors", "/runs/1", a)
+    provenance.activate(spark, path, "vectors", "/runs/2", "b")
+    pointers = spark.read.parquet(path)
+    assert provenance.resolve(pointers, "vectors") == provenance.resolve(pointers, "vectors", "b") == "/runs/2"
+    for name, run in (("none", None), ("vectors", a)):
+        with pytest.raises(contracts.ContractError):
+            provenance.resolve(pointers, name, run)
+    v = lambda x: provenance.input_fingerprint(spark.createDataFrame([(1, [0.5, x])], "k int, embedding array<double>"), "k").first().fingerprint
+    assert v(0.25) == v(0.25) != v(0.25 + 1e-12)
+
+
+def test_literal_settings():
+    source = "import os\nTERMS = ['a', 'b']\nTOP: int = 5\nbad = os.getcwd()\nif True:\n    TERMS = []\n"
+    assert readers.literal_settings(source, ["TERMS", "TOP"]) == {"TERMS": ["a", "b"], "TOP": 5}
+    for names in (["bad"], ["absent"]):
+        with pytest.raises(contracts.ContractError):
+            readers.literal_settings(source, names)
 
 
 def test_passages_tile(spark):
