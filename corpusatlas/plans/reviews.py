@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusatlas.operators import review, vectors
 from corpusatlas.plans.ages import rounded
+from corpusatlas.plans.vectors import _S as VECTORS
 from corpusatlas.session import table
 from corpusatlas.sources.writers import dense_index
 from corpusatlas.streaming import windows
@@ -58,4 +59,10 @@ ORACLES = {
     "events_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY date_trunc('hour', ts), event_type",
     "events_sessions": """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS events FROM s GROUP BY user_id, n""",
+    "balanced_groups": """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, n_chars FROM documents),
+f AS (SELECT 0::BIGINT AS r, [0, 0, 0, 0]::BIGINT[] AS t, 0::BIGINT AS c, 0::BIGINT AS g UNION ALL SELECT o.r, list_transform(t, lambda x, i: x + CASE WHEN i = list_position(t, list_min(t)) THEN n_chars ELSE 0 END), n_chars, list_position(t, list_min(t)) FROM f JOIN o ON o.r = f.r + 1)
+SELECT (g - 1)::INT AS "group", count(*) AS documents, sum(c)::BIGINT AS cost FROM f WHERE r > 0 GROUP BY 1""",
+    "review_cards": f"""WITH {VECTORS}, c AS (SELECT src AS vec_id, la AS label, avg(sim) AS centrality FROM s WHERE la = lb GROUP BY 1, 2), b AS (SELECT * FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY round(centrality, 9) DESC, vec_id) AS rank FROM c) WHERE rank <= 3),
+n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT label::BIGINT AS cluster, '## Cluster ' || label || ': ' || any_value(n) || ' papers' || chr(10) || chr(10) || string_agg('v' || vec_id, ', ' ORDER BY rank) || chr(10) || chr(10) || string_agg('- ' || vec_id || ' (central)', chr(10) ORDER BY vec_id) AS card FROM n JOIN b USING (label) GROUP BY 1, label""",
 }

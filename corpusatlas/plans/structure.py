@@ -203,4 +203,12 @@ SELECT doc_id, number, CASE WHEN number = '' THEN 0 ELSE len(string_split(number
     "partition_catalog": "WITH x AS (SELECT 'labels' AS solution, label AS cluster FROM embeddings UNION ALL SELECT 'residues', vec_id % 7 FROM embeddings), s AS (SELECT solution, cluster, count(*) AS n FROM x GROUP BY ALL) SELECT solution, sum(n)::BIGINT AS papers, coalesce(sum(n) FILTER (cluster = 0), 0)::BIGINT AS unassigned, count(*) FILTER (cluster > 0) AS clusters, min(n) FILTER (cluster > 0) AS smallest, max(n) FILTER (cluster > 0) AS largest, count(*) FILTER (cluster > 0 AND n = 1) AS singletons FROM s GROUP BY 1",
     "named_memberships": "SELECT vec_id, label::BIGINT AS cluster, CASE WHEN label = 0 THEN 'Unassigned' WHEN label < 5 THEN 'topic ' || label ELSE 'Name pending review' END AS name, label < 5 AS matched FROM embeddings",
     "sweep_islands": "WITH c AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS month, count(*) % 2 AS odd FROM orders GROUP BY 1), g AS (SELECT *, row_number() OVER (ORDER BY month) - row_number() OVER (PARTITION BY odd ORDER BY month) AS g FROM c) SELECT odd, min(month) AS first, max(month) AS last, count(*) AS length FROM g GROUP BY odd, g",
+    "segment_packing": r"""WITH RECURSIVE x AS (SELECT conv_id, turn, role, regexp_extract_all(text, '\S+') AS w, regexp_split_to_array(text, '\S+') AS g FROM conversations),
+b AS (SELECT *, len(w) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM x WHERE len(w) > 0),
+f AS (SELECT conv_id, n, turn, role, k, 0::BIGINT AS pos, least(64, k) AS take, least(64, k) AS used, 0::BIGINT AS segment FROM b WHERE n = 1
+ UNION ALL SELECT conv_id, n, turn, role, k, pos, CASE WHEN fresh THEN least(64, k - pos) ELSE least(64 - used, k - pos) END, CASE WHEN fresh THEN least(64, k - pos) ELSE used + least(64 - used, k - pos) END, segment + fresh::BIGINT
+ FROM (SELECT f.conv_id, b.n, b.turn, b.role, b.k, f.used, f.segment, CASE WHEN b.n = f.n THEN f.pos + f.take ELSE 0 END AS pos, f.used >= 64 OR b.role <> f.role OR b.n > f.n AND b.k > 64 - f.used AND b.k <= 64 AS fresh
+  FROM f JOIN b ON b.conv_id = f.conv_id AND b.n = f.n + CASE WHEN f.pos + f.take < f.k THEN 0 ELSE 1 END)),
+o AS (SELECT conv_id, turn, list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda s: length(s))), 0) AS a, length(w[i]) AS own, i FROM b, unnest(range(1, k + 1)) AS u(i))
+SELECT f.conv_id, segment::INT AS segment, f.turn AS ord, p.a::INT AS start, (q.a + q.own)::INT AS end, take::INT AS tokens FROM f JOIN o p ON p.conv_id = f.conv_id AND p.turn = f.turn AND p.i = f.pos + 1 JOIN o q ON q.conv_id = f.conv_id AND q.turn = f.turn AND q.i = f.pos + f.take""",
 }

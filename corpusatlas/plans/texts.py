@@ -193,21 +193,31 @@ _MEN = f"""{_REC}, p AS (SELECT doc_id, abstract, list_transform(regexp_split_to
 spot AS (SELECT doc_id, abstract, i AS mention, list_sum(p[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS start FROM p, unnest(range(1, len(m) + 1)) AS u(i)),
 men AS (SELECT doc_id, mention, len(regexp_extract_all(abstract, '{_WORD}')) AS words, len(regexp_extract_all(substr(abstract, 1, start::BIGINT), '{_WORD}')) AS word_index FROM spot)"""
 _STOP = ", ".join(f"'{s}'" for s in STOP)
+_EN = "en AS (SELECT doc_id, text, doc_id % 5 AS cluster FROM documents)"
 _GOOD = "(length({0}) >= 2 AND NOT regexp_matches({0}, '^\\p{{Nd}}') AND {0} NOT IN (" + _STOP + "))"
-_TOK = f"""en AS (SELECT doc_id, text, doc_id % 5 AS cluster FROM documents),
+_RUNS = f"""{_EN},
 runs AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(replace(lower(text), '-', ' '), '[.!?;:\\n\\r,()\\[\\]{{}}]+'), lambda s: regexp_extract_all(s, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+'))) AS r FROM en),
-tok AS (SELECT doc_id, w AS term FROM runs, unnest(r) AS u(w) WHERE {_GOOD.format('w')} UNION ALL SELECT doc_id, r[i] || ' ' || r[i + 1] FROM runs, unnest(range(1, len(r))) AS u(i) WHERE {_GOOD.format('r[i]')} AND {_GOOD.format('r[i + 1]')}),
+tok AS (SELECT doc_id, w AS term FROM runs, unnest(r) AS u(w) WHERE {_GOOD.format('w')} UNION ALL SELECT doc_id, r[i] || ' ' || r[i + 1] FROM runs, unnest(range(1, len(r))) AS u(i) WHERE {_GOOD.format('r[i]')} AND {_GOOD.format('r[i + 1]')})"""
+_WORDS = f"""{_EN}, ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS w FROM en),
+tok AS (SELECT doc_id, unnest(w) AS term FROM ws UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM ws, unnest(range(1, len(w))) AS u(i))"""
+
+def _weights(tok: str, min_df: int, max_df: float) -> str:
+    """Counts, vocabulary and weights of the tokens (doc_id, term)."""
+    return f"""{tok},
 cnt AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), np AS (SELECT count(*) AS n FROM en),
-voc AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM cnt GROUP BY 1), np WHERE df >= 3 AND df <= 0.9 * n),
+voc AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM cnt GROUP BY 1), np WHERE df >= {min_df} AND df <= {max_df} * n),
 raw AS (SELECT doc_id, term, tf, (1 + ln(tf)) * idf AS w FROM cnt JOIN voc USING (term)), tw AS (SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM raw)"""
 
 
-def _topics(fraction: float, top: int) -> str:
-    return f"""{_TOK}, sz AS (SELECT cluster, count(*) AS inside_n FROM en GROUP BY 1), ins AS (SELECT cluster, term, sum(tf) AS tf, count(*) AS inside_count, sum(tfidf) AS s FROM tw JOIN en USING (doc_id) GROUP BY ALL),
+_TOK, _ALL_TOK = _weights(_RUNS, 3, 0.9), _weights(_WORDS, 2, 1.0)
+
+
+def _topics(fraction: float, top: int, tok: str = _TOK, least: int = 3) -> str:
+    return f"""{tok}, sz AS (SELECT cluster, count(*) AS inside_n FROM en GROUP BY 1), ins AS (SELECT cluster, term, sum(tf) AS tf, count(*) AS inside_count, sum(tfidf) AS s FROM tw JOIN en USING (doc_id) GROUP BY ALL),
 ov AS (SELECT term, sum(tf) AS ctf, sum(inside_count) AS df, sum(s) AS alls FROM ins GROUP BY 1), len_ AS (SELECT cluster, sum(tf) AS length FROM ins GROUP BY 1),
 sc AS (SELECT cluster, term, inside_count, inside_n, (df - inside_count)::BIGINT AS outside_count, n - inside_n AS outside_n, tf / length * ln(1 + (SELECT avg(length) FROM len_) / ctf) AS a, s / inside_n - (alls - s) / (n - inside_n) AS b FROM ins JOIN ov USING (term) JOIN sz USING (cluster) JOIN len_ USING (cluster), np),
 both_ AS (SELECT * EXCLUDE (a, b), 'ctfidf' AS ranking, a AS score FROM sc UNION ALL SELECT * EXCLUDE (a, b), 'contrast', b FROM sc),
-top_ AS (SELECT *, row_number() OVER (PARTITION BY cluster, ranking ORDER BY round(score, 9) DESC, term) AS rank FROM both_ WHERE score > 0 AND inside_count >= greatest(3, ceil(inside_n * {fraction}))),
+top_ AS (SELECT *, row_number() OVER (PARTITION BY cluster, ranking ORDER BY round(score, 9) DESC, term) AS rank FROM both_ WHERE score > 0 AND inside_count >= greatest({least}, ceil(inside_n * {fraction}))),
 terms AS (SELECT * FROM top_ WHERE rank <= {top})"""
 
 
@@ -253,4 +263,14 @@ SELECT method, category, (SELECT count(*) FROM y WHERE y.method = m.method AND y
     "readability_by_period": f"""WITH {_READ}, p AS (SELECT CASE WHEN y <= 1999 THEN '≤1999' ELSE (y // 10 * 10) || '–' || least(y // 10 * 10 + 9, 2026) END AS period, fog FROM (SELECT doc_id % 40 + 1990 AS y, fog FROM sco))
 SELECT period, count(*) AS n, count(fog) AS scored, round(min(fog), 6) AS min, round(max(fog), 6) AS max, round(avg(fog), 6) AS mean, round(median(fog), 6) AS median, round(stddev_samp(fog), 6) AS std, round(quantile_cont(fog, 0.25), 6) AS q25, round(quantile_cont(fog, 0.75), 6) AS q75 FROM p GROUP BY 1""",
     "readability_flags": f"WITH {_READ} SELECT doc_id, concat_ws('; ', CASE WHEN words < 100 THEN 'few_words' END, CASE WHEN words / sentences > 60 THEN 'long_sentences' END, CASE WHEN words = 0 THEN 'no_prose' END) AS quality_flags FROM sco",
+    "topic_overview": f"WITH {_topics(0.0, 8, _ALL_TOK, 1)} SELECT cluster, rank, term, round(score, 6) AS score FROM terms WHERE ranking = 'contrast'",
+    "topic_excerpts": f"""WITH {_topics(0.02, 10)}, pas AS (SELECT doc_id, cluster, i - 1 AS passage, l[i] AS text FROM (SELECT doc_id, cluster, string_split(text, chr(10)) AS l FROM en), unnest(range(1, len(l) + 1)) AS u(i) WHERE length(l[i]) >= 100),
+c AS (SELECT doc_id, passage, pas.text, term, rank, '(?s)^(.*?(?:^|[^\\p{{L}}\\p{{N}}_]))' || replace(term, ' ', '\\s+') || '(?:[^\\p{{L}}\\p{{N}}_]|$)' AS p FROM pas JOIN terms USING (cluster) WHERE ranking = 'contrast' AND contains(lower(pas.text), string_split(term, ' ')[1])),
+h AS (SELECT *, length(regexp_extract(lower(text), p, 1)) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY rank, passage) AS r FROM c WHERE regexp_matches(lower(text), p))
+SELECT doc_id, term, passage, sha256(substr(text, greatest(0, pos - 130) + 1, 600)) AS excerpt FROM h WHERE r = 1""",
+    "caution_examples": r"""WITH pas AS (SELECT doc_id, i - 1 AS passage, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)),
+h AS (SELECT doc_id, min(passage) AS passage, arg_min(text, passage) AS text FROM pas WHERE regexp_matches(text, 'the\W+the') GROUP BY 1 ORDER BY 1 LIMIT 5), a AS (SELECT *, length(regexp_extract(text, '^(.*?)the\W+the', 1)) + 1 AS pos FROM h)
+SELECT doc_id, passage, sha256(substr(text, greatest(1, pos - 160), pos - greatest(1, pos - 160) + 200)) AS excerpt FROM a""",
+    "text_unicode_forms": f"""WITH {_REC}, p AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(coalesce(title, '')), '[\\s\\p{{Z}}]+', ' ', 'g')) AS plain FROM rec)
+SELECT doc_id, plain, replace(lower(plain), 'ß', 'ss') AS scope, trim(regexp_replace(replace(replace(lower(strip_accents(plain)), 'ß', 'ss'), '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS key FROM p""",
 }

@@ -109,4 +109,7 @@ ORACLES = {
     "partition_ami": f"""WITH {_C}, mi AS (SELECT sum(n / N0 * ln(N0 * n / (na * nb))) AS mi FROM t JOIN ra USING (a) JOIN rb USING (b), tot), h AS (SELECT (SELECT -sum(na / N0 * ln(na / N0)) FROM ra, tot) AS ha, (SELECT -sum(nb / N0 * ln(nb / N0)) FROM rb, tot) AS hb),
 e AS (SELECT sum(k / N0 * ln(N0 * k / (na * nb)) * exp(lgamma(na + 1) + lgamma(nb + 1) + lgamma(N0 - na + 1) + lgamma(N0 - nb + 1) - lgamma(N0 + 1) - lgamma(k + 1) - lgamma(na - k + 1) - lgamma(nb - k + 1) - lgamma(N0 - na - nb + k + 1))) AS emi FROM ra, rb, tot, unnest(range(greatest(1, na + nb - N0)::BIGINT, least(na, nb)::BIGINT + 1)) AS u(k))
 SELECT round(mi, 6) AS mi, round(emi, 6) AS expected_mi, round((mi - emi) / ((ha + hb) / 2 - emi), 6) AS ami FROM mi, h, e""",
+    "knn_graph_diagnostics": f"""WITH RECURSIVE {_G}, e AS MATERIALIZED (SELECT a AS x, b AS y FROM g WHERE votes = 2 UNION ALL SELECT b, a FROM g WHERE votes = 2), reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+comp AS (SELECT c, count(*) AS size FROM (SELECT x, min(y) AS c FROM reach GROUP BY 1) GROUP BY 1), d AS (SELECT vec_id, count(e.y) AS degree FROM embeddings LEFT JOIN e ON e.x = vec_id GROUP BY 1)
+SELECT count(*) AS nodes, (sum(degree) / 2)::BIGINT AS edges, count(*) FILTER (degree = 0) AS isolates, min(degree) AS min_degree, round(median(degree), 6) AS median_degree, max(degree) AS max_degree, (SELECT count(*) FROM comp) AS components, (SELECT max(size) FROM comp) AS largest FROM d""",
 }
