@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusatlas.plans import ages, corpus, more, reviews, structure, texts, vectors
+from corpusatlas.plans import ages, corpus, inputs, more, reviews, structure, texts, vectors
 
-MODULES = (ages, corpus, vectors, texts, structure, reviews, more)
+MODULES = (ages, corpus, vectors, texts, structure, reviews, more, inputs)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:

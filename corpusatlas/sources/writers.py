@@ -11,7 +11,7 @@ from corpusatlas.sources.readers import file_digest
 
 def formatted(df: DataFrame, digits: int = 10) -> DataFrame:
     """Doubles with a fixed number of digits, everything as strings, null as empty."""
-    return df.select(*[F.coalesce(F.format_string(f"%.{digits}f", F.col(c)) if t in ("double", "float") else F.col(c).cast("string"), F.lit("")).alias(c) for c, t in df.dtypes])
+    return df.select(*[F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))) if t in ("double", "float") else F.col(c).cast("string"), F.lit("")).alias(c) for c, t in df.dtypes])
 
 
 def report_table(df: DataFrame, path: str, *order) -> None:

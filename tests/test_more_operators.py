@@ -168,7 +168,7 @@ def test_small_tables(spark):
     assert screening.presence_comparison(df, F.col("k") < 10, F.col("k") < 5).first().asDict() == {"both": 5, "first_only": 5, "second_only": 0, "neither": 40}
     seg = spark.createDataFrame([(1, 0, [("b", 4), ("c", 2)])], "d int, segment int, sources array<struct<block_id:string,page:int>>")
     assert tuple(documents.section_report(seg, "d").first()) == (1, 0, 2, 4, 2)
-    assert [tuple(r) for r in writers.formatted(spark.createDataFrame([(1, 0.5, None)], "a int, b double, c string"), 3).collect()] == [("1", "0.500", "")]
+    assert [tuple(r) for r in writers.formatted(spark.createDataFrame([(1, 0.5, None), (2, None, "x")], "a int, b double, c string"), 3).collect()] == [("1", "0.500", ""), ("2", "", "x")]
 
 
 def test_graph_tables(spark, tmp_path):
