@@ -81,7 +81,8 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     upper = F.shiftrightunsigned("key", SEGMENT + 6) == 1
     # the wildcard keys meet in one order of the sides only; the whole keys in both. Segment 1 counts if 0 has not met
     once = (~whole | (F.col("a") < F.col("b"))) & (~upper | (bits(x.bitwiseAND(F.lit(LOW).cast("long"))) > 1))
-    return a.join(b, "key").filter((bits(x) <= most) & once).select("a", "b")
+    # a merge join: the planner takes a table of signatures for as small as its fingerprints, and would broadcast it
+    return a.join(b.hint("merge"), "key").filter((bits(x) <= most) & once).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
@@ -195,7 +196,7 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
         keys = F.transform(wild, lambda x: (long(F.col("s")) * 64 + x["b"]) * F.lit(1 << 50).cast("long") + F.col("v").bitwiseAND(F.bitwise_not(x["m"])))
         return values.select(F.explode(keys).alias("key"), F.col("head").alias(name))
 
-    near = variants(False, "a").join(variants(True, "b"), "key").filter("a <> b").select("a", "b")
+    near = variants(False, "a").join(variants(True, "b").hint("merge"), "key").filter("a <> b").select("a", "b")
     return shared.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -175,6 +175,12 @@ def test_links_find_every_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_signatures_are_not_broadcast(spark):
+    """Signatures are many times the table they are made of, which is all that the planner knows of their size."""
+    few = spark.range(100).select(F.col("id").alias("fp"))
+    assert "Broadcast" not in simhash.links(few)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates(spark):
     rng = random.Random(7)
     base = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(300)) for _ in range(6)]
