@@ -12,7 +12,9 @@ split by the engine. Components are labels lowered over the links (iterative, ea
 Three bits of 64 find texts that hardly differ. For near copies by similarity (`near_groups`, `drop_near_duplicates`:
 shingles of five words, Jaccard similarity of 0.8 or more) the same index takes fingerprints of 12 segments of 28 bits. A
 pair is met if any segment differs in one bit at most, which is certain up to 23 differing bits of 336 (similarity 0.92
-or so) and likely beyond; candidates are verified on their sketches, then on the shingles themselves.
+or so) and likely beyond; candidates are verified on their sketches, then on the shingles themselves. Links that the
+fingerprints leave out between two of the groups so found are completed exactly: in one order of all shingles, a pair of
+0.8 or more has one in common among the first fifth of each (`met_by_prefix`); they too are verified on the shingles.
 
 The tables may hold: null texts (no words: fingerprint zero; for near_groups all texts without words are equal), null
 doc_ids (near_duplicates: they take part in links; the smallest known id names the component, null if there is none;
@@ -23,12 +25,15 @@ drop_near_duplicates, not read by the others).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusatlas.llm.common import free_name, let, map_arrow, materialise
 from corpusatlas.operators.graphs import connected_components
+from corpusatlas.storage import free_shuffles
 
 SEGMENT = 32
 LOW = (1 << SEGMENT) - 1
@@ -159,20 +164,56 @@ def long_fingerprint(h: np.ndarray, segments: int, bits: int) -> np.ndarray:
     return out @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
-def sketches(rows: DataFrame, size: int, segments: int, bits: int) -> DataFrame:
-    """(row, doc_id, words, sketch) of rows (row, doc_id, text): a digest of the sequence of words, and the fingerprint."""
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of n shingles hold one that is common with any set of that Jaccard similarity, in one order of all."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def common_shingles(rows: DataFrame, size: int, nodes: int, sample: int = 10_000, least: int = 4, most: int = 200_000) -> np.ndarray:
+    """The `most` commonest shingles of about `sample` rows that `least` of these have, from rare to common. They only
+    set the order in which prefixes are taken, so what the sample misses costs time and no link."""
+
+    def cut(batch):
+        import pyarrow as pa
+
+        sets = [shingles(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["h"])
+
+    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, nodes // sample))) == 0).select("text")
+    counted = map_arrow(some, cut, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    got = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    return got.column("h").to_numpy()[::-1].copy().view(np.uint64)
+
+
+def sketches(rows: DataFrame, size: int, segments: int, bits: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(row, doc_id, words, sketch, n, prefix) of rows (row, doc_id, text): a digest of the sequence of words, the
+    fingerprint, the number of distinct shingles, and 32 bits of each of the first of them: uncommon ones by hash, then
+    the common ones from rare to common."""
+    order = np.argsort(common)
+    held = rows.sparkSession.sparkContext.broadcast((common[order], order))
+
+    def first(h: np.ndarray) -> np.ndarray:
+        known, rank = held.value
+        at = np.searchsorted(known, h)
+        at[at == len(known)] = 0
+        met = known[at] == h if len(known) else np.zeros(len(h), bool)
+        rest = h[met][np.argsort(rank[at[met]])] if met.any() else h[:0]
+        return np.r_[h[~met], rest][: prefix_length(len(h), similarity)]
 
     def step(batch):
         import pyarrow as pa
         from xxhash import xxh128_digest
 
-        words, out = [], []
+        words, out, n, prefix = [], [], [], []
         for t in batch.column("text").to_pylist():
             words.append(xxh128_digest(b" ".join((t or "").encode().lower().split())))
-            out.append(long_fingerprint(shingles(t, size), segments, bits))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["row", "doc_id", "words", "sketch"])
+            h = shingles(t, size)
+            out.append(long_fingerprint(h, segments, bits))
+            n.append(len(h))
+            prefix.append((first(h) >> np.uint64(32)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "doc_id", "words", "sketch", "n", "prefix"])
 
-    return map_arrow(rows.select("row", "doc_id", "text"), step, "row long, doc_id long, words binary, sketch array<long>")
+    return map_arrow(rows.select("row", "doc_id", "text"), step, "row long, doc_id long, words binary, sketch array<long>, n int, prefix array<long>")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -211,22 +252,9 @@ def widest(similarity: float, total: int) -> int:
     return int(np.ceil(total * p + 2 * np.sqrt(total * p * (1 - p))))
 
 
-def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, segments: int = 12, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs with a row number (column 0), and (row, best): for each row of a group the row of the one that stays.
-
-    Rows are equal if their words are. Texts are linked if they meet as candidates, their sketches are near enough and
-    `similarity` or more of their distinct shingles are common (verified on the shingles). Groups are the components; of
-    a group stays the smallest doc_id (a null comes last), of equal ids the first row."""
-    spark, row = docs.sparkSession, free_name(docs, "row")
-    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = bits or segment_bits(numbered.count())
-    seen = materialise(sketches(rows, size, segments, bits), "sketches")
-    nodes = materialise(seen.groupBy("words").agg(F.min("row").alias("node"), F.min_by("sketch", "row").alias("sketch")), "nodes")
-    pairs = materialise(candidates(nodes.select("node", "sketch"), bits), "pairs")
-    a, b = (nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
-    close = materialise(pairs.join(a, "a").join(b, "b").filter(distance(F.col("sa"), F.col("sb")) <= widest(similarity, segments * bits)).select("a", "b"), "close")
-    concerned = close.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+def true_links(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(src, dst): the pairs (a, b) of rows of which `similarity` or more of the distinct shingles are common."""
+    concerned = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
 
     def cut(batch):
         import pyarrow as pa
@@ -237,8 +265,57 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, segment
     sets = materialise(map_arrow(rows.join(concerned, "row", "left_semi").select("row", "text"), cut, "node long, set array<long>"), "sets")
     a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"s{n}")) for n in "ab")
     both = let(F.size(F.array_intersect("sa", "sb")), lambda n: n >= similarity * (F.size("sa") + F.size("sb") - n))
-    links = close.join(a, "a").join(b, "b").filter(both).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return materialise(pairs.join(a, "a").join(b, "b").filter(both).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+
+
+def met_by_fingerprint(nodes: DataFrame, rows: DataFrame, size: int, similarity: float, total: int, bits: int) -> DataFrame:
+    """(src, dst): links between nodes (node, sketch) that meet as candidates and whose sketches are near enough."""
+    pairs = materialise(candidates(nodes, bits), "pairs")
+    a, b = (nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
+    close = pairs.join(a, "a").join(b, "b").filter(distance(F.col("sa"), F.col("sb")) <= widest(similarity, total)).select("a", "b")
+    return true_links(materialise(close, "close"), rows, size, similarity)
+
+
+def met_by_prefix(held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of rows (node, n, prefix, group) of different groups that may have the similarity; none that has
+    it is missing. Two such sets have a shingle of both prefixes in common, and as many there as their sizes ask for.
+
+    Groups meet first, each once at a shingle, so the members of one group are never paired with each other."""
+    each = held.select(F.explode("prefix").alias("k"), "node", "n", "group").repartition("k")
+    sizes = each.groupBy("k", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a, b = (sizes.select("k", F.col("group").alias(f"g{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}")) for x in "ab")
+    near = lambda u, v: F.col(u) >= F.col(v) * (similarity - 1e-9)
+    meet = materialise(a.join(b.hint("merge"), "k").filter((F.col("ga") < F.col("gb")) & near("hia", "lob") & near("hib", "loa")).select("k", "ga", "gb"), "meetings")
+    some = materialise(each.join(meet.select("k").distinct().hint("merge"), "k", "left_semi"), "holders")
+    a, b = (some.select("k", F.col("group").alias(f"g{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = meet.join(a, ["k", "ga"]).join(b.hint("merge"), ["k", "gb"]).filter(near("na", "nb") & near("nb", "na"))
+    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    # of the set whose prefix ends first, at most ceil(similarity * n) - 1 shingles stand behind the prefix
+    behind = F.ceil(F.greatest("na", "nb") * similarity - 1e-9) - 1
+    return counted.filter(F.col("c") + behind >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6).select("a", "b")
+
+
+def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, segments: int = 12, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs with a row number (column 0), and (row, best): for each row of a group the row of the one that stays.
+
+    Rows are equal if their words are. Texts are linked if `similarity` or more of their distinct shingles are common.
+    Fingerprints find most links; the pairs of texts that these leave in different groups meet by their prefixes, so no
+    link between two groups is missing. Groups are the components; of a group stays the smallest doc_id (a null comes
+    last), of equal ids the first row."""
+    spark, row = docs.sparkSession, free_name(docs, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    count = numbered.count()
+    bits = bits or segment_bits(count)
+    seen = materialise(sketches(rows, size, segments, bits, similarity, common_shingles(rows, size, count)), "sketches")
+    nodes = materialise(seen.groupBy("words").agg(F.min("row").alias("node"), F.min_by("sketch", "row").alias("sketch")), "nodes")
+    links = met_by_fingerprint(nodes.select("node", "sketch"), rows, size, similarity, segments * bits, bits)
     roots = connected_components(links)
+    free_shuffles(spark)
+    groups = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+    held = materialise(seen.select(F.col("row").alias("node"), "n", "prefix").join(groups, "node"), "prefixes")
+    more = true_links(materialise(met_by_prefix(held, similarity), "met"), rows, size, similarity)
+    roots = connected_components(more.unionByName(roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))))
     grouped = nodes.select("words", "node").join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("root"))
     member = seen.select("row", "doc_id", "words").join(grouped, "words")
     stays = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best"))

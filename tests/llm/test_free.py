@@ -204,6 +204,28 @@ def jaccard(a, b, size=5):
     return len(x & y) / len(x | y)
 
 
+def test_no_link_is_left_out(spark):
+    """Pairs of 0.80 to 0.84, where fingerprints often differ too much: all are in one group, and none below 0.8."""
+    rng, texts = random.Random(5), []
+    passage = [f"common{i}" for i in range(60)]
+    for k in range(150):
+        n = rng.randint(60, 400)
+        w = [f"t{k}w{i}" for i in range(n)] + passage * (k % 3 == 0)
+        texts.append(" ".join(w))
+        m, lost = len(w) - 4, 0
+        while (m - lost - 1) / (m + lost + 1) >= 0.8:
+            lost += 1
+        more = 5 * (k % 5 == 0)  # too different
+        texts.append(" ".join([*w[: len(w) - lost - more], *(f"o{k}w{i}" for i in range(lost + more))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    numbered, groups = simhash.near_groups(df)
+    row = numbered.columns[-1]
+    ids = dict(numbered.select(row, "doc_id").collect())
+    best = {ids[a]: ids[b] for a, b in groups.collect()}
+    for k in range(150):
+        assert (best[2 * k + 1] == 2 * k) == (jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8) == (k % 5 != 0)
+
+
 def test_groups_by_similarity(spark):
     """Every link is a true one, and of the pairs of 0.9 or more nearly all are found."""
     rng, texts = random.Random(17), []
