@@ -38,7 +38,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def bounded(stage):
+    """The stage with smaller Arrow batches: 10,000 whole texts, Spark's default, take much of a worker's memory."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("simhash", drop_near_duplicates), ("decontamination", drop_benchmark), ("packing", pack)]
+STAGES = [(name, bounded(stage)) for name, stage in STAGES]
 
 #: The toxicity and language models, the sketches and the tokenizer are beyond SQL; a test holds run() against plain loops.
 ORACLE_SQL = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: df written to the shared folder and read again: later stages restart from there when executors are lost.
 materialise = keep
-__all__ = ["SPACES", "UPPER", "ascii_lower", "free_name", "fresh_dir", "let", "map_arrow", "materialise", "portions", "positions", "table", "window_hashes", "words"]
+__all__ = ["SPACES", "UPPER", "ascii_lower", "cache", "free_name", "fresh_dir", "let", "map_arrow", "materialise", "only", "portions", "positions", "table", "window_hashes", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,12 +83,39 @@ def portions(batch, column: str = "text", rows: int = 512, most: int = 4 << 20)
         i = j
 
 
-def map_arrow(df: DataFrame, step: Callable, schema: str, rows: int = 512) -> DataFrame:
-    """step over portions of record batches, so that what a worker derives from a batch stays bounded."""
+#: Caches that modules keep in a worker from task to task.
+CACHES: list[dict] = []
+
+
+def cache(kept: dict) -> dict:
+    CACHES.append(kept)
+    return kept
+
+
+def only(kept: dict | None = None) -> None:
+    """A worker serves one operator after the other: the caches of others go, and freed memory goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for c in CACHES:
+        if c is not kept:
+            c.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has it on Linux
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, step: Callable, schema: str, rows: int = 512, most: int = 4 << 20, kept: Callable[[], dict] | None = None) -> DataFrame:
+    """step over portions of record batches, so that what a worker derives from a batch stays bounded. kept: the cache
+    that the step uses."""
 
     def run(batches: Iterator) -> Iterator:
+        own = kept() if kept else None
+        only(own)
         for batch in batches:
-            for part in portions(batch, rows=rows):
+            for part in portions(batch, rows=rows, most=most):
                 yield from step(part)
+        only(own)
 
     return df.mapInArrow(run, schema)

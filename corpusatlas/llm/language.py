@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusatlas.llm.common import free_name, map_arrow, materialise, portions
+from corpusatlas.llm.common import free_name, map_arrow, materialise, only, portions
 
 ORDER = 4
 SHIFT, MASK = np.uint64(16), (1 << 16) - 1
@@ -196,7 +196,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     g = windows(c)
                     g = g[c[ORDER - 1 :] != 0]
                     held.setdefault(lang, []).append(tuple(np.unique(g, return_counts=True)))
-                    if len(held[lang]) >= 64:
+                    if sum(len(k) for k, _ in held[lang][1:]) > max(1 << 18, len(held[lang][0][0])):
                         fold(lang)
         for lang in held:
             fold(lang)
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, train: Column) -> Model:
             sums = [np.bincount(to, v, len(met)) for v in (np.ones(len(x)), x, w, w * x, w * x * x)]
             yield pa.RecordBatch.from_pydict({"lang": pa.array(met, pa.int32())} | {k: pa.array(v, pa.float64()) for k, v in zip(names, sums, strict=True)})
 
-        sums = map_arrow(rows.select("lang", "text"), measure, "lang int, docs double, x double, w double, wx double, wxx double")
+        sums = map_arrow(rows.select("lang", "text"), measure, "lang int, docs double, x double, w double, wx double, wxx double", most=1 << 20)
         for r in sums.groupBy("lang").agg(*[F.sum(k).alias(k) for k in names]).collect():
             mean = r.x / r.docs
             model.mean[r.lang] = mean
@@ -255,8 +255,9 @@ def identify(docs: DataFrame, model: Model, name: str = "language") -> DataFrame
 
         import pyarrow as pa
 
+        only()
         batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"])
-        parts = [held.value.judge(p.column("text").to_pylist()) for p in portions(batch, rows=256)]
+        parts = [held.value.judge(p.column("text").to_pylist()) for p in portions(batch, rows=256, most=1 << 20)]
         return pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts] or [[]]), "rejected": np.concatenate([p[2] for p in parts] or [[]]).astype(bool)})
 
     return docs.withColumn(name, judge.asNondeterministic()(F.col("text")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusatlas.llm.common import map_arrow, materialise
-from corpusatlas.llm.tokens import coder, default_tokenizer
+from corpusatlas.llm.tokens import coder, coders, default_tokenizer
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int | None = None, attention: int | None = None, weights=(1.0, 1.0, 1.0), rule: str = "norm") -> np.ndarray:
@@ -68,7 +68,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, to
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), encode, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), encode, schema, kept=coders)
 
 
 def pack_pieces(pieces: DataFrame, tokens: int = 2048, documents: int | None = None, attention: int | None = None, weights=(1.0, 1.0, 1.0), rule: str = "norm", group_rows: int = 20_000) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusatlas.llm.common import free_name, let, map_arrow, materialise
+from corpusatlas.llm.common import cache, free_name, let, map_arrow, materialise
 from corpusatlas.operators.graphs import connected_components
 from corpusatlas.storage import free_shuffles
 
@@ -135,7 +135,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_KNOWN = WordHashes()
+_KNOWN = cache(WordHashes())
+
+
+def known_words() -> dict:
+    """The worker's hashes of words."""
+    return _KNOWN
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -180,7 +185,7 @@ def common_shingles(rows: DataFrame, size: int, nodes: int, sample: int = 10_000
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["h"])
 
     some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, nodes // sample))) == 0).select("text")
-    counted = map_arrow(some, cut, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    counted = map_arrow(some, cut, "h long", kept=known_words).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     got = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
     return got.column("h").to_numpy()[::-1].copy().view(np.uint64)
 
@@ -213,7 +218,7 @@ def sketches(rows: DataFrame, size: int, segments: int, bits: int, similarity: f
             prefix.append((first(h) >> np.uint64(32)).astype(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "doc_id", "words", "sketch", "n", "prefix"])
 
-    return map_arrow(rows.select("row", "doc_id", "text"), step, "row long, doc_id long, words binary, sketch array<long>, n int, prefix array<long>")
+    return map_arrow(rows.select("row", "doc_id", "text"), step, "row long, doc_id long, words binary, sketch array<long>, n int, prefix array<long>", kept=known_words)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -262,7 +267,7 @@ def true_links(pairs: DataFrame, rows: DataFrame, size: int, similarity: float)
         sets = [shingles(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    sets = materialise(map_arrow(rows.join(concerned, "row", "left_semi").select("row", "text"), cut, "node long, set array<long>"), "sets")
+    sets = materialise(map_arrow(rows.join(concerned, "row", "left_semi").select("row", "text"), cut, "node long, set array<long>", kept=known_words), "sets")
     a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"s{n}")) for n in "ab")
     both = let(F.size(F.array_intersect("sa", "sb")), lambda n: n >= similarity * (F.size("sa") + F.size("sb") - n))
     return materialise(pairs.join(a, "a").join(b, "b").filter(both).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")

@@ -10,9 +10,11 @@ from __future__ import annotations
 import json
 import re
 
+from corpusatlas.llm.common import cache
+
 #: Chunks for which lower-casing and splitting need no more than this: Latin letters, then closing punctuation.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-_CODERS: dict = {}
+_CODERS: dict = cache({})
 
 
 def default_tokenizer() -> str:
@@ -94,3 +96,8 @@ def coder(path: str | None = None) -> Coder:
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
     return _CODERS[path]
+
+
+def coders() -> dict:
+    """The worker's coders."""
+    return _CODERS

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusatlas.llm.common import free_name
+from corpusatlas.llm.common import free_name, only
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»‘’']")
@@ -243,6 +243,7 @@ def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
     def judge(texts):
         import pandas as pd
 
+        only()
         s = held.value
         return pd.Series([s.score(t) for t in texts], dtype=float)
 
