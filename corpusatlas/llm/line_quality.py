@@ -84,18 +84,28 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " "))
 
 
-def judge_lines(docs: DataFrame, host: str = "source", min_docs: int = 50, max_share: float = 0.01, least_words: int = 10, least_share: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, the base measures, base_failed, removed_words, depleted, kept."""
+def without_lines(text: Column, keys: Column) -> Column:
+    """text without the lines that have one of the keys; lines without a word stay."""
+    blank = lambda x: F.length(F.btrim(x, F.lit(BLANK))) == 0
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: blank(x) | ~F.array_contains(keys, line_key(x))), "\n")
+
+
+def judge_lines(docs: DataFrame, host: str = "source", min_docs: int = 50, max_share: float = 0.01, least_words: int = 10, least_share: float = 0.5, keep_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, the base measures, base_failed, removed_words, depleted, kept; with keep_text also text,
+    the document without its boilerplate lines (null stays null)."""
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text")
-    base = measured(rows, 5, keyed=True).select("doc_id", "host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), *[F.col(f"m.{c}").alias(c) for c in MEASURES], F.col("m.lines").alias("lines")).withColumn("base_failed", failed())
+    text = ["text"] * keep_text
+    base = measured(rows, 5, keyed=True).select("doc_id", "host", *text, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), *[F.col(f"m.{c}").alias(c) for c in MEASURES], F.col("m.lines").alias("lines")).withColumn("base_failed", failed())
     base = materialise(base.withColumn("row", F.monotonically_increasing_id()), "line-rows")
     host_key = F.coalesce("host", F.lit(""))
     each = base.select("row", "text_key", host_key.alias("h"), F.col("host").isNull().alias("no_host"), F.explode("lines").alias("line")).select("row", "text_key", "h", "no_host", F.col("line.k").alias("k"), F.col("line.n").alias("n"))
     common = each.groupBy("h", "no_host", "k", "text_key").agg(F.lit(1).alias("one")).groupBy("h", "no_host", "k").agg(F.count("*").alias("texts")).filter(F.col("texts") > min_docs)
     sizes = base.groupBy(host_key.alias("h"), F.col("host").isNull().alias("no_host"), "text_key").agg(F.lit(1).alias("one")).groupBy("h", "no_host").agg(F.count("*").alias("of"))
     common = common.join(sizes, ["h", "no_host"]).filter(F.col("texts") > F.col("of") * max_share).select("h", "no_host", "k")
-    removed = each.join(common, ["h", "no_host", "k"]).groupBy("row").agg(F.sum("n").cast("long").alias("removed_words"))
+    removed = each.join(common, ["h", "no_host", "k"]).groupBy("row").agg(F.sum("n").cast("long").alias("removed_words"), *[F.collect_set("k").alias("gone")] * keep_text)
     out = base.drop("lines", "text_key", "host").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("removed_words")
     out = out.withColumn("depleted", (F.col("removed_words") > 0) & ((left < least_words) | (left < F.col("n_words") * least_share)))
+    if keep_text:
+        out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("gone")))).drop("gone")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("row")

@@ -169,6 +169,16 @@ def test_line_frequency(spark):
     assert not got[None].kept and got[None].n_words == 0
 
 
+def test_texts_without_frequent_lines(spark):
+    """The lines go from the texts too, and what stays has the words that were not counted as removed."""
+    rows = [(i, f"own{i} a b c d e f g h\n\n  The Same   line {i % 10}\nlast{i} x y z\nthe same line 7", "en", "a") for i in range(60)]
+    rows += [(100, "the same line 3\nstays", "en", "b"), (101, None, "en", "a"), (102, "The same line 9", "en", "a"), (103, "", "en", "a")]
+    got = {r.doc_id: r for r in line_quality.judge_lines(spark.createDataFrame(rows, SCHEMA), keep_text=True).collect()}
+    assert all(got[i].text == f"own{i} a b c d e f g h\n\nlast{i} x y z" and got[i].removed_words == 8 for i in range(60))
+    assert (got[100].text, got[101].text, got[102].text, got[103].text) == ("the same line 3\nstays", None, "", "")
+    assert all(len((r.text or "").split()) == r.n_words - r.removed_words for r in got.values())
+
+
 def test_depleted(spark):
     line = "a common line of exactly twelve words that many different documents all have"
     rows = [(i, f"{line}\n" + " ".join(f"q{i}z{k}" for k in range(11 if i < 55 else 40)), "en", "a") for i in range(60)]
