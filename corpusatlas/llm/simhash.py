@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusatlas.llm.common import cache, free_name, let, map_arrow, materialise
@@ -285,19 +285,24 @@ def met_by_prefix(held: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of rows (node, n, prefix, group) of different groups that may have the similarity; none that has
     it is missing. Two such sets have a shingle of both prefixes in common, and as many there as their sizes ask for.
 
-    Groups meet first, each once at a shingle, so the members of one group are never paired with each other."""
-    each = held.select(F.explode("prefix").alias("k"), "node", "n", "group").repartition("k")
-    sizes = each.groupBy("k", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = (sizes.select("k", F.col("group").alias(f"g{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}")) for x in "ab")
+    Shingles that only one group has in its prefixes are in no partner that is met behind them, so they lower how many can
+    be common (`reach`). Groups meet first, each once at a shingle: members of one group are never paired."""
+    each = held.select("node", "n", "group", F.posexplode("prefix").alias("at", "k")).repartition("k")
+    shared = each.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("k")
+    ahead = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
+    some = materialise(each.join(shared.hint("merge"), "k", "left_semi").withColumn("reach", F.col("n") - F.col("at") + ahead), "holders")
+    least = lambda u, v: (F.col(u) + F.col(v)) * (similarity / (1 + similarity)) - 1e-6
     near = lambda u, v: F.col(u) >= F.col(v) * (similarity - 1e-9)
-    meet = materialise(a.join(b.hint("merge"), "k").filter((F.col("ga") < F.col("gb")) & near("hia", "lob") & near("hib", "loa")).select("k", "ga", "gb"), "meetings")
-    some = materialise(each.join(meet.select("k").distinct().hint("merge"), "k", "left_semi"), "holders")
-    a, b = (some.select("k", F.col("group").alias(f"g{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = meet.join(a, ["k", "ga"]).join(b.hint("merge"), ["k", "gb"]).filter(near("na", "nb") & near("nb", "na"))
+    sizes = some.groupBy("k", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach"))
+    a, b = (sizes.select("k", F.col("group").alias(f"g{x}"), *[F.col(c).alias(c + x) for c in ("lo", "hi", "reach")]) for x in "ab")
+    may = (F.col("ga") < F.col("gb")) & near("hia", "lob") & near("hib", "loa") & (F.least("reacha", "reachb") >= least("loa", "lob"))
+    meet = materialise(a.join(b.hint("merge"), "k").filter(may).select("k", "ga", "gb"), "meetings")
+    a, b = (some.select("k", F.col("group").alias(f"g{x}"), F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "reach")]) for x in "ab")
+    pairs = meet.join(a, ["k", "ga"]).join(b.hint("merge"), ["k", "gb"]).filter(near("na", "nb") & near("nb", "na") & (F.least("reacha", "reachb") >= least("na", "nb")))
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     # of the set whose prefix ends first, at most ceil(similarity * n) - 1 shingles stand behind the prefix
     behind = F.ceil(F.greatest("na", "nb") * similarity - 1e-9) - 1
-    return counted.filter(F.col("c") + behind >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6).select("a", "b")
+    return counted.filter(F.col("c") + behind >= least("na", "nb")).select("a", "b")
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, segments: int = 12, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
