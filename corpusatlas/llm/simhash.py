@@ -15,6 +15,8 @@ pair is met if any segment differs in one bit at most, which is certain up to 23
 or so) and likely beyond; candidates are verified on their sketches, then on the shingles themselves. Links that the
 fingerprints leave out between two of the groups so found are completed exactly: in one order of all shingles, a pair of
 0.8 or more has one in common among the first fifth of each (`met_by_prefix`); they too are verified on the shingles.
+What is on disk at a time is bounded: variants and prefixes are shuffled in rounds, a quarter each, texts only where their
+shingles are compared, and a table goes with the last step that reads it.
 
 The tables may hold: null texts (no words: fingerprint zero; for near_groups all texts without words are equal), null
 doc_ids (near_duplicates: they take part in links; the smallest known id names the component, null if there is none;
@@ -25,18 +27,23 @@ drop_near_duplicates, not read by the others).
 
 from __future__ import annotations
 
+import json
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusatlas.llm.common import cache, free_name, let, map_arrow, materialise
+from corpusatlas.llm.decontaminate import bit_table, places
 from corpusatlas.operators.graphs import connected_components
-from corpusatlas.storage import free_shuffles
+from corpusatlas.storage import free_shuffles, release
 
 SEGMENT = 32
 LOW = (1 << SEGMENT) - 1
+#: In how many parts, one after the other, the largest shuffles of near_groups are done.
+ROUNDS = 4
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -169,6 +176,10 @@ def long_fingerprint(h: np.ndarray, segments: int, bits: int) -> np.ndarray:
     return out @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
+#: The bits of a shingle's hash that stand for it in a prefix.
+PREFIX = (1 << 40) - 1
+
+
 def prefix_length(n: int, similarity: float) -> int:
     """How many of n shingles hold one that is common with any set of that Jaccard similarity, in one order of all."""
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
@@ -192,8 +203,8 @@ def common_shingles(rows: DataFrame, size: int, nodes: int, sample: int = 10_000
 
 def sketches(rows: DataFrame, size: int, segments: int, bits: int, similarity: float, common: np.ndarray) -> DataFrame:
     """(row, doc_id, words, sketch, n, prefix) of rows (row, doc_id, text): a digest of the sequence of words, the
-    fingerprint, the number of distinct shingles, and 32 bits of each of the first of them: uncommon ones by hash, then
-    the common ones from rare to common."""
+    fingerprint, the number of distinct shingles, and 40 bits of each of the first of them: uncommon ones by hash, then
+    the common ones from rare to common. The low bits, as the high ones of the first by hash are much alike."""
     order = np.argsort(common)
     held = rows.sparkSession.sparkContext.broadcast((common[order], order))
 
@@ -215,7 +226,7 @@ def sketches(rows: DataFrame, size: int, segments: int, bits: int, similarity: f
             h = shingles(t, size)
             out.append(long_fingerprint(h, segments, bits))
             n.append(len(h))
-            prefix.append((first(h) >> np.uint64(32)).astype(np.int64))
+            prefix.append((first(h) & np.uint64(PREFIX)).astype(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "doc_id", "words", "sketch", "n", "prefix"])
 
     return map_arrow(rows.select("row", "doc_id", "text"), step, "row long, doc_id long, words binary, sketch array<long>, n int, prefix array<long>", kept=known_words)
@@ -226,13 +237,30 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def candidates(nodes: DataFrame, bits: int) -> DataFrame:
+def together(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def candidates(nodes: DataFrame, bits: int, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): nodes (node, sketch) that have a segment in common, or a segment that differs in one bit.
 
     The holders of one value of a segment are joined to one of them, not to each other, and only values, not their
     holders, meet through the wildcard variants: two at a variant. So pairs grow with the nodes, however large a group;
-    two members of a group that are like each other but not like the chosen one stay apart in that segment."""
-    held = nodes.select("node", F.posexplode("sketch").alias("s", "v"))
+    two members of a group that are like each other but not like the chosen one stay apart in that segment. A segment's
+    variants are much larger than the nodes, so the segments are dealt out to `rounds`."""
+    parts = []
+    for i in range(rounds):
+        pairs, values = sharing(nodes.select("node", F.posexplode("sketch").alias("s", "v")).filter(F.col("s") % rounds == i), bits)
+        parts.append(materialise(pairs, "sharing"))
+        release(values)
+        free_shuffles(nodes.sparkSession)
+    out = materialise(together(parts).distinct(), "pairs")
+    release(*parts)
+    return out
+
+
+def sharing(held: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The candidates by the segments held (node, s, v), and the kept table of their values."""
     values = materialise(held.groupBy("s", "v").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("head"), F.count("*").alias("n")), "segments")
     shared = held.join(values.filter("n > 1"), ["s", "v"]).filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     long = lambda c: c.cast("long")
@@ -243,7 +271,7 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
         return values.select(F.explode(keys).alias("key"), F.col("head").alias(name))
 
     near = variants(False, "a").join(variants(True, "b").hint("merge"), "key").filter("a <> b").select("a", "b")
-    return shared.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return shared.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), values
 
 
 def segment_bits(nodes: int) -> int:
@@ -257,9 +285,22 @@ def widest(similarity: float, total: int) -> int:
     return int(np.ceil(total * p + 2 * np.sqrt(total * p * (1 - p))))
 
 
+def likely(column: str, keys: DataFrame, bits: int = 32, most: int = 1 << 24) -> Column:
+    """True for each value that keys has in that column, and for few others: a table of `bits` bits a key, `most` in all,
+    that goes to all tasks as a constant. What it leaves out need not be shuffled to be joined to the keys."""
+    slots, count = 2, keys.count()
+    while 64 * slots < min(most, count * bits):
+        slots *= 2
+    key = F.xxhash64(column)
+    table = F.from_json(F.lit(json.dumps(bit_table(keys.select(key.alias("k")), slots))), "array<bigint>")
+    one, two = (F.call_function("shiftrightunsigned", F.get(table, at), bit).bitwiseAND(F.lit(1).cast("long")) == 1 for at, bit in places(key, slots))
+    return one & two
+
+
 def true_links(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """(src, dst): the pairs (a, b) of rows of which `similarity` or more of the distinct shingles are common."""
-    concerned = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    concerned = materialise(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "concerned")
+    texts = rows.filter(likely("row", concerned)).join(concerned, "row", "left_semi").select("row", "text")
 
     def cut(batch):
         import pyarrow as pa
@@ -267,42 +308,57 @@ def true_links(pairs: DataFrame, rows: DataFrame, size: int, similarity: float)
         sets = [shingles(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    sets = materialise(map_arrow(rows.join(concerned, "row", "left_semi").select("row", "text"), cut, "node long, set array<long>", kept=known_words), "sets")
+    sets = materialise(map_arrow(texts, cut, "node long, set array<long>", kept=known_words), "sets")
     a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"s{n}")) for n in "ab")
     both = let(F.size(F.array_intersect("sa", "sb")), lambda n: n >= similarity * (F.size("sa") + F.size("sb") - n))
-    return materialise(pairs.join(a, "a").join(b, "b").filter(both).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    out = materialise(pairs.join(a, "a").join(b, "b").filter(both).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    release(concerned, sets)
+    free_shuffles(rows.sparkSession)
+    return out
 
 
 def met_by_fingerprint(nodes: DataFrame, rows: DataFrame, size: int, similarity: float, total: int, bits: int) -> DataFrame:
     """(src, dst): links between nodes (node, sketch) that meet as candidates and whose sketches are near enough."""
-    pairs = materialise(candidates(nodes, bits), "pairs")
+    pairs = candidates(nodes, bits)
     a, b = (nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
-    close = pairs.join(a, "a").join(b, "b").filter(distance(F.col("sa"), F.col("sb")) <= widest(similarity, total)).select("a", "b")
-    return true_links(materialise(close, "close"), rows, size, similarity)
+    close = materialise(pairs.join(a, "a").join(b, "b").filter(distance(F.col("sa"), F.col("sb")) <= widest(similarity, total)).select("a", "b"), "close")
+    out = true_links(close, rows, size, similarity)
+    release(pairs, close)
+    return out
 
 
-def met_by_prefix(held: DataFrame, similarity: float) -> DataFrame:
+def met_by_prefix(held: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): all pairs of rows (node, n, prefix, group) of different groups that may have the similarity; none that has
     it is missing. Two such sets have a shingle of both prefixes in common, and as many there as their sizes ask for.
 
     Shingles that only one group has in its prefixes are in no partner that is met behind them, so they lower how many can
-    be common (`reach`). Groups meet first, each once at a shingle: members of one group are never paired."""
-    each = held.select("node", "n", "group", F.posexplode("prefix").alias("at", "k")).repartition("k")
-    shared = each.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("k")
+    be common (`reach`). Groups meet first, each once at a shingle: members of one group are never paired. The shingles
+    are dealt out to `rounds` until only those are left that several groups have."""
+    parts, spark = [], held.sparkSession
+    for i in range(rounds):
+        each = held.select("node", "n", "group", F.posexplode("prefix").alias("at", "k")).filter(F.col("k") % rounds == i).repartition("k")
+        shared = each.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("k")
+        parts.append(materialise(each.join(shared.hint("merge"), "k", "left_semi"), "several"))
+        free_shuffles(spark)
     ahead = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
-    some = materialise(each.join(shared.hint("merge"), "k", "left_semi").withColumn("reach", F.col("n") - F.col("at") + ahead), "holders")
+    some = materialise(together(parts).withColumn("reach", F.col("n") - F.col("at") + ahead), "holders")
+    release(*parts)
     least = lambda u, v: (F.col(u) + F.col(v)) * (similarity / (1 + similarity)) - 1e-6
     near = lambda u, v: F.col(u) >= F.col(v) * (similarity - 1e-9)
     sizes = some.groupBy("k", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach"))
     a, b = (sizes.select("k", F.col("group").alias(f"g{x}"), *[F.col(c).alias(c + x) for c in ("lo", "hi", "reach")]) for x in "ab")
     may = (F.col("ga") < F.col("gb")) & near("hia", "lob") & near("hib", "loa") & (F.least("reacha", "reachb") >= least("loa", "lob"))
     meet = materialise(a.join(b.hint("merge"), "k").filter(may).select("k", "ga", "gb"), "meetings")
+    free_shuffles(spark)
     a, b = (some.select("k", F.col("group").alias(f"g{x}"), F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "reach")]) for x in "ab")
     pairs = meet.join(a, ["k", "ga"]).join(b.hint("merge"), ["k", "gb"]).filter(near("na", "nb") & near("nb", "na") & (F.least("reacha", "reachb") >= least("na", "nb")))
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     # of the set whose prefix ends first, at most ceil(similarity * n) - 1 shingles stand behind the prefix
     behind = F.ceil(F.greatest("na", "nb") * similarity - 1e-9) - 1
-    return counted.filter(F.col("c") + behind >= least("na", "nb")).select("a", "b")
+    out = materialise(counted.filter(F.col("c") + behind >= least("na", "nb")).select("a", "b"), "met")
+    release(some, meet)
+    free_shuffles(spark)
+    return out
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, segments: int = 12, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -313,21 +369,26 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, segment
     link between two groups is missing. Groups are the components; of a group stays the smallest doc_id (a null comes
     last), of equal ids the first row."""
     spark, row = docs.sparkSession, free_name(docs, "row")
-    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd")
     rows = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     count = numbered.count()
     bits = bits or segment_bits(count)
-    seen = materialise(sketches(rows, size, segments, bits, similarity, common_shingles(rows, size, count)), "sketches")
+    seen = materialise(sketches(rows, size, segments, bits, similarity, common_shingles(rows, size, count)), "sketches", compression="zstd")
+    members = materialise(seen.select("row", "doc_id", "words"), "members")
     nodes = materialise(seen.groupBy("words").agg(F.min("row").alias("node"), F.min_by("sketch", "row").alias("sketch")), "nodes")
     links = met_by_fingerprint(nodes.select("node", "sketch"), rows, size, similarity, segments * bits, bits)
     roots = connected_components(links)
-    free_shuffles(spark)
     groups = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
-    held = materialise(seen.select(F.col("row").alias("node"), "n", "prefix").join(groups, "node"), "prefixes")
-    more = true_links(materialise(met_by_prefix(held, similarity), "met"), rows, size, similarity)
+    held = materialise(seen.select(F.col("row").alias("node"), "n", "prefix").join(groups, "node"), "prefixes", compression="zstd")
+    release(seen)
+    free_shuffles(spark)
+    met = met_by_prefix(held, similarity)
+    release(held)
+    more = true_links(met, rows, size, similarity)
+    release(met)
     roots = connected_components(more.unionByName(roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))))
     grouped = nodes.select("words", "node").join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("root"))
-    member = seen.select("row", "doc_id", "words").join(grouped, "words")
+    member = members.join(grouped, "words")
     stays = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best"))
     return numbered, member.join(stays, "root").select(F.col("row").alias(row), "best")
 
@@ -337,4 +398,5 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     numbered, groups = near_groups(docs, **settings)
     row = numbered.columns[-1]
     losers = materialise(groups.filter(F.col(row) != F.col("best")).select(row), "losers")
-    return numbered.join(losers, row, "left_anti").select(docs.columns)
+    stay = ~likely(row, losers)
+    return numbered.filter(stay).unionByName(numbered.filter(~stay).join(losers, row, "left_anti").select(numbered.columns)).select(docs.columns)

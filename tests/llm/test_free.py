@@ -226,6 +226,59 @@ def test_no_link_is_left_out(spark):
         assert (best[2 * k + 1] == 2 * k) == (jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8) == (k % 5 != 0)
 
 
+def alike(n):
+    """Texts of which every second one differs from the one before in its last words, all of words of their own."""
+    return [" ".join([*(f"p{i // 2}w{k}" for k in range(60)), *(f"q{i}w{k}" for k in range(4))]) for i in range(n)]
+
+
+def test_finished_steps_leave_no_table(spark):
+    """While the result may still be read, there are only the tables that it reads."""
+    from pathlib import Path
+
+    from corpusatlas import storage
+
+    df = spark.createDataFrame(list(enumerate(alike(40))), "doc_id long, text string")
+    folder = Path(storage.shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    with storage.scratch(spark):
+        _, groups = simhash.near_groups(df)
+        left = {p.name for p in folder.iterdir()} - before
+        assert {x.rpartition("-")[0] for x in left} == {"numbered", "members", "nodes", "links", "edges"}
+        assert groups.count() == 40 and len({r.best for r in groups.collect()}) == 20
+    assert not {p.name for p in folder.iterdir()} - before
+
+
+def test_rounds_find_the_same_pairs(spark):
+    """Shuffles in parts lose no pair, and find none twice."""
+    rng = random.Random(3)
+    sketches = [[rng.getrandbits(10) for _ in range(12)] for _ in range(150)]
+    nodes = spark.createDataFrame(list(enumerate(sketches)), "node long, sketch array<long>")
+    prefixes = [(i, 10, sorted(rng.sample(range(60), 3)), i // 2) for i in range(100)]
+    held = spark.createDataFrame(prefixes, "node long, n int, prefix array<long>, group long")
+    for pairs in (lambda rounds: simhash.candidates(nodes, 10, rounds), lambda rounds: simhash.met_by_prefix(held, 0.8, rounds)):
+        got = [sorted((r.a, r.b) for r in pairs(rounds).collect()) for rounds in (1, 4, 13)]
+        assert got[0] == got[1] == got[2] and len(set(got[0])) == len(got[0]) > 20
+
+
+def test_likely_rows(spark):
+    """All rows of the keys, and few others."""
+    rows = spark.range(20_000).withColumnRenamed("id", "row")
+    for keys in (rows.filter("row % 100 = 7"), rows.limit(0), rows):
+        got = {r.row for r in rows.filter(simhash.likely("row", keys)).collect()}
+        want = {r.row for r in keys.collect()}
+        assert want <= got and len(got) <= 1.2 * len(want) + 10
+    crowded = rows.filter(simhash.likely("row", rows.filter("row % 2 = 0"), most=128))
+    assert {r.row for r in crowded.collect()} >= set(range(0, 20_000, 2))
+
+
+def test_prefixes_spread(spark):
+    """Different shingles have different numbers in prefixes, though the first by hash are taken."""
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(alike(400))], "row long, doc_id long, text string")
+    got = [x for r in simhash.sketches(rows, 5, 12, 28, 0.8, np.empty(0, np.uint64)).collect() for x in r.prefix]
+    assert 0.45 < sum(x > simhash.PREFIX // 2 for x in got) / len(got) < 0.55
+    assert min(got) >= 0 and max(got) <= simhash.PREFIX
+
+
 def test_groups_by_similarity(spark):
     """Every link is a true one, and of the pairs of 0.9 or more nearly all are found."""
     rng, texts = random.Random(17), []
