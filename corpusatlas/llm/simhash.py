@@ -176,10 +176,6 @@ def long_fingerprint(h: np.ndarray, segments: int, bits: int) -> np.ndarray:
     return out @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
-#: The bits of a shingle's hash that stand for it in a prefix.
-PREFIX = (1 << 40) - 1
-
-
 def prefix_length(n: int, similarity: float) -> int:
     """How many of n shingles hold one that is common with any set of that Jaccard similarity, in one order of all."""
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
@@ -203,8 +199,8 @@ def common_shingles(rows: DataFrame, size: int, nodes: int, sample: int = 10_000
 
 def sketches(rows: DataFrame, size: int, segments: int, bits: int, similarity: float, common: np.ndarray) -> DataFrame:
     """(row, doc_id, words, sketch, n, prefix) of rows (row, doc_id, text): a digest of the sequence of words, the
-    fingerprint, the number of distinct shingles, and 40 bits of each of the first of them: uncommon ones by hash, then
-    the common ones from rare to common. The low bits, as the high ones of the first by hash are much alike."""
+    fingerprint, the number of distinct shingles, and the first of them: uncommon ones by hash, then the common ones from
+    rare to common. Whole hashes: of fewer bits, more and more would meet by chance as the corpus grows."""
     order = np.argsort(common)
     held = rows.sparkSession.sparkContext.broadcast((common[order], order))
 
@@ -226,7 +222,7 @@ def sketches(rows: DataFrame, size: int, segments: int, bits: int, similarity: f
             h = shingles(t, size)
             out.append(long_fingerprint(h, segments, bits))
             n.append(len(h))
-            prefix.append((first(h) & np.uint64(PREFIX)).astype(np.int64))
+            prefix.append(first(h).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["row", "doc_id", "words", "sketch", "n", "prefix"])
 
     return map_arrow(rows.select("row", "doc_id", "text"), step, "row long, doc_id long, words binary, sketch array<long>, n int, prefix array<long>", kept=known_words)
@@ -332,11 +328,13 @@ def met_by_prefix(held: DataFrame, similarity: float, rounds: int = ROUNDS) -> D
     it is missing. Two such sets have a shingle of both prefixes in common, and as many there as their sizes ask for.
 
     Shingles that only one group has in its prefixes are in no partner that is met behind them, so they lower how many can
-    be common (`reach`). Groups meet first, each once at a shingle: members of one group are never paired. The shingles
-    are dealt out to `rounds` until only those are left that several groups have."""
+    be common (`reach`). Groups meet first, each once at a shingle: members of one group are never paired. Then groups that
+    meet at fewer shingles than the sizes ask for go, then members that share fewer with the other group; only members that
+    are left are paired, one row a pair, and counted by their lists. So rows don't grow with members times members times
+    shingles. The shingles are dealt out to `rounds` until only those are left that several groups have."""
     parts, spark = [], held.sparkSession
     for i in range(rounds):
-        each = held.select("node", "n", "group", F.posexplode("prefix").alias("at", "k")).filter(F.col("k") % rounds == i).repartition("k")
+        each = held.select("node", "n", "group", F.posexplode("prefix").alias("at", "k")).filter(F.pmod("k", F.lit(rounds)) == i).repartition("k")
         shared = each.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("k")
         parts.append(materialise(each.join(shared.hint("merge"), "k", "left_semi"), "several"))
         free_shuffles(spark)
@@ -348,15 +346,29 @@ def met_by_prefix(held: DataFrame, similarity: float, rounds: int = ROUNDS) -> D
     sizes = some.groupBy("k", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach"))
     a, b = (sizes.select("k", F.col("group").alias(f"g{x}"), *[F.col(c).alias(c + x) for c in ("lo", "hi", "reach")]) for x in "ab")
     may = (F.col("ga") < F.col("gb")) & near("hia", "lob") & near("hib", "loa") & (F.least("reacha", "reachb") >= least("loa", "lob"))
-    meet = materialise(a.join(b.hint("merge"), "k").filter(may).select("k", "ga", "gb"), "meetings")
+    meet = materialise(a.join(b.hint("merge"), "k").filter(may).select("k", "ga", "gb", "loa", "hia", "lob", "hib"), "meetings")
     free_shuffles(spark)
-    a, b = (some.select("k", F.col("group").alias(f"g{x}"), F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "reach")]) for x in "ab")
-    pairs = meet.join(a, ["k", "ga"]).join(b.hint("merge"), ["k", "gb"]).filter(near("na", "nb") & near("nb", "na") & (F.least("reacha", "reachb") >= least("na", "nb")))
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    # sets of m and s <= m shingles have over t / (1 + t) * (m + s) - t * m of their prefixes in common; least for m large, s small
+    share = similarity / (1 + similarity)
+    fewest = lambda s, m: F.greatest(F.col(s), F.col(m) * similarity) * share - F.col(m) * (similarity - share)
+    enough = lambda loa, hia, lob, hib: F.col("c") > F.least(fewest(lob, hia), fewest(loa, hib)) - 1e-6
+    ranges = [f(c).alias(c) for f, c in ((F.min, "loa"), (F.max, "hia"), (F.min, "lob"), (F.max, "hib"))]
+    like = meet.groupBy("ga", "gb").agg(F.count("*").alias("c"), *ranges).filter(enough("loa", "hia", "lob", "hib")).drop("c")
+    left = materialise(meet.select("k", "ga", "gb").join(like, ["ga", "gb"]), "alike")
+
+    def members(x: str, y: str) -> DataFrame:
+        own = some.select("k", F.col("group").alias(f"g{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+        met = left.join(own.hint("merge"), ["k", f"g{x}"]).groupBy("ga", "gb", x, f"n{x}", f"lo{y}", f"hi{y}").agg(F.count("*").alias("c"))
+        return met.filter(enough(f"n{x}", f"n{x}", f"lo{y}", f"hi{y}")).select("ga", "gb", x, f"n{x}")
+
+    lists = materialise(some.groupBy("node").agg(F.collect_list("k").alias("ks")), "lists")
+    pairs = members("a", "b").join(members("b", "a").hint("merge"), ["ga", "gb"]).filter(near("na", "nb") & near("nb", "na")).select("a", "b", "na", "nb")
+    a, b = (lists.select(F.col("node").alias(x), F.col("ks").alias(f"k{x}")) for x in "ab")
+    counted = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("ka", "kb")))
     # of the set whose prefix ends first, at most ceil(similarity * n) - 1 shingles stand behind the prefix
     behind = F.ceil(F.greatest("na", "nb") * similarity - 1e-9) - 1
     out = materialise(counted.filter(F.col("c") + behind >= least("na", "nb")).select("a", "b"), "met")
-    release(some, meet)
+    release(some, meet, left, lists)
     free_shuffles(spark)
     return out
 
