@@ -353,15 +353,16 @@ def met_by_prefix(held: DataFrame, similarity: float, rounds: int = ROUNDS) -> D
     fewest = lambda s, m: F.greatest(F.col(s), F.col(m) * similarity) * share - F.col(m) * (similarity - share)
     enough = lambda loa, hia, lob, hib: F.col("c") > F.least(fewest(lob, hia), fewest(loa, hib)) - 1e-6
     ranges = [f(c).alias(c) for f, c in ((F.min, "loa"), (F.max, "hia"), (F.min, "lob"), (F.max, "hib"))]
-    like = meet.groupBy("ga", "gb").agg(F.count("*").alias("c"), *ranges).filter(enough("loa", "hia", "lob", "hib")).drop("c")
-    left = materialise(meet.select("k", "ga", "gb").join(like, ["ga", "gb"]), "alike")
+    like = meet.groupBy("ga", "gb").agg(F.count("*").alias("c"), F.collect_list("k").alias("shared"), *ranges)
+    left = materialise(like.filter(enough("loa", "hia", "lob", "hib")).drop("c"), "alike")
+    lists = materialise(some.groupBy("node", "n", "group").agg(F.collect_list("k").alias("ks")), "lists")
 
     def members(x: str, y: str) -> DataFrame:
-        own = some.select("k", F.col("group").alias(f"g{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"))
-        met = left.join(own.hint("merge"), ["k", f"g{x}"]).groupBy("ga", "gb", x, f"n{x}", f"lo{y}", f"hi{y}").agg(F.count("*").alias("c"))
+        own = lists.select(F.col("group").alias(f"g{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), "ks")
+        may = F.size(F.array_intersect("shared", "ks")).alias("c")
+        met = left.join(own.hint("merge"), f"g{x}").select("ga", "gb", x, f"n{x}", f"lo{y}", f"hi{y}", may)
         return met.filter(enough(f"n{x}", f"n{x}", f"lo{y}", f"hi{y}")).select("ga", "gb", x, f"n{x}")
 
-    lists = materialise(some.groupBy("node").agg(F.collect_list("k").alias("ks")), "lists")
     pairs = members("a", "b").join(members("b", "a").hint("merge"), ["ga", "gb"]).filter(near("na", "nb") & near("nb", "na")).select("a", "b", "na", "nb")
     a, b = (lists.select(F.col("node").alias(x), F.col("ks").alias(f"k{x}")) for x in "ab")
     counted = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("ka", "kb")))
