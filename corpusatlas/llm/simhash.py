@@ -358,14 +358,13 @@ def met_by_prefix(held: DataFrame, similarity: float, rounds: int = ROUNDS) -> D
     lists = materialise(some.groupBy("node", "n", "group").agg(F.collect_list("k").alias("ks")), "lists")
 
     def members(x: str, y: str) -> DataFrame:
-        own = lists.select(F.col("group").alias(f"g{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), "ks")
-        may = F.size(F.array_intersect("shared", "ks")).alias("c")
-        met = left.join(own.hint("merge"), f"g{x}").select("ga", "gb", x, f"n{x}", f"lo{y}", f"hi{y}", may)
-        return met.filter(enough(f"n{x}", f"n{x}", f"lo{y}", f"hi{y}")).select("ga", "gb", x, f"n{x}")
-
-    pairs = members("a", "b").join(members("b", "a").hint("merge"), ["ga", "gb"]).filter(near("na", "nb") & near("nb", "na")).select("a", "b", "na", "nb")
-    a, b = (lists.select(F.col("node").alias(x), F.col("ks").alias(f"k{x}")) for x in "ab")
-    counted = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("ka", "kb")))
+        own = lists.select(F.col("group").alias(f"g{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("ks").alias(f"k{x}"))
+        common = F.size(F.array_intersect("shared", f"k{x}")).alias("c")
+        met = left.join(own.hint("merge"), f"g{x}").select("ga", "gb", x, f"n{x}", f"k{x}", f"lo{y}", f"hi{y}", common)
+        return met.filter(enough(f"n{x}", f"n{x}", f"lo{y}", f"hi{y}")).select("ga", "gb", x, f"n{x}", f"k{x}")
+
+    pairs = members("a", "b").join(members("b", "a").hint("merge"), ["ga", "gb"]).filter(near("na", "nb") & near("nb", "na"))
+    counted = pairs.withColumn("c", F.size(F.array_intersect("ka", "kb")))
     # of the set whose prefix ends first, at most ceil(similarity * n) - 1 shingles stand behind the prefix
     behind = F.ceil(F.greatest("na", "nb") * similarity - 1e-9) - 1
     out = materialise(counted.filter(F.col("c") + behind >= least("na", "nb")).select("a", "b"), "met")
