@@ -36,11 +36,10 @@ def best_titles(titles: DataFrame, candidates: DataFrame, other: str, block: int
     one = candidates.filter(F.col(other).isNotNull()).groupBy(text(F.col("cand_key")).alias("k")).agg(F.min(other).alias("id"), F.min_by(row, other).alias("row"), F.count("*").alias("n"))
     parts = one.select(F.pmod(F.xxhash64("k"), F.lit(1 << 20)).alias("h"), "k", "id", (F.col("n") > 1).alias("more"))
     n = max(1, -(-one.count() // block))
-    blocks = parts.groupBy((F.col("h") % n).alias("b")).agg(F.collect_list(F.struct("k", "id", "more")).alias("c")).select("c")
+    blocks = parts.groupBy((F.col("h") % n).alias("b")).agg(F.array_sort(F.collect_list(F.struct("id", "k", "more"))).alias("c")).select("c")
     asked = titles.select(text(F.col("title_key")).alias("t")).distinct()
-    kind = candidates.select(other).schema[0].dataType.simpleString()
     pairs = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism * 4, "t").crossJoin(F.broadcast(blocks) if n <= 16 else blocks)
-    top = pairs.select("t", T.two_best(F.col("t"), F.col("c"), kind).alias("top")).select("t", F.explode("top").alias("x")).select("t", "x.*")
+    top = pairs.select("t", T.two_best(titles.sparkSession, F.col("t"), F.col("c")).alias("top")).select("t", F.explode("top").alias("x")).select("t", "x.*")
     # a block's two best are enough: the best two of all are among them
     two = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id", "more"))), 1, 2)
     ranked = top.groupBy("t").agg(two.alias("two"))

@@ -24,6 +24,25 @@ def test_link_fuzzy_titles_takes_all_rows(spark, tables):
     assert got == {i: (c, pytest.approx(-s, abs=1e-4)) for i, (s, c) in want.items()}
 
 
+def test_title_ratios_are_difflibs(spark):
+    """Popular characters, astral characters, empty texts and ties; as a column of Spark, not in Python workers."""
+    import random
+
+    from corpusatlas.functions import text as T
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    keys = ["", "a", *(some(rng.randint(1, 420), "abcdef é\U0001d538" * 3 + "xyz") for _ in range(24))]
+    texts = ["", "abc", *(k[:90] + "zz" + k[95:] for k in keys[2:6]), *(some(rng.randint(0, 300), "abcdef é\U0001d538q") for _ in range(40))]
+    choices = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("k"), F.lit(False).alias("more")) for i, k in enumerate(keys)])
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.two_best(spark, F.col("t"), choices).alias("top"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for t, top in df.collect():
+        want = sorted((-SequenceMatcher(None, t, k).ratio(), i) for i, k in enumerate(keys))[:2]
+        assert [(-x.score, x.id) for x in top] == want
+
+
 def test_front_matches_takes_whole_texts(spark, tables):
     d, docs = tables
     from corpusatlas.operators import linkage
