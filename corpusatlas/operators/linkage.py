@@ -130,11 +130,16 @@ def page_mentions(pages: DataFrame, titles: DataFrame, least_words: int = 4, aro
     words = F.split("title_key", " ")
     inner = F.least(F.size(words) - 2, F.lit(3))
     t = titles.filter((F.regexp_count("title_key", F.lit(r"\S+")) >= max(3, least_words)) & (F.size(words) >= 3)).select("title_id", "title_key", F.xxhash64(F.slice(words, 2, inner)).alias("k"))
-    w = F.split("page_key", " ")
-    runs_of = lambda n: F.transform(w, lambda _, i: F.xxhash64(F.slice(w, i + 1, n)))
-    runs = F.concat(*map(runs_of, (1, 2, 3)))
+    # the words are bound to a variable: in the inner function they would be split anew for each word
+    runs_of = lambda w: F.flatten(F.transform(w, lambda _, i: F.array(*[F.xxhash64(F.slice(w, i + 1, n)) for n in (1, 2, 3)])))
+    runs = F.transform(F.array(F.split("page_key", " ")), runs_of)[0]
+    keys = t.select("k").distinct()
+    few = keys.count() <= 100_000
     rows = keep(pages.select("page_id", "page_key").withColumn("r", F.monotonically_increasing_id()), "pages")
-    met = keep(rows.select("r", F.explode(F.array_distinct(runs)).alias("k")).join(t.select("title_id", "k"), "k").select("r", "title_id"), "met")
+    found = rows.select("r", F.explode(F.array_distinct(runs)).alias("k"))
+    # runs are many more than pages: unless titles are many too, they are not shuffled
+    found = found.join(F.broadcast(keys), "k") if few else found
+    met = keep(found.join(t.select("title_id", "k"), "k").select("r", "title_id"), "met")
     hit = rows.join(met, "r").join(t.drop("k"), "title_id")
     at = F.instr("page_key", F.col("title_key"))
     return hit.filter(at > 0).select("page_id", "title_id", F.substring("page_key", F.greatest(F.lit(1), at - around), F.length("title_key") + 2 * around).alias("excerpt"))

@@ -54,3 +54,17 @@ def test_front_matches_takes_whole_texts(spark, tables):
     reference = spark.createDataFrame([(35, "a first reference line of text and the second line of the referense")], "doc_id long, reference string")
     found = linkage.front_matches(lines.filter("ord > 2"), reference, "doc_id").collect()
     assert [(r["first"], r.n) for r in found] == [(11, 2)]
+
+
+def test_page_mentions_splits_a_page_once(spark):
+    """A page of many words: when its words were split for each word, this took minutes."""
+    import time
+
+    from corpusatlas.operators import linkage
+
+    words = " ".join(f"w{i % 977}" for i in range(60_000))
+    pages = spark.createDataFrame([(1, words + " a title of five words"), (2, "w1 w2 w3 w4 w6")], "page_id int, page_key string")
+    titles = spark.createDataFrame([(1, "a title of five words"), (2, "w1 w2 w3 w4 w5"), (3, "w1 w2 w3 w4 w7")], "title_id int, title_key string")
+    began = time.time()
+    assert sorted((r.page_id, r.title_id) for r in linkage.page_mentions(pages, titles).collect()) == [(1, 1), (1, 2)]
+    assert time.time() - began < 30
