@@ -68,3 +68,23 @@ def test_page_mentions_splits_a_page_once(spark):
     began = time.time()
     assert sorted((r.page_id, r.title_id) for r in linkage.page_mentions(pages, titles).collect()) == [(1, 1), (1, 2)]
     assert time.time() - began < 30
+
+
+def test_knn_is_exact_over_blocks_and_ties(spark):
+    """Against numpy, with equal vectors in several blocks; a vector is shuffled once a block and part, not once a block pair."""
+    import numpy as np
+
+    from corpusatlas.operators import vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2300, 8)).astype(np.float32)
+    x[200:260] = x[7]
+    df = spark.createDataFrame([(int(i) * 3, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(5)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(np.clip(u @ u.T, -1, 1), 9)
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :6]
+    got = {(r.src, r["rank"]): r.dst for r in vectors.knn(df, "id", 6, block=300).collect()}
+    assert got == {(i * 3, j + 1): int(want[i, j]) * 3 for i in range(len(x)) for j in range(6)}
+    rows = vectors.deal_pairs(vectors.unit(df.selectExpr("id", "embedding AS v"), "v"), 2300, 300)[0]
+    assert rows.count() <= 2300 * (8 + 4)
