@@ -86,5 +86,49 @@ def test_knn_is_exact_over_blocks_and_ties(spark):
     want = np.argsort(-s, axis=1, kind="stable")[:, :6]
     got = {(r.src, r["rank"]): r.dst for r in vectors.knn(df, "id", 6, block=300).collect()}
     assert got == {(i * 3, j + 1): int(want[i, j]) * 3 for i in range(len(x)) for j in range(6)}
-    rows = vectors.deal_pairs(vectors.unit(df.selectExpr("id", "embedding AS v"), "v"), 2300, 300)[0]
+    rows = vectors.deal_pairs(vectors.unit(df.selectExpr("id", "embedding AS v"), "v"), 2300, 300)
     assert rows.count() <= 2300 * (8 + 4)
+
+
+def test_trustworthiness_is_exact_over_blocks(spark):
+    """Against the ranks of the whole matrix, with equal vectors and points; no task holds a matrix of all pairs."""
+    import numpy as np
+
+    from corpusatlas.operators import vectors
+
+    rng = np.random.default_rng(6)
+    x, p = rng.normal(size=(2200, 6)), rng.normal(size=(2200, 2))
+    x[30:40], p[60:70] = x[5], p[8]
+    rows = [(i, v.tolist(), q.tolist()) for i, (v, q) in enumerate(zip(x, p, strict=True))]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, pc array<double>")
+    u, n, k = x / np.linalg.norm(x, axis=1, keepdims=True), len(x), 7
+    far = np.round(1 - u @ u.T, 10)
+    np.fill_diagonal(far, np.inf)
+    rank = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1, kind="stable") + 1
+    d = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    over = np.maximum(np.take_along_axis(rank, np.argsort(d, axis=1, kind="stable")[:, :k], 1) - k, 0).sum()
+    got = vectors.trustworthiness(df.select("id", "embedding"), df.select("id", "pc"), "id", k, block=500)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.first()[0] == pytest.approx(1 - 2 * over / (n * k * (2 * n - 3 * k - 1)), abs=1e-12)
+
+
+def test_hierarchy_needs_no_matrix():
+    """The tree of the matrix of distances, in memory that follows the vectors."""
+    import tracemalloc
+
+    import numpy as np
+
+    from corpusatlas.operators import cluster
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(7000, 8)) + 0.3
+    x[40:60] = x[3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    small = x[:900]
+    a, b = cluster.average_linkage(1 - np.clip(small @ small.T, -1, 1)), cluster.average_linkage_of(small)
+    assert np.allclose(a[:, 2], b[:, 2]) and (cluster.cut(a, 900, 8) == cluster.cut(b, 900, 8)).all()
+    tracemalloc.start()
+    assert len(cluster.average_linkage_of(x)) == 6999
+    assert tracemalloc.get_traced_memory()[1] < 7000 * 7000 * 8 / 2
+    tracemalloc.stop()
