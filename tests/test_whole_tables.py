@@ -132,3 +132,26 @@ def test_hierarchy_needs_no_matrix():
     assert len(cluster.average_linkage_of(x)) == 6999
     assert tracemalloc.get_traced_memory()[1] < 7000 * 7000 * 8 / 2
     tracemalloc.stop()
+
+
+def test_terms_in_chunks_are_those_of_the_long_table(spark):
+    """Repeated keys, null texts, digits, marks and other scripts; the papers' own counts are not shuffled by term."""
+    import random
+
+    from corpusatlas.operators import topics
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = ["alpha", "Beta", "gamma-ray", "x", "12", "v2", "the", "naïve", "Ⅷb", "²c", "ﬁrm", "d.e", "zwölf", "𝔸b", "a_b", "٣٤", "(of)", "ß1"]
+    rows = [(i % 90, " ".join(rng.choice(words) + rng.choice(["", "", ",", "\n"]) for _ in range(rng.randint(0, 30))) if i % 13 else None, i % 4) for i in range(100)]
+    papers = spark.createDataFrame(rows, "k int, text string, cluster int")
+    for some in (papers, papers.filter("k >= 10")):
+        counts = topics.term_counts(some, "k", F.col("text"), ("the", "of"))
+        old = topics.tfidf(counts, topics.vocabulary(counts, some.count()), "k")
+        new = topics.Terms(some, "k", F.col("text"), ("the", "of"), chunk=16)
+        assert "FlatMapCoGroupsInArrow" in new.weights()._jdf.queryExecution().executedPlan().toString()
+        got = {(r.k, r.term): (r.tf, round(r.tfidf, 9)) for r in new.weights().collect()}
+        assert got == {(r.k, r.term): (r.tf, round(r.tfidf, 9)) for r in old.collect()} and got
+        assert {(r.term, r.df) for r in new.vocabulary().collect()} == {(r.term, r.df) for r in topics.vocabulary(counts, some.count()).collect()}
+        show = lambda df: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select("cluster", "ranking", "rank", "term", "score", "inside_count", "outside_count").collect()}
+        assert show(new.topics(6, 0.2)) == show(topics.topic_terms(old, some, "k", 6, 0.2))
