@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusatlas import contracts
+from corpusatlas.operators.grouped import fold_groups
 from corpusatlas.sources.writers import table_digest
 
 NUMBER = r"^\s*((?:\d+|[IVX]+)(?:\.\d+)*)[.)]?\s+"
@@ -123,9 +125,14 @@ def visible_text(html: Column, omit_math: bool = False) -> Column:
     """Text of html: formulas as $...$ or $$...$$ (or [FORMULA]), cells of a table row joined by |, a line per block, no
     blank lines."""
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def read(pages):
-        return pages.map(text_reader(omit_math))
+        import pyarrow as pa
+
+        one = text_reader(omit_math)
+        pa.default_memory_pool().release_unused()  # of the batches before
+        # a page at a time is a Python text, not a batch of them
+        return pa.array((one(page.as_py()) for page in pages), pa.string())
 
     return read(html)
 
@@ -195,7 +202,8 @@ def extract_abstract(blocks: DataFrame, document: str, least: int = 40, most: in
         elif re.search(r"\bOBJECTIVES?\b", after) and re.search(r"\bCONCLUSIONS?\b", after):
             method, first = "structured", opened
         else:
-            fit = [t for t, kind in front if kind in ("", "Text", "TextInlineMath", "text") and least <= len(t.split()) <= most and not rules["end"].match(t.strip()) and not rules["notice"].match(t.strip())][:8]
+            fit = (t for t, kind in front if kind in ("", "Text", "TextInlineMath", "text") and least <= len(t.split()) <= most and not rules["end"].match(t.strip()) and not rules["notice"].match(t.strip()))
+            fit = list(islice(fit, 8))
             return (fit[0].strip() if fit else ""), ("candidate" if fit else "missing"), ["abstract_boundary_requires_review"] if fit else ["no_abstract_found"], fit
         held, ended, concluded = [], False, False
         for i in range(first, len(front)):
@@ -217,19 +225,19 @@ def extract_abstract(blocks: DataFrame, document: str, least: int = 40, most: in
         tests = (("no_confirmed_end_boundary", not (ended or concluded)), ("inspect_abstract_length", not 30 <= words <= most), ("multiple_abstract_markers", len(marked) > 1), ("empty_after_heading", not abstract), ("possible_front_matter_contamination", bool(re.search(r"\b(?:we thank|acknowledg|corresponding author|electronic copy available)\b", abstract, re.I))))
         return abstract, method, [n for n, holds in tests if holds] + ["abstract_boundary_requires_review"], []
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("ord")
-        kind = pdf["kind"].fillna("") if "kind" in pdf else pd.Series("", index=pdf.index)
-        keep = ~kind.isin(NO_ABSTRACT)
-        if "page" in pdf:
-            keep &= pdf["page"].notna() & (pdf["page"] <= front_pages)
-        found = read(list(zip(pdf["text"].fillna("")[keep], kind[keep], strict=True)))
-        return pd.DataFrame([(pdf[document].iloc[0], found[0], found[1], found[1] != "missing", ";".join(found[2]), found[3])], columns=[document, "abstract", "method", "review", "flags", "candidates"])
-
     wanted = [c for c in ("kind", "page") if c in kinds]
-    return blocks.select(document, "ord", "text", *wanted).groupBy(document).applyInPandas(run, f"{document} {kinds[document]}, abstract string, method string, review boolean, flags string, candidates array<string>")
+
+    def run(key, rows):
+        front = []
+        for _, _, text, *more in rows:
+            known = dict(zip(wanted, more, strict=True))
+            kind = known.get("kind") or ""
+            if kind not in NO_ABSTRACT and ("page" not in known or known["page"] is not None and known["page"] <= front_pages):
+                front.append((text or "", kind))
+        found = read(front)
+        return [(key, found[0], found[1], found[1] != "missing", ";".join(found[2]), found[3])]
+
+    return fold_groups(blocks.select(document, "ord", "text", *wanted), document, ["ord"], run, f"{document} {kinds[document]}, abstract string, method string, review boolean, flags string, candidates array<string>")
 
 
 #: Kinds of blocks that are no body text, and headings of reference lists.
