@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusatlas import contracts
 from corpusatlas.functions import text as T
+from corpusatlas.operators.grouped import fold_groups
 from corpusatlas.operators.ranking import flag_repeated
 from corpusatlas.storage import keep
 
@@ -114,11 +115,38 @@ def newest(records: DataFrame, key: str, *order: str) -> DataFrame:
 def front_matches(blocks: DataFrame, references: DataFrame, document: str, most: int = 8, least: float = 0.94) -> DataFrame:
     """Runs of up to `most` neighbouring blocks (document, ord, text) that match the document's reference text, of a length
     within 0.9 to 1.12 of it: the best by ratio."""
-    w = Window.partitionBy(document).orderBy("ord").rowsBetween(0, most - 1)
-    runs = blocks.withColumn("ahead", F.collect_list("text").over(w)).select(document, F.col("ord").alias("first"), "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n"))
-    x = runs.select(document, "first", "n", F.array_join(F.slice("ahead", 1, F.col("n")), " ").alias("run")).join(references, document)
-    x = x.filter((F.length("run") / F.length("reference")).between(0.9, 1.12)).withColumn("score", T.similarity_ratio(F.col("run"), F.col("reference"), least))
-    return x.filter(F.col("score") >= least).groupBy(document).agg(F.max_by(F.struct("first", "n", "score"), F.struct("score", -F.col("first"), -F.col("n"))).alias("m")).select(document, "m.*")
+    # a document's references come before its blocks, so that its texts are shuffled once
+    kind = dict(blocks.dtypes)["ord"]
+    asked = references.select(document, F.lit(None).cast(kind).alias("ord"), F.col("reference").alias("text"), F.lit(0).alias("side"))
+    rows = asked.unionByName(blocks.select(document, "ord", "text", F.lit(1).alias("side")))
+
+    def run(key, rows):
+        from difflib import SequenceMatcher
+
+        wanted, ords, texts, best = [], [], [], None
+        for _, at, text, side in rows:
+            if side:
+                ords.append(at)
+                texts.append(text)
+            elif text:
+                wanted.append(text)
+        for reference in wanted:
+            matcher, size = SequenceMatcher(None, "", reference), len(reference)
+            for i in range(len(texts)):
+                length = -1
+                ahead = [t for t in texts[i : i + most] if t is not None]
+                for n in range(1, len(ahead) + 1):
+                    length += 1 + len(ahead[n - 1])
+                    if length / size > 1.12:
+                        break
+                    if length / size < 0.9:
+                        continue
+                    matcher.set_seq1(" ".join(ahead[:n]))
+                    if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (score := matcher.ratio()) >= least:
+                        best = max(best or (-1.0,), (score, -ords[i], -n))
+        return [(key, -best[1], -best[2], best[0])] if best else []
+
+    return fold_groups(rows, document, ["side", "ord"], run, f"{document} {dict(blocks.dtypes)[document]}, first {kind}, n int, score double")
 
 
 def page_mentions(pages: DataFrame, titles: DataFrame, least_words: int = 4, around: int = 170) -> DataFrame:
