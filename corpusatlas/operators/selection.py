@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusatlas import contracts
 from corpusatlas.operators.graphs import connected_components
+from corpusatlas.operators.grouped import fold_groups
 from corpusatlas.storage import keep
 
 
@@ -40,19 +41,20 @@ def first_claims(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
     least = keyed.groupBy("h").agg(F.min("node").alias("least"))
     edges = keyed.join(least, "h").filter("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct()
     roots = connected_components(edges)
-    grouped = firsts.join(roots.withColumnRenamed("node", order), order, "left").withColumn("root", F.coalesce("root", order))
+    grouped = keep(firsts.join(roots.withColumnRenamed("node", order), order, "left").select("root", order, *keys), "roots")
 
-    def fold(pdf):
-        held, out = {k: set() for k in keys}, []
-        for r in pdf.sort_values(order).to_dict("records"):
-            if not any(r[k] and r[k] in held[k] for k in keys):
-                out.append(r[order])
-                for k in keys:
-                    held[k].add(r[k])
-        return pdf[pdf[order].isin(out)][[order, *keys]]
+    def fold(_, rows):
+        held = [set() for _ in keys]
+        for _, *r in rows:
+            if not any(v and v in h for v, h in zip(r[1:], held, strict=True)):
+                yield tuple(r)
+                for v, h in zip(r[1:], held, strict=True):
+                    h.add(v)
 
     kinds = dict(firsts.dtypes)
-    holders = keep(grouped.groupBy("root").applyInPandas(fold, f"{order} {kinds[order]}, " + ", ".join(f"{k} string" for k in keys)), "holders")
+    # rows without a shared key are components of one: they keep what they have
+    folded = fold_groups(grouped.filter("root IS NOT NULL"), "root", [order], fold, f"{order} {kinds[order]}, " + ", ".join(f"{k} string" for k in keys))
+    holders = keep(folded.unionByName(grouped.filter("root IS NULL").drop("root")), "holders")
     # a row loses to the first of its keys that an earlier kept row holds
     claimed = F.lit("")
     for k in reversed(keys):

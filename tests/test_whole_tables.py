@@ -155,3 +155,37 @@ def test_terms_in_chunks_are_those_of_the_long_table(spark):
         assert {(r.term, r.df) for r in new.vocabulary().collect()} == {(r.term, r.df) for r in topics.vocabulary(counts, some.count()).collect()}
         show = lambda df: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select("cluster", "ranking", "rank", "term", "score", "inside_count", "outside_count").collect()}
         assert show(new.topics(6, 0.2)) == show(topics.topic_terms(old, some, "k", 6, 0.2))
+
+
+def test_documents_are_folded_many_to_a_call(spark):
+    """Keys over many batches, one of no key, against plain Python; no query runs pandas for a document or a component."""
+    from corpusatlas.operators import documents, linkage, selection
+    from corpusatlas.operators.grouped import fold_groups
+    from pyspark.sql import functions as F
+
+    rows = [(None if i % 50 == 0 else i % 7, 5000 - i, f"t{i}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, o int, t string").repartition(6)
+    got = fold_groups(df, "k", ["o"], lambda k, part: [(k, ",".join(r[2] for r in part))], "k int, all string").collect()
+    want = {k: ",".join(t for x, _, t in sorted(rows, key=lambda r: r[1]) if x == k) for k in [None, *range(7)]}
+    assert {r.k: r.all for r in got} == want and len(got) == len(want)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan(documents.extract_abstract(df.select("k", F.col("o").alias("ord"), F.col("t").alias("text")), "k"))
+    reference = df.groupBy("k").agg(F.first("t").alias("reference"))
+    assert "Window" not in plan(linkage.front_matches(df.select("k", F.col("o").alias("ord"), F.col("t").alias("text")), reference, "k"))
+
+    # a row without a shared key is no group of Python
+    lone = spark.createDataFrame([(i, "", f"x{i}") for i in range(50)] + [(50, "d", "x3"), (51, "d", "y")], "id int, doi string, text string")
+    kept = selection.first_claims(lone, "id", ["doi", "text"])
+    assert sorted((r.id, r.claimed_by) for r in kept.filter("NOT kept").collect()) == [(50, "text")]
+    assert "Pandas" not in plan(kept)
+
+
+def test_cleaned_texts_are_computed_once(spark):
+    """The notice is sought once in the plan, however often its place is used."""
+    from corpusatlas.functions import text as T
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("One two. © 2020 P",), ("N/A",), (None,)], "x string")
+    out = df.select(T.clean_abstract(F.col("x")).alias("c")).select("c.text", "c.removed", T.word_count(F.col("c.text")).alias("n"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("the author") == 1
+    assert [tuple(r) for r in out.collect()] == [("One two.", "© 2020 P", 2), ("", "", 0), ("", "", 0)]
